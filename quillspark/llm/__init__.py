@@ -3,10 +3,14 @@
 
 def queries() -> dict:
     """The query of each operator: (spark, sf_dir) -> DataFrame."""
-    from . import decontaminate, language_id
+    from . import decontaminate, language_id, mixing, warc
 
-    return {f.__name__: f for f in (language_id.op8_language_id, decontaminate.op9_benchmark_decontamination)}
+    found = (warc.op1_legacy_archive_converter, mixing.op2_weighted_fair_mix, language_id.op8_language_id, decontaminate.op9_benchmark_decontamination)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of those that SQL can express."""
+    from . import mixing, warc
+
+    return {"op1_legacy_archive_converter": warc.OP1_SQL, "op2_weighted_fair_mix": mixing.OP2_SQL}
