@@ -3,14 +3,17 @@
 
 def queries() -> dict:
     """The query of each operator: (spark, sf_dir) -> DataFrame."""
-    from . import decontaminate, language_id, mixing, warc
+    from . import decontaminate, language_id, mixing, quality, secrets, url_filter, warc
 
-    found = (warc.op1_legacy_archive_converter, mixing.op2_weighted_fair_mix, language_id.op8_language_id, decontaminate.op9_benchmark_decontamination)
+    found = (
+        warc.op1_legacy_archive_converter, mixing.op2_weighted_fair_mix, secrets.op3_secret_scan, quality.op4_quality_rules,
+        url_filter.op6_url_filter, language_id.op8_language_id, decontaminate.op9_benchmark_decontamination,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    from . import mixing, warc
+    from . import mixing, url_filter, warc
 
-    return {"op1_legacy_archive_converter": warc.OP1_SQL, "op2_weighted_fair_mix": mixing.OP2_SQL}
+    return {"op1_legacy_archive_converter": warc.OP1_SQL, "op2_weighted_fair_mix": mixing.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL}
