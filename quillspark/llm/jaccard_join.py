@@ -43,6 +43,8 @@ MAX_HOT = 1_000_000
 FLUSH = 2_000_000
 #: Ids of documents to verify are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Bytes of packed sets that are compared with all members of open lists at a time.
+BLOCK_BYTES = 32_000_000
 _P = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -282,19 +284,25 @@ def components(links: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(pairs.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("label")))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
-    ids = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "to-verify")
+def whole_sets(ids: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int) -> DataFrame:
+    """(doc, set): the packed shingles of the documents in ``ids`` (doc, and what else it has)."""
     few = ids.count() <= BROADCAST_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            sets = [tokens(t, hashes, n).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc", "set"])
+            sets = [tokens(t, hashes, n).tobytes() for t in b.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ids.columns), pa.array(sets, pa.binary())], [*ids.columns, "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).join(F.broadcast(ids) if few else ids, "doc")
-    sets = materialise(texts.mapInArrow(run, "doc long, set binary"), "sets")
+    schema = ", ".join(f"{c} {t}" for c, t in ids.dtypes)
+    return materialise(texts.mapInArrow(run, f"{schema}, set binary"), "sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar enough."""
+    ids = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "to-verify")
+    sets = whole_sets(ids, docs, text_col, id_col, n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,6 +317,64 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int
     return materialise(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"), "verified")
 
 
+class Block:
+    """Inverted index of a bounded number of sets with their labels."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+        self.doc = np.array([r[0] for r in rows], np.int64)
+        self.label = np.array([r[1] for r in rows], np.int64)
+        self.size = np.array([len(r[2]) for r in rows], np.int64)
+        token, owner = np.concatenate([r[2] for r in rows]), np.repeat(np.arange(len(rows)), self.size)
+        order = np.argsort(token, kind="stable")
+        self.owner = owner[order]
+        self.token, self.start, self.count = np.unique(token[order], return_index=True, return_counts=True)
+
+    def links(self, label: int, own: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the sets under other labels that are similar enough to ``own``."""
+        at = np.minimum(np.searchsorted(self.token, own), len(self.token) - 1)
+        at = at[self.token[at] == own]
+        if not len(at):
+            return at
+        width = self.count[at]
+        place = np.arange(int(width.sum())) + np.repeat(self.start[at] - np.cumsum(width) + width, width)
+        both = np.bincount(self.owner[place], minlength=len(self.doc))
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (self.size + len(own) - both)) & (self.label != label))
+
+
+def block_links(outside: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets of ``outside`` and of ``members``, both (doc, label), under different
+    labels. ``outside`` goes to the workers in blocks of ``BLOCK_BYTES``, all members pass each block;
+    a task returns a link once for each set of the block and label of the member."""
+    spark = docs.sparkSession
+    queue = whole_sets(outside, docs, text_col, id_col, n).toLocalIterator()
+    rows = whole_sets(members, docs, text_col, id_col, n)
+    found = None
+    while True:
+        block, held = [], 0
+        for r in queue:
+            block.append((r["doc"], r["label"], np.frombuffer(r["set"], np.uint64)))
+            held += len(r["set"])
+            if held >= BLOCK_BYTES:
+                break
+        if not block:
+            return found if found is not None else spark.createDataFrame([], "a long, b long")
+        shared = spark.sparkContext.broadcast(Block(block))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            seen = set()
+            for b in batches:
+                pairs = []
+                for doc, label, own in zip(*(b.column(c).to_pylist() for c in ("doc", "label", "set")), strict=True):
+                    for k in shared.value.links(label, np.frombuffer(own, np.uint64), percent).tolist():
+                        if (k, label) not in seen:
+                            seen.add((k, label))
+                            pairs.append((doc, int(shared.value.doc[k])))
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+
+        more = materialise(rows.mapInArrow(run, "a long, b long"), "block-links")
+        found = more if found is None else found.unionByName(more)
+
+
 def fitting(a, b, percent: int):
     return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
@@ -355,14 +421,14 @@ def join_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         if not now.head(1):
             break
         if round_ == "rest":
-            outside = now.where("c <> c0").select("list", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            others = now.select("list", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "c0")
-            found = outside.join(others, "list").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("c0")) | (F.col("a") < F.col("b"))) & fitting(F.col("na"), F.col("nb"), percent))
+            outside = materialise(now.where("c <> c0").select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "outside")
+            members = materialise(now.select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "members")
+            links = links.unionByName(block_links(outside, members, docs, text_col, id_col, n, percent))
         else:
             pivot = F.col(round_)
             found = now.where((pivot["c"] != F.col("c")) & fitting(pivot["n"], F.col("n"), percent)).select(pivot["gid"].alias("a"), F.col("gid").alias("b"))
-        found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "list-pairs")
-        links = links.unionByName(verify(found, docs, text_col, id_col, n, percent))
+            found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "list-pairs")
+            links = links.unionByName(verify(found, docs, text_col, id_col, n, percent))
         labels = materialise(components(links), "labels")
     return sets_with_class(sets, classes), labels
 
