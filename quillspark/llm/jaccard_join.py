@@ -286,13 +286,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def whole_sets(ids: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int) -> DataFrame:
     """(doc, set): the packed shingles of the documents in ``ids`` (doc, and what else it has)."""
-    few = ids.count() <= BROADCAST_IDS
+    few, names = ids.count() <= BROADCAST_IDS, ids.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
             sets = [tokens(t, hashes, n).tobytes() for t in b.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ids.columns), pa.array(sets, pa.binary())], [*ids.columns, "set"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).join(F.broadcast(ids) if few else ids, "doc")
     schema = ", ".join(f"{c} {t}" for c, t in ids.dtypes)
