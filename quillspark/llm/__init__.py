@@ -3,11 +3,11 @@
 
 def queries() -> dict:
     """The query of each operator: (spark, sf_dir) -> DataFrame."""
-    from . import decontaminate, jaccard_join, language_id, mixing, quality, secrets, url_filter, warc
+    from . import decontaminate, jaccard_join, language_id, line_dedup, mixing, quality, secrets, suffix_dedup, url_filter, warc
 
     found = (
-        warc.op1_legacy_archive_converter, mixing.op2_weighted_fair_mix, secrets.op3_secret_scan, quality.op4_quality_rules,
-        url_filter.op6_url_filter, jaccard_join.op7_ngram_jaccard_join, language_id.op8_language_id, decontaminate.op9_benchmark_decontamination,
+        warc.op1_legacy_archive_converter, mixing.op2_weighted_fair_mix, secrets.op3_secret_scan, quality.op4_quality_rules, line_dedup.op5_line_dedup,
+        url_filter.op6_url_filter, jaccard_join.op7_ngram_jaccard_join, language_id.op8_language_id, decontaminate.op9_benchmark_decontamination, suffix_dedup.op10_suffix_array_dedup,
     )
     return {f.__name__: f for f in found}
 
