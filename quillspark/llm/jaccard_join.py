@@ -9,12 +9,14 @@ A document's set is its distinct n-word shingles as 64-bit hashes; two documents
    bounded (``max_hot``): if there are more, the limit rises. Document frequencies are counted over
    all documents, combined in each task and packed before their shuffle.
 3. A class's prefix is its first n - ceil(percent * n) + 1 tokens. Classes with the same size and
-   prefix are one group. Lists of the groups with a token give group pairs (size filter), which
-   are expanded to pairs of members and verified with whole sets.
+   prefix are one group. Lists of the groups with a token give group pairs, filtered by their
+   sizes and by how many prefix tokens they have in common; what is left is expanded to pairs of
+   members and verified with whole sets.
 4. A list of a hot token, or a group of several classes, may be long. No such list is expanded into
    all its pairs: its first member is compared with all others, then what is not in one component
-   gets another pivot, and only members still outside the main component are compared with every
-   member of another component. Pairs inside a component need no check, so no link is lost.
+   gets another pivot, and what is still outside its list's main component is compared, in bounded
+   blocks with an inverted index, with all members of such lists. Pairs inside a component need no
+   check, so no link between components is lost.
 5. Components by alternating large-star and small-star steps on the verified links.
 
 Defined results: null, empty or wordless text has size 0 and is alone; a text with fewer than n
@@ -30,17 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise, read
+from .packed import FLUSH, bucket_count, counts, cut, pack, spread, squeeze, unpack
 
 N = 4
 PERCENT = 85
 HOT_DF = 48
 MAX_HOT = 1_000_000
-FLUSH = 2_000_000
 #: Ids of documents to verify are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bytes of packed sets that are compared with all members of open lists at a time.
@@ -79,79 +80,24 @@ def tokens(text: str | None, hashes: dict, n: int = N) -> np.ndarray:
         return np.unique(_mix(h))
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted integers as compressed differences."""
-    d = np.diff(values, prepend=values.dtype.type(0))
-    kind = np.uint32 if len(d) < 2 or int(d[1:].max()) < 1 << 32 else np.uint64
-    head = np.array([len(values), np.dtype(kind).itemsize], np.int64).tobytes() + (values[:1].astype(np.uint64).tobytes() if len(values) else b"")
-    by_byte = d[1:].astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
-    return head + zstandard.ZstdCompressor(level=1).compress(by_byte)
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    n, size = np.frombuffer(raw, np.int64, 2).tolist()
-    if not n:
-        return np.zeros(0, np.uint64)
-    first = np.frombuffer(raw, np.uint64, 1, 16)
-    by_byte = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[24:]), np.uint8).reshape(size, n - 1)
-    d = np.ascontiguousarray(by_byte.T).view({4: np.uint32, 8: np.uint64}[size]).ravel().astype(np.uint64)
-    return np.cumsum(np.concatenate([first, d]), dtype=np.uint64)
-
-
-def _squeeze(a: np.ndarray) -> bytes:
-    """Any array, byte planes compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
-
-
-def _spread(raw: bytes, n: int, kind) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(-1, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def hot_tokens(docs: DataFrame, text_col: str, n: int, bits: int, buckets: int, hot_df: int, max_hot: int) -> np.ndarray:
     """Sorted truncated tokens (upper ``bits`` bits) that more than ``hot_df`` documents contain."""
-    shift, cut = np.uint64(64 - bits), bits - int(math.log2(buckets))
-
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        place = np.searchsorted(values >> np.uint64(cut), np.arange(buckets + 1, dtype=np.uint64))
-        rows = [(k, pack(values[a:b]), _squeeze(counts[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(place[:-1].tolist(), place[1:].tolist(), strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "tokens", "counts"])
+    shift = np.uint64(64 - bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held = _Hashes(), [], 0
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        hashes = _Hashes()
         for b in batches:
             for text in b.column(0).to_pylist():
-                parts.append(tokens(text, hashes, n) >> shift)
-                held += len(parts[-1])
-                if held > FLUSH:
-                    yield flush(parts)
-                    parts, held = [], 0
-        if held:
-            yield flush(parts)
+                yield tokens(text, hashes, n) >> shift
 
-    def merge(table: pa.Table) -> pa.Table:
-        values, counts = [], []
-        for t, c in zip(table.column("tokens").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            values.append(unpack(t))
-            counts.append(_spread(c, len(values[-1]), np.uint32))
-        v, c = np.concatenate(values), np.concatenate(counts)
-        order = np.argsort(v, kind="stable")
-        v, c = v[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        df = np.add.reduceat(c.astype(np.int64), first)
-        keep = df > hot_df
-        return pa.table({"token": v[first][keep].astype(np.int64), "df": df[keep]})
-
-    found = docs.select(text_col).mapInArrow(run, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(merge, "token long, df long")
-    found = materialise(found, "hot-tokens")
+    found = materialise(counts(docs.select(text_col), tokens_of, buckets, bits, hot_df), "hot-tokens")
     limit, total = hot_df, 0
-    for row in found.groupBy(F.floor(F.log2("df")).alias("k")).count().orderBy(F.desc("k")).collect():  # at most 64 rows
+    for row in found.groupBy(F.floor(F.log2("n")).alias("k")).count().orderBy(F.desc("k")).collect():  # at most 64 rows
         total += row["count"]
         if total > max_hot:
             limit = 2 ** (row["k"] + 1) - 1
             break
-    rows = found.where(F.col("df") > limit).select("token").toArrow()
+    rows = found.where(F.col("n") > limit).select("token").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.uint64))
 
 
@@ -190,45 +136,51 @@ def prefixes(docs: DataFrame, hot, bits: int, text_col: str, id_col: str, n: int
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "doc long, n int, s1 long, s2 long, prefix binary, n_hot int")
 
 
-def _runs_to_pairs(token: np.ndarray, gid: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of different ids with a common token and fitting sizes."""
+def _runs_to_pairs(token: np.ndarray, gid: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int) -> pa.Table:
+    """Pairs of different ids with common tokens and fitting sizes, and the number of the tokens."""
     order = np.argsort(token, kind="stable")
-    token, gid, n = token[order], gid[order], n[order]
+    token, gid, n, hot = token[order], gid[order], n[order], hot[order]
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
     starts, sizes = edge[:-1], np.diff(edge)
-    out = []
+    ids, first, own = np.unique(gid, return_index=True, return_inverse=True)
+    keys = [np.zeros(0, np.int64)]
     for size in np.unique(sizes[sizes > 1]).tolist():
         i, j = np.triu_indices(size, 1)
-        own = starts[sizes == size]
+        run = starts[sizes == size]
         step = max(1, 4_000_000 // len(i))
-        for lo in range(0, len(own), step):
-            a, b = (own[lo : lo + step, None] + i).ravel(), (own[lo : lo + step, None] + j).ravel()
+        for lo in range(0, len(run), step):
+            a, b = (run[lo : lo + step, None] + i).ravel(), (run[lo : lo + step, None] + j).ravel()
             small, large = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
-            fit = (100 * small >= percent * large) & (gid[a] != gid[b])
-            x, y = gid[a[fit]], gid[b[fit]]
-            out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
+            fit = (100 * small >= percent * large) & (own[a] != own[b])
+            x, y = own[a[fit]], own[b[fit]]
+            keys.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+    key, common = np.unique(np.concatenate(keys), return_counts=True)
+    a, b = key // len(ids), key % len(ids)
+    n, hot = n[first], hot[first]
+    return pa.table({"a": ids[a], "b": ids[b], "na": n[a], "nb": n[b], "hot": np.minimum(hot[a], hot[b]), "common": common.astype(np.int64)})
 
 
 def cold_pairs(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of groups that share a token of their prefixes that isn't hot."""
-    shift = np.uint64(64 - int(math.log2(buckets)))
+    """Pairs (a, b) of groups that share a token of their prefixes that isn't hot, and may link.
+
+    Of two sets, let x be the one whose prefix ends first in the token order. What they have in common
+    of x's prefix lies in both prefixes; so no more can be common than the common prefix tokens and
+    the rest of x. Common hot ones are not counted here and add the smaller number of them at most.
+    """
 
     def flush(parts) -> pa.RecordBatch:
-        t, g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        t, g, n, h = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(t)
-        t, g, n = t[order], g[order], n[order]
-        place = np.searchsorted(t >> shift, np.arange(buckets + 1, dtype=np.uint64))
-        rows = [(k, pack(t[a:b]), _squeeze(g[a:b]), _squeeze(n[a:b])) for k, (a, b) in enumerate(zip(place[:-1].tolist(), place[1:].tolist(), strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "t", "g", "n"])
+        t, g, n, h = t[order], g[order], n[order], h[order]
+        rows = [(k, pack(t[a:b]), squeeze(g[a:b]), squeeze(n[a:b]), squeeze(h[a:b])) for k, a, b in cut(t, buckets, 64)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), *[pa.binary()] * 4))], ["bucket", "t", "g", "n", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in batches:
             for gid, n, prefix, hot in zip(*(b.column(c).to_pylist() for c in ("gid", "n", "prefix", "n_hot")), strict=True):
                 t = np.frombuffer(prefix, np.uint64)[: len(prefix) // 8 - hot]
-                parts.append((t, np.full(len(t), gid, np.int64), np.full(len(t), n, np.int32)))
+                parts.append((t, np.full(len(t), gid, np.int64), np.full(len(t), n, np.int32), np.full(len(t), hot, np.int32)))
                 held += len(t)
             if held > FLUSH:
                 yield flush(parts)
@@ -237,16 +189,19 @@ def cold_pairs(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
             yield flush(parts)
 
     def meet(table: pa.Table) -> pa.Table:
-        t, g, n = [], [], []
-        for x, y, z in zip(*(table.column(c).to_pylist() for c in ("t", "g", "n")), strict=True):
-            t.append(unpack(x))
-            g.append(_spread(y, len(t[-1]), np.int64))
-            n.append(_spread(z, len(t[-1]), np.int32))
-        a, b = _runs_to_pairs(np.concatenate(t), np.concatenate(g), np.concatenate(n), percent)
-        return pa.table({"a": a, "b": b})
+        t = [unpack(x) for x in table.column("t").to_pylist()]
+        g, n, h = ([spread(x, len(v), k) for x, v in zip(table.column(c).to_pylist(), t, strict=True)] for c, k in (("g", np.int64), ("n", np.int32), ("h", np.int32)))
+        return _runs_to_pairs(np.concatenate(t), np.concatenate(g), np.concatenate(n), np.concatenate(h), percent)
+
+    packed = groups.select("gid", "n", "prefix", "n_hot").mapInArrow(run, "bucket int, t binary, g binary, n binary, h binary")
+    found = packed.groupBy("bucket").applyInArrow(meet, "a long, b long, na int, nb int, hot int, common long")
+    found = found.groupBy("a", "b", "na", "nb", "hot").agg(F.sum("common").alias("common"))
+
+    def rest(size):  # of a set behind its prefix
+        return F.floor((size.cast("long") * percent + 99) / 100) - 1
 
-    packed = groups.select("gid", "n", "prefix", "n_hot").mapInArrow(run, "bucket int, t binary, g binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+    most = F.col("common") + F.col("hot") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
+    return found.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def hot_lists(groups: DataFrame) -> DataFrame:
@@ -385,8 +340,7 @@ def join_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(4, math.ceil(math.log2(4 * parts)))
+    buckets = bucket_count(spark)
     bits = min(64, max(32, math.ceil(math.log2(max(rows, 1) * 1000)) + 8))
     hot = spark.sparkContext.broadcast(hot_tokens(docs, text_col, n, bits, buckets, hot_df, max_hot))
     sets = materialise(prefixes(docs, hot, bits, text_col, id_col, n, percent), "prefixes")
