@@ -1,9 +1,15 @@
 """Registered queries over the driver tables and their SQL twins."""
 
+from __future__ import annotations
+
+from . import lexical
+
+GROUPS = (lexical,)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for group in GROUPS for f in group.FOUND}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, sql in group.ORACLES.items()}
