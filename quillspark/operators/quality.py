@@ -30,8 +30,8 @@ def profile(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
-    counts = df.groupBy(column).agg(F.count("*").cast("double").alias("c"))
-    return counts.select(column, (F.col("c") / F.sum("c").over(Window.partitionBy())).alias("share"))
+    counts = df.groupBy(column).agg(F.count("*").cast("double").alias("_n"))
+    return counts.select(column, (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias("share"))
 
 
 def dedup_catalogue(first: DataFrame, second: DataFrame, key: str, order: str) -> DataFrame:

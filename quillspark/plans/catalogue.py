@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lexical
+from . import lexical, ranking
 
-GROUPS = (lexical,)
+GROUPS = (lexical, ranking)
 
 
 def queries() -> dict:
