@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions import text as T
-from ..operators import blend, features, geo, index, metrics, prior, quality, retrieve, sampling
-from ..sources import views
+from ..operators import blend, features, geo, index, metrics, prior, quality, ranker, retrieve, sampling
+from ..pipeline import Prepared, answer, training_rows
+from ..sources import store, views
 from ..sources.views import with_views
 from .lexical import CHAR, LEXICAL, bm25_pool, bm25_topk, char_pool, rounded
+from .lexical import field_index as _field_index
 
 CONFIG = SearchConfig()
 SEED = 20260928
@@ -296,12 +298,30 @@ def answer_lines(spark, d):
     return lists.select("query_id", F.array_join(F.transform("l", lambda x: x["item_id"]), " ").alias("answer"))
 
 
+def train_and_rank(spark, d):
+    """Small boosted model on the searches with gold, and its blended answer."""
+    items, q = views.items(spark, d), views.queries(spark, d)
+    model = geo.fit(views.geo_pairs(spark, d))
+    pools = _pools(spark, d)
+    candidates = index.top(bm25_pool(spark, d), 100).select("query_id", "item_pos").withColumn("in_text", F.lit(True))
+    empty = spark.createDataFrame([], "query_id string, item_microcat_id long, p double")
+    core = features.core(candidates, pools, items, q, model, empty, index.term_counts(items), CONFIG)
+    fields = features.field(candidates, items, q, *_field_index(spark, d))
+    # used for training and for the answer: written once
+    prepared = Prepared(store.scratch_table(candidates), pools, store.scratch_table(core), store.scratch_table(fields))
+    gold = views.gold(spark, d).groupBy("query_id").agg(F.collect_set("item_id").alias("gold")).withColumn("known_positives", F.col("gold"))
+    rows = training_rows(prepared, items, gold, SEED)
+    pairs = sampling.balanced_pairs(rows.select("query_id", "item_pos", "y"))
+    fitted = ranker.fit_boosted(rows, pairs, prepared.names, rounds=3, depth=3, materialise=store.scratch_table)
+    return answer(prepared, fitted, 0.5)
+
+
 FOUND = (
     geo_context_weights, geo_counts, geo_background, geo_signal, location_presence, location_factor, category_distribution, category_prior, prior_entropy,
     stratified_candidates, ordinal_ranks, rrf_fusion, candidate_union, fallback_fill, search_answer, blend_rank, masked_blend, cosine_topk, semantic_dual_topk,
     embedding_features, core_features, text_split, negative_sampling, balanced_pairs, recall_at_50, candidate_coverage, loss_decomposition, recall_by_slice,
     paired_delta, grid_best, grid_pivot, bootstrap_ci, null_counts, quality_checks, dataset_profile, category_share, gold_sets, gold_histogram, dedup_catalogue,
-    encoder_text, answer_lines,
+    encoder_text, answer_lines, train_and_rank,
 )
 
 # ---- DuckDB twins
