@@ -12,6 +12,8 @@ from . import index
 
 GLOBAL, CELL, DENSE = 500, 100, 500
 FILL_FROM = 100
+#: Query vectors that are broadcast at a time.
+QUERY_BLOCK = 4096
 
 
 def with_items(scored: DataFrame, items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -98,11 +100,17 @@ def search(pools: DataFrame, items: DataFrame, queries: DataFrame, config: Searc
     return fill(best, queries, items)
 
 
-def dense(query_vectors: DataFrame, vectors: DataFrame, digits: int = 4) -> DataFrame:
+def dense(query_vectors: DataFrame, vectors: DataFrame, digits: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, item_pos, cosine) of every query with every vector: a stated query set against all
-    rows. The planner broadcasts the queries' side."""
+    rows, in blocks of about ``block`` queries that are broadcast one by one."""
     q = query_vectors.select("query_id", F.col("vector").alias("qv"))
-    return vectors.join(F.broadcast(q)).select("query_id", "item_pos", F.round(cosine(F.col("qv"), F.col("vector")), digits).alias("cosine"))
+    blocks = max(1, -(-q.count() // block))
+    out = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = vectors.join(F.broadcast(part)).select("query_id", "item_pos", F.round(cosine(F.col("qv"), F.col("vector")), digits).alias("cosine"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def semantic_score(cos: Column, factor: Column, config: SearchConfig) -> Column:
