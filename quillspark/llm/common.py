@@ -25,13 +25,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/quill-{uuid.uuid4().hex}-{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write once as Parquet in the shared folder and read back.
 
     Cuts the lineage with a copy that outlives any executor, and keeps column pruning
-    for the readers, which a checkpointed RDD would lose.
+    for the readers, which a checkpointed RDD would lose. ``narrow`` is for tables of pairs and ids that
+    are small beside the documents: a sixteenth of the shuffle partitions write them, so that
+    iterations don't leave many tiny files.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -40,7 +40,7 @@ from .packed import FLUSH, bucket_count, counts, cut, pack, spread, squeeze, unp
 
 N = 4
 PERCENT = 85
-HOT_DF = 48
+HOT_DF = 16
 MAX_HOT = 1_000_000
 #: Ids of documents to verify are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -53,7 +53,7 @@ class _Hashes(dict):
     """Word to hash, emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -90,7 +90,7 @@ def hot_tokens(docs: DataFrame, text_col: str, n: int, bits: int, buckets: int,
             for text in b.column(0).to_pylist():
                 yield tokens(text, hashes, n) >> shift
 
-    found = materialise(counts(docs.select(text_col), tokens_of, buckets, bits, hot_df), "hot-tokens")
+    found = materialise(counts(docs.select(text_col), tokens_of, buckets, bits, hot_df), "hot-tokens", narrow=True)
     limit, total = hot_df, 0
     for row in found.groupBy(F.floor(F.log2("n")).alias("k")).count().orderBy(F.desc("k")).collect():  # at most 64 rows
         total += row["count"]
@@ -147,7 +147,7 @@ def _runs_to_pairs(token: np.ndarray, gid: np.ndarray, n: np.ndarray, hot: np.nd
     for size in np.unique(sizes[sizes > 1]).tolist():
         i, j = np.triu_indices(size, 1)
         run = starts[sizes == size]
-        step = max(1, 4_000_000 // len(i))
+        step = max(1, 250_000 // len(i))
         for lo in range(0, len(run), step):
             a, b = (run[lo : lo + step, None] + i).ravel(), (run[lo : lo + step, None] + j).ravel()
             small, large = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
@@ -223,7 +223,7 @@ def components(links: DataFrame) -> DataFrame:
     Large-star joins each node's larger neighbours to its smallest one, small-star its smaller ones;
     together they reach stars in a number of rounds that grows with the logarithm of the size.
     """
-    pairs = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    pairs = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", narrow=True)
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -231,7 +231,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        pairs = materialise(small, "star")
+        pairs = materialise(small, "star", narrow=True)
         now = pairs.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -256,7 +256,7 @@ def whole_sets(ids: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: i
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough."""
-    ids = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "to-verify")
+    ids = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "to-verify", narrow=True)
     sets = whole_sets(ids, docs, text_col, id_col, n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     left, right = sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    return materialise(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"), "verified")
+    return materialise(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"), "verified", narrow=True)
 
 
 class Block:
@@ -326,7 +326,7 @@ def block_links(outside: DataFrame, members: DataFrame, docs: DataFrame, text_co
                             pairs.append((doc, int(shared.value.doc[k])))
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
-        more = materialise(rows.mapInArrow(run, "a long, b long"), "block-links")
+        more = materialise(rows.mapInArrow(run, "a long, b long"), "block-links", narrow=True)
         found = more if found is None else found.unionByName(more)
 
 
@@ -349,13 +349,13 @@ def join_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     classes = materialise(classes.where(F.col("cid").isNotNull()), "classes")
     keyed = classes.select("cid", "n", F.xxhash64("prefix").alias("p1"), F.xxhash64("prefix", F.lit(1)).alias("p2"))
     groups = keyed.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid"), F.count("*").alias("size"))
-    several = materialise(keyed.join(groups.where("size > 1"), ["n", "p1", "p2"]).select("gid", "cid", "n"), "groups")
+    several = materialise(keyed.join(groups.where("size > 1"), ["n", "p1", "p2"]).select("gid", "cid", "n"), "groups", narrow=True)
     # a group of one class bears its class's id; others are led by their smallest member
     heads = classes.join(several.where("cid <> gid").select("cid"), "cid", "left_anti").withColumnRenamed("cid", "gid")
     heads = materialise(heads.select("gid", "n", "prefix", "n_hot"), "heads")
     pairs = cold_pairs(heads, buckets, percent)
     more = several.select(F.col("gid").alias("g"), "cid")  # members beside the head, for expansion
-    pairs = materialise(pairs, "group-pairs")
+    pairs = materialise(pairs, "group-pairs", narrow=True)
     if several.head(1):
         wide = pairs.join(more.withColumnRenamed("g", "a").withColumnRenamed("cid", "ca"), "a", "left").join(more.withColumnRenamed("g", "b").withColumnRenamed("cid", "cb"), "b", "left")
         pairs = wide.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
@@ -365,25 +365,25 @@ def join_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         lists = lists.join(several.select("gid", "cid"), "gid", "left").select("list", F.coalesce("cid", "gid").alias("gid"), "n").unionByName(several.select("gid", "cid", "n").select(F.xxhash64("gid", F.lit("group")).alias("list"), F.col("cid").alias("gid"), "n"))
     sizes = lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
     lists = materialise(lists.join(sizes.select("list"), "list"), "lists")
-    labels = materialise(components(links), "labels")
+    labels = materialise(components(links), "labels", narrow=True)
     if not lists.head(1):
         return sets_with_class(sets, classes), labels
     for round_ in ("first", "largest", "rest"):
         now = lists.join(labels, lists["gid"] == labels["node"], "left").select("list", "gid", "n", F.coalesce("label", "gid").alias("c"))
         span = now.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("c", "gid", "n")).alias("first"), F.max(F.struct("n", "gid", "c")).alias("largest")).where("c0 <> c1")
-        now = materialise(now.join(span, "list"), "open-lists")
+        now = materialise(now.join(span, "list"), "open-lists", narrow=True)
         if not now.head(1):
             break
         if round_ == "rest":
-            outside = materialise(now.where("c <> c0").select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "outside")
-            members = materialise(now.select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "members")
+            outside = materialise(now.where("c <> c0").select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "outside", narrow=True)
+            members = materialise(now.select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "members", narrow=True)
             links = links.unionByName(block_links(outside, members, docs, text_col, id_col, n, percent))
         else:
             pivot = F.col(round_)
             found = now.where((pivot["c"] != F.col("c")) & fitting(pivot["n"], F.col("n"), percent)).select(pivot["gid"].alias("a"), F.col("gid").alias("b"))
-            found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "list-pairs")
+            found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "list-pairs", narrow=True)
             links = links.unionByName(verify(found, docs, text_col, id_col, n, percent))
-        labels = materialise(components(links), "labels")
+        labels = materialise(components(links), "labels", narrow=True)
     return sets_with_class(sets, classes), labels
 
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tokens that a task holds before it combines and sends them.
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 
 def pack(values: np.ndarray) -> bytes:
