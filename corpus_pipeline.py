@@ -14,24 +14,33 @@ from quillspark.llm import decontaminate, jaccard_join, language_id, line_dedup,
 from quillspark.llm.common import BLANK, materialise, read
 
 
-def _same_columns(out: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
-    """Columns as in ``docs``; with changed texts their lengths anew, and no wordless text."""
-    if changed and "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    if changed:
-        out = out.where(F.col("text").rlike(f"[^{BLANK}]"))
-    return out.select(docs.columns)
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator looks at, and the whole row beside them under one name, so that no
+    column of ``docs`` clashes with the operator's own."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def _rows(docs: DataFrame) -> list:
+    return [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+
+
+def _with_new_text(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows with the operator's texts and their lengths; wordless texts go."""
+    out = out.where(F.col("text").rlike(f"[^{BLANK}]"))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
+    return out.select(*[F.col("text") if c == "text" else length if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
     model = language_id.fit(docs.where(language_id.fold() != 2))
-    return _same_columns(language_id.predict(docs, model).where("not rejected"), docs)
+    accepted = language_id.predict(_packed(docs, "text"), model).where("not rejected")
+    return accepted.select(_rows(docs))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the repeated line chunks of documents before them."""
-    return _same_columns(line_dedup.dedup(docs), docs, changed=True)
+    return _with_new_text(line_dedup.dedup(_packed(docs, "doc_id", "text")), docs)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +50,20 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = members.join(labels, members["cid"] == labels["node"], "left")
     stays = found.where(F.col("doc").isNotNull() & (F.coalesce("label", "cid", "doc") == F.col("doc"))).select("doc").distinct()
     kept = docs.join(stays, docs["doc_id"].cast("long") == stays["doc"], "left_semi")
-    # repeated rows of an id: one stays
-    once = kept.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_r"))
-    once = once.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in docs.columns if c != "doc_id"])
-    return once.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    # repeated rows of an id: the one with the first text stays
+    once = _packed(kept, "doc_id").groupBy("doc_id").agg(F.min_by("_row", F.coalesce(F.col("_row.text"), F.lit(""))).alias("_row"))
+    return once.select(_rows(docs)).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; documents that are mostly benchmark go."""
-    return _same_columns(decontaminate.remove(docs, read(spark, sf_dir, "benchmark")), docs, changed=True)
+    clean = decontaminate.remove(_packed(docs, "text"), read(spark, sf_dir, "benchmark"))
+    return _with_new_text(clean, docs)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the weighted mix takes: the documents with size, source_size, target, taken and copies."""
+    """What the weighted mix takes: the documents with size, source_size, target, taken and copies,
+    which replace columns of these names."""
     return mixing.mix_documents(docs)
 
 

@@ -8,8 +8,8 @@ benchmark; with several blocks the documents are scanned once for each and the f
 
 Defined results: null or empty text has no words and no hit; null or wordless items have no
 window; equal windows of several items count for each item; repeated document rows are judged one
-by one; empty tables give empty or clean results; columns of the input that bear a name of an
-output column are replaced.
+by one; empty tables give empty or clean results. ``scan`` replaces input columns that bear a name
+of an output column; ``remove`` keeps every column.
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -
         yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", n: int = N, block_chars: int = BLOCK_CHARS, keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", n: int = N, block_chars: int = BLOCK_CHARS, keep_text: bool = True) -> DataFrame:
     """The documents with ``n_words``, ``n_hit``, ``items`` (ids of items with occurring windows)
     and ``hit_bits`` (a bit for each word). ``keep_text=False`` leaves the text out."""
     spark = docs.sparkSession
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
 
     names = out.columns
     full = T.StructType([*out.schema.fields, *schema.fields[len(kept) :]])
-    queue = blocks(benchmark, id_col, text_col, block_chars)
+    queue = blocks(benchmark, id_col, item_text_col, block_chars)
     block = next(queue, [])
     while True:
         following = next(queue, None)
@@ -180,24 +180,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", max_hit: float = 0.5, text_col: str = "text", **options) -> DataFrame:
     """Clean documents: ``spans`` cuts the hit words and drops documents with a hit share above
     ``max_hit``; ``documents`` drops every document with a hit. Same columns as ``docs``."""
-    found = scan(docs, benchmark, text_col=text_col, **options)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    found = scan(packed, benchmark, text_col="_text", **options)
     if mode == "documents":
-        return found.where("n_hit = 0").select(docs.columns)
+        return found.where("n_hit = 0").select("_row.*")
     found = found.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_hit))
-    names, at = found.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text_col).to_pylist()
+            texts = b.column("_text").to_pylist()
             bits, words_, hits = (b.column(c).to_pylist() for c in ("hit_bits", "n_words", "n_hit"))
             new = [cut(t, np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool)) if h else t for t, x, k, h in zip(texts, bits, words_, hits, strict=True)]
-            cols = [pa.array(new, pa.string()) if f.name == text_col else b.column(f.name) for f in at.fields]
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in at.fields])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(new, pa.string())], ["_row", "_text"])
 
-    missing = [c for c in docs.columns if c not in names]
-    if missing:
-        raise ValueError(f"columns {missing} clash with the operator's own; rename them first")
-    return found.mapInArrow(run, docs.schema)
+    clean = found.mapInArrow(run, T.StructType([found.schema["_row"], T.StructField("_text", T.StringType())]))
+    return clean.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_benchmark_decontamination(spark, sf_dir):

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, materialise, read, without
 
@@ -106,7 +107,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **opt
     lists = spans.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e", "lines")).alias("_cut")).withColumnsRenamed({"d": "_d", "t": "_t"})
     rows = _keyed(docs, text_col, id_col).join(lists, ["_d", "_t"], "left").select(*docs.columns, "_cut")
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed_lines long, n_removed_chunks long"
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_chunks"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

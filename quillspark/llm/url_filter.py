@@ -9,7 +9,7 @@ with the edges of both directions and a sum that combines before its shuffle.
 
 Defined results: null URL or one without ``://`` has an empty host and path and is allowed; null
 html has no links; links within a host are no edges; repeated rows are judged one by one; an empty
-table gives an empty result.
+table gives an empty result; input columns with the names of output columns are replaced.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ def path(url: Column) -> Column:
 
 
 def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, rules): the rules of a host and its parents, as structs (size, rule, path, verdict)."""
+    """(host, _rules): the rules of a host and its parents, as structs (size, rule, path, verdict)."""
     parts = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     exploded = hosts.select("host", F.explode(parents).alias("parent"))
     cut = F.instr("rule", "/")
     table = rules.select("rule", "verdict", F.substring("rule", F.lit(1), cut - 1).alias("parent"), F.substring("rule", cut, F.length("rule")).alias("path"), F.length("rule").alias("size"))
-    return exploded.join(table, "parent").groupBy("host").agg(F.collect_list(F.struct("size", "rule", "path", "verdict")).alias("rules"))
+    return exploded.join(table, "parent").groupBy("host").agg(F.collect_list(F.struct("size", "rule", "path", "verdict")).alias("_rules"))
 
 
 def best_rule(rules: Column, page_path: Column) -> Column:
@@ -69,7 +69,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     start = materialise(start.select("kind", "host", (F.col("mass") * F.lit(1 - damping)).alias("score")), "seeds")
     score = start
     for i in range(iterations if flow.head(1) else 0):
-        moved = score.join(flow, (score["kind"] == flow["kind"]) & (score["host"] == flow["a"])).select(flow["kind"], F.col("b").alias("host"), (F.col("score") * F.col("share") * F.lit(damping)).alias("score"))
+        from_here = score.select("kind", F.col("host").alias("a"), "score").join(flow, ["kind", "a"])
+        moved = from_here.select("kind", F.col("b").alias("host"), (F.col("score") * F.col("share") * F.lit(damping)).alias("score"))
         score = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % 4 == 3:
             score = materialise(score, "scores")
@@ -84,17 +85,17 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col: st
     known = materialise(rules_of_hosts(counted, rules), "host-rules")
 
     def with_rule(p: DataFrame) -> DataFrame:
-        return p.join(known, "host", "left").withColumn("best", best_rule(F.col("rules"), F.col("path"))).drop("rules")
+        return p.join(known, "host", "left").withColumn("_best", best_rule(F.col("_rules"), F.col("path"))).drop("_rules")
 
     def share(verdict: str) -> Column:
-        return F.sum(F.when(F.col("best.verdict") == verdict, 1).otherwise(0)) / F.count("*")
+        return F.sum(F.when(F.col("_best.verdict") == verdict, 1).otherwise(0)) / F.count("*")
 
     seeds = with_rule(pages.select("host", "path")).groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = materialise(propagate(edges(pages.select("host", html_col), html_col), seeds, damping, iterations), "host-scores")
     judged = with_rule(pages.drop(html_col)).join(scores, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     own = F.when((distrust > trust) & (distrust > F.lit(threshold)) & (F.col("host") != ""), "block").otherwise("allow")
-    return judged.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce(F.col("best.verdict"), own)).withColumn("trust", trust).withColumn("distrust", distrust).drop("best")
+    return judged.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), own)).withColumn("trust", trust).withColumn("distrust", distrust).drop("_best")
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
