@@ -14,6 +14,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    from . import mixing, url_filter, warc
+    from . import mixing, oracles, url_filter, warc
 
-    return {"op1_legacy_archive_converter": warc.OP1_SQL, "op2_weighted_fair_mix": mixing.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL}
+    return {
+        "op1_legacy_archive_converter": warc.OP1_SQL, "op2_weighted_fair_mix": mixing.OP2_SQL, "op4_quality_rules": oracles.OP4,
+        "op6_url_filter": url_filter.OP6_SQL, "op7_ngram_jaccard_join": oracles.OP7, "op9_benchmark_decontamination": oracles.OP9,
+    }
