@@ -5,22 +5,23 @@ from __future__ import annotations
 import argparse
 import time
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import pipeline
 from .config import SearchConfig
 from .functions.text import normalize
 from .operators import metrics, ranker, sampling
-from .sources import catalogue, export
+from .sources import catalogue, export, store
+from .sources.views import positions
 
 PREVIOUS = (20260927, 2026092705, 2026092806)
 SEED = 20260928
 
 
 def _place(items):
-    """Positions by id; a numbering of the whole catalogue, made once and written."""
-    return items.withColumn("item_pos", F.row_number().over(Window.orderBy("item_id")) - 1)
+    """Positions by id, written once: every join below goes by them."""
+    return store.scratch_table(positions(items, "item_id", bucket=F.substring("item_id", 1, 4)))
 
 
 def _searches(queries):
@@ -57,12 +58,13 @@ def main(argv: list[str] | None = None) -> None:
         rows = None
         for fold in range(3):
             contexts = sampling.select_contexts(fit.where(F.col("fold") == fold), sampling.first_by_hash(fit.where(F.col("fold") == fold).select("query_norm").distinct(), 2000, SEED), f"train{fold}", SEED)
+            contexts = store.scratch_table(contexts)
             prepared = pipeline.prepare(items, _searches(contexts), fit.where(F.col("fold") != fold), config)
-            part = pipeline.training_rows(prepared, items, contexts, SEED)
+            part = store.scratch_table(pipeline.training_rows(prepared, items, contexts, SEED))
             rows = part if rows is None else rows.unionByName(part)
         chosen = sampling.balanced_pairs(rows.select("query_id", "item_pos", "y"))
         names = prepared.names
-        ranker.fit_boosted(rows, chosen, names, rounds=args.rounds).choose(min(args.rounds, 100), args.weight, vars(config), semantic=False).save(args.model)
+        ranker.fit_boosted(rows, chosen, names, rounds=args.rounds, materialise=store.scratch_table).choose(min(args.rounds, 100), args.weight, vars(config), semantic=False).save(args.model)
         return
     contexts = None
     for name in ("val", "test"):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import ANSWER, SearchConfig
 from .operators import blend, features, geo, index, prior, retrieve, sampling
+from .sources.store import scratch_table as keep
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,12 @@ def lexical_pools(items: DataFrame, queries: DataFrame, config: SearchConfig, mo
 def prepare(items: DataFrame, queries: DataFrame, pairs: DataFrame, config: SearchConfig, item_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> Prepared:
     """Candidates and feature blocks of searches, from training pairs that hold none of their texts."""
     model = geo.fit(pairs)
-    p = prior.prior(pairs, queries.select("query_id", "search_query"))
+    # each of these is read several times below: written once
+    model = geo.GeoModel(keep(model.counts), keep(model.support), keep(model.background))
+    items, queries = keep(items), keep(queries)
+    p = keep(prior.prior(pairs, queries.select("query_id", "search_query")))
     pools, vocabulary = lexical_pools(items, queries, config, model)
+    pools, vocabulary = keep(pools), keep(vocabulary)
     text = retrieve.union_candidates(pools, queries, items).withColumn("in_text", F.lit(True))
     near = scored = None
     found = text
@@ -56,16 +61,18 @@ def prepare(items: DataFrame, queries: DataFrame, pairs: DataFrame, config: Sear
         scored = retrieve.dense(query_vectors, item_vectors).join(items.select("item_pos", "location_id"), "item_pos").join(queries.select("query_id", "search_location_id"), "query_id")
         scored = geo.with_factor(scored, items, model, config)
         scored = scored.withColumn("geo_score", F.round(retrieve.semantic_score(F.col("cosine"), F.col("factor"), config), 4))
-        near = retrieve.dual_top(scored)
+        scored = keep(scored)
+        near = keep(retrieve.dual_top(scored))
         found = text.unionByName(near.select("query_id", "item_pos", F.lit(False).alias("in_text"))).groupBy("query_id", "item_pos").agg(F.max("in_text").alias("in_text"))
+    found = keep(found)
     core = features.core(found, pools, items, queries, model, p, vocabulary, config)
-    counts = index.term_counts(items, by_field=True)
-    fields = features.field(found, items, queries, index.bm25(counts, items.count(), ("field",)), counts.groupBy("item_pos", "field").agg(F.sum("tf").alias("len")))
+    core, counts = keep(core), keep(index.term_counts(items, by_field=True))
+    fields = features.field(found, items, queries, keep(index.bm25(counts, items.count(), ("field",))), counts.groupBy("item_pos", "field").agg(F.sum("tf").alias("len")))
     dense = None
     if near is not None:
         with_rrf = found.join(core.select("query_id", "item_pos", "prior_relative", F.col("search_rrf").alias("text_rrf")), ["query_id", "item_pos"])
         dense = features.embedding(with_rrf, scored.select("query_id", "item_pos", "cosine", "factor"), near, config)
-    return Prepared(found, pools, core, fields, dense)
+    return Prepared(found, pools, core, keep(fields), dense if dense is None else keep(dense))
 
 
 def training_rows(prepared: Prepared, items: DataFrame, gold: DataFrame, seed: int) -> DataFrame:

@@ -19,13 +19,14 @@ def hex_id(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
-def positions(df: DataFrame, key: str, name: str = "item_pos", width: int = 65536) -> DataFrame:
-    """Adds the 0-based place by a distinct long ``key``.
+def positions(df: DataFrame, key: str, name: str = "item_pos", bucket: Column | None = None) -> DataFrame:
+    """Adds the 0-based place by a distinct ``key``.
 
-    Rows are counted in ranges of ``width`` keys; a range's first place is the sum of the counts before it,
-    so only the counts are ordered in one task and the rows are ordered range by range.
+    ``bucket`` is an expression that rises with the key, by default the key in ranges of 65,536. A
+    bucket's first place is the number of rows in the buckets before it, so only the counts are
+    ordered in one task and the rows are ordered bucket by bucket.
     """
-    rows = df.withColumn("_range", F.floor(F.col(key) / width))
+    rows = df.withColumn("_range", F.floor(F.col(key) / 65536) if bucket is None else bucket)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_range").orderBy(key)
