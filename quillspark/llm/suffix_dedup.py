@@ -8,7 +8,7 @@ another segment has can hold repeats. The steps:
 1. Keys are counted in packed form; those of more than one segment set a filter of fixed size.
 2. The segments that pass it are written with a hash of their bytes. Equal segments repeat wholly.
 3. Of the other keys with different segments, one segment of each content goes, with its bytes, to
-   shards of whole key groups. A shard builds an enhanced suffix array (prefix doubling, common
+   shards of whole key groups. A shard leaves out windows whose hash is alone, builds an enhanced suffix array (prefix doubling, common
    prefixes, preceding bytes), scans it with a stack for the tree of common-prefix intervals and
    keeps those with different preceding bytes: the maximal repeats with all their occurrences.
 4. A key group of more than ``GROUP`` contents, which could outgrow a task, takes another exact way:
@@ -227,6 +227,30 @@ def covered(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [mask[s : s + len(t)] for s, t in zip(start.tolist(), texts, strict=True)]
 
 
+def repeated_runs(texts: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(text number, start, end) of the runs of windows whose hash another window has: what else there
+    is cannot repeat, and need not be sorted. Runs of a text overlap in less than ``length`` bytes."""
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    windows = np.maximum(size - length + 1, 0)
+    if not windows.any():
+        return []
+    pos = np.arange(int(windows.sum())) + np.repeat(start - np.cumsum(windows) + windows, windows)
+    h = rolling(data, length)[pos]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    again = np.zeros(len(pos), bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    first = np.concatenate([[True], pos[1:] != pos[:-1] + 1])  # of a text's windows
+    last = np.append(first[1:], True)
+    lo = pos[again & (first | ~np.concatenate([[False], again[:-1]]))]
+    hi = pos[again & (last | ~np.append(again[1:], False))] + length
+    owner = np.searchsorted(start, lo, side="right") - 1
+    return list(zip(owner.tolist(), (lo - start[owner]).tolist(), (hi - start[owner]).tolist(), strict=True))
+
+
 def _spans(mask: np.ndarray) -> np.ndarray:
     """(start, end) of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
@@ -296,9 +320,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     def shard(table: pa.Table) -> pa.Table:
         rows = []
         open_, lo = table.column("open").to_pylist(), table.column("lo").to_pylist()
-        for i, mask in enumerate(covered(table.column("bytes").to_pylist(), length)):
+        texts = table.column("bytes").to_pylist()
+        runs = repeated_runs(texts, length)
+        for (i, at, _), mask in zip(runs, covered([texts[i][a:b] for i, a, b in runs], length), strict=True):
             if open_[i]:
-                rows += [(i, lo[i] + s, lo[i] + e) for s, e in _spans(mask).tolist()]
+                rows += [(i, lo[i] + at + s, lo[i] + at + e) for s, e in _spans(mask).tolist()]
         at = pa.array([r[0] for r in rows], pa.int64())
         return pa.table({"d": table.column("d").take(at), "t": table.column("t").take(at), "s": pa.array([r[1] for r in rows], pa.int32()), "e": pa.array([r[2] for r in rows], pa.int32())})
 
