@@ -92,16 +92,20 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with ``copies`` (how often) and the other results.
 
-    Repeated ids are told apart by their order among equal ids, sizes and sources.
+    Rows with equal ids, sources and sizes, if there are any, are told apart by their order.
     """
     docs = without(docs, *RESULTS)
-    size = word_count(F.col("text"))
-    found = mix(docs.select("doc_id", "source", size.alias("size")), **options).where("copies > 0")
-    twin = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies")))
-    left = docs.withColumn("size", size).withColumn("_twin", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("text")))
-    right = found.withColumn("_twin", twin).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_twin", "source_size", "target", "taken", "copies")
-    same = left["doc_id"].eqNullSafe(right["_d"]) & left["source"].eqNullSafe(right["_s"]) & (left["size"] == right["_n"]) & (left["_twin"] == right["_twin"])
-    return left.join(right, same).drop(left["_twin"]).drop("_d", "_s", "_n", "_twin")
+    same = ["doc_id", "source", "size"]
+    left = docs.withColumn("size", word_count(F.col("text")))
+    found = mix(left.select(*same), **options)
+    repeated = not found.groupBy(*same).count().where("count > 1").isEmpty()
+    found = found.where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in same], "source_size", "target", "taken", "copies")
+    match = left["doc_id"].eqNullSafe(found["_doc_id"]) & left["source"].eqNullSafe(found["_source"]) & (left["size"] == found["_size"])
+    if repeated:
+        left = left.withColumn("_twin", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
+        found = found.withColumn("_other", F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.desc("copies"))))
+        match = match & (left["_twin"] == found["_other"])
+    return left.join(found, match).drop("_twin", "_other", *[f"_{c}" for c in same])
 
 
 def op2_weighted_fair_mix(spark, sf_dir):
