@@ -1,8 +1,9 @@
 """Line dedup with content-defined chunks.
 
 A chunk ends after a line where the rolling hash of the last ``WINDOW`` line hashes is divisible by
-``divisor``, or after ``longest`` lines; so an inserted or deleted line shifts no boundary beyond the
-next few lines. Chunks with at least two lines that have a word are counted over all documents by a
+``divisor`` and the chunk has two lines with a word, or after ``longest`` lines; a shorter rest joins the
+last chunk. So an inserted or deleted line shifts no boundary beyond the next few lines, and a copy of a
+text of several lines goes as a whole. Chunks with at least two lines that have a word are counted over all documents by a
 128-bit hash. Of those that occur again, the one with the smallest (id, place) stays; the bytes of
 every other one are compared with it, and equal ones are removed with their line ends.
 
@@ -46,10 +47,13 @@ def chunks(raw: bytes, divisor: int = DIVISOR, longest: int = LONGEST) -> list[t
         at = min(at + len(line) + 1, len(raw))
         lines += 1
         full += bool(line.strip())
-        if (rolling >> 32) % divisor == 0 or lines == longest:
+        if full >= 2 and (rolling >> 32) % divisor == 0 or lines == longest:
             out.append((start, at, lines, full))
             start, lines, full = at, 0, 0
     if lines and at > start:
+        if full < 2 and out:  # the rest is too short for a chunk
+            last = out.pop()
+            start, lines, full = last[0], lines + last[2], full + last[3]
         out.append((start, at, lines, full))
     return out
 
