@@ -9,7 +9,7 @@ below ``min_margin`` is marked ``rejected``.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and rejected; equal
 sizes go to the first language by code point with score 0; with one learned language the score is
-1; with none every text is ``und``. Null labels and null ids are never learned from. Input columns
+1; with none every text is ``und``; more than ``MAX_LANGS`` labels are an error. Null labels and null ids are never learned from. Input columns
 with the names of output columns are replaced.
 """
 
@@ -28,6 +28,8 @@ from .common import bound_batches, read, without
 
 PER_LANG = 256
 DICT_BYTES = 1 << 17
+#: A text is compressed once for each language, so their number is bounded.
+MAX_LANGS = 1000
 MIN_MARGIN = 0.005
 LEVEL = 3
 _OTHER = re.compile(r"[\W\d_]+")
@@ -38,12 +40,21 @@ def letters(text: str) -> bytes:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionary of each language. Only ids and labels are ranked over the whole table (each task
-    keeps ``per_lang`` of a language before the shuffle); then the chosen texts are fetched."""
+    """Dictionary of each language. A language's ids are thinned by their hash to some four times
+    ``per_lang``, however many there are, and the first ``per_lang`` in the hash's order are taken; then
+    their texts are fetched."""
     key = F.md5(F.col(id_col).cast("string"))
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = rows.groupBy(F.col(lang_col).alias("_l")).agg(F.count("*").alias("_c")).limit(MAX_LANGS + 1).collect()
+    if not counts:
+        return {}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} labels")
+    small = F.broadcast(labelled.sparkSession.createDataFrame(counts, "_l string, _c long"))
+    place = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2.0**32
+    thin = rows.select(lang_col, id_col).join(small, F.col(lang_col) == F.col("_l")).where(place * F.col("_c") < 4 * per_lang + 64)
     w = Window.partitionBy(lang_col).orderBy(key, id_col)
-    chosen = rows.select(lang_col, id_col).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_lang).select(id_col).distinct()
+    chosen = thin.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_lang).select(id_col).distinct()
     share = max(1, dict_bytes // 8)
     drawn = rows.join(F.broadcast(chosen), id_col).select(lang_col, key.alias("_k"), F.substring(text_col, 1, share).alias("_t")).collect()
     out: dict[str, bytes] = {}
