@@ -1,20 +1,24 @@
-"""Line dedup with content-defined chunks.
-
-A chunk ends after a line where the rolling hash of the last ``WINDOW`` line hashes is divisible by
-``divisor`` and the chunk has two lines with a word, or after ``longest`` lines; a shorter rest joins the
-last chunk. So an inserted or deleted line shifts no boundary beyond the next few lines, and a copy of a
-text of several lines goes as a whole. Chunks with at least two lines that have a word are counted over all documents by a
-128-bit hash. Of those that occur again, the one with the smallest (id, place) stays; the bytes of
-every other one are compared with it, and equal ones are removed with their line ends.
-
-Defined results: null or empty text has no line and stays as it is; blank lines belong to the chunk
-around them; repeated rows (equal id and text) are one document and keep the same chunks; rows with
+"""Line dedup with overlapping chunks of two lines.
+
+A chunk begins at every line with a word and ends with the next such line; the chunk of a text that has
+only one is that line. As a chunk begins at every line, an inserted or deleted line changes only the
+chunks that hold it, and the chunks of a run of two or more adjacent lines that a document before has too cover the run.
+Chunks are counted over all documents by a 128-bit hash. Of those that occur again, the one with the
+smallest (id, place) stays; the bytes of every other one are compared with it, and what equal ones
+cover is removed with its line ends. The first occurrence of a line's text always stays, since a chunk
+that held it would need one before it.
+
+Defined results: null or empty text has no line and stays as it is; blank lines inside a chunk belong
+to it, those behind a removed run go with it, and so do those before it at the text's beginning;
+a single repeated line among others stays, and so does a text of one line that is a line of a longer
+text; repeated rows (equal id and text) are one document and keep the same chunks; rows with
 equal ids and different texts are told apart by a hash of the text; null ids come first in order;
 an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,45 +29,58 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, materialise, read, without
 
-WINDOW = 2
-DIVISOR = 3
-LONGEST = 32
-#: Documents with chunks to compare that are broadcast; beyond it the texts are shuffled.
+#: Documents with chunks to compare that are broadcast, and their chunks; beyond it the texts are shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_CHUNKS = 1_000_000
 _MASK = (1 << 64) - 1
-_STEP = 0x9E3779B97F4A7C15
-
-
-def chunks(raw: bytes, divisor: int = DIVISOR, longest: int = LONGEST) -> list[tuple[int, int, int, int]]:
-    """(start, end, lines, lines with a word) of the chunks of a text, as byte places."""
+_SPACE = re.compile(rb"\s*")
+
+
+def chunks(raw: bytes) -> list[tuple[int, int, int, int]]:
+    """(start, end, lines, lines with a word) of the chunks of a text, as byte places; the end is that of
+    the last line, without its line end."""
+    full, at = [], 0
+    for i, line in enumerate(raw.split(b"\n")):
+        if line.strip():
+            full.append((at, at + len(line), i))
+        at += len(line) + 1
+    if len(full) == 1:
+        return [(full[0][0], full[0][1], 1, 1)]
+    return [(s, e, j - i + 1, 2) for (s, _, i), (_, e, j) in zip(full, full[1:])]
+
+
+def runs(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, lines) of what to remove for chunks (start, end): overlapping ones are joined, and
+    the blank lines around them added."""
+    joined: list[list[int]] = []
+    for s, e in sorted(spans):
+        if joined and s < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], e)
+        else:
+            joined.append([s, e])
     out = []
-    power = pow(_STEP, WINDOW, 1 << 64)
-    rolling, recent = 0, [0] * WINDOW
-    start = at = lines = full = 0
-    for line in raw.split(b"\n"):
-        h = xxhash.xxh3_64_intdigest(line)
-        rolling = (rolling * _STEP + h - recent[0] * power) & _MASK
-        recent = [*recent[1:], h]
-        at = min(at + len(line) + 1, len(raw))
-        lines += 1
-        full += bool(line.strip())
-        if full >= 2 and (rolling >> 32) % divisor == 0 or lines == longest:
-            out.append((start, at, lines, full))
-            start, lines, full = at, 0, 0
-    if lines and at > start:
-        if full < 2 and out:  # the rest is too short for a chunk
-            last = out.pop()
-            start, lines, full = last[0], lines + last[2], full + last[3]
-        out.append((start, at, lines, full))
+    for s, e in joined:
+        s = s if raw[:s].strip() else 0
+        behind = _SPACE.match(raw, e).end()
+        e = len(raw) if behind == len(raw) else raw.rfind(b"\n", e, behind) + 1
+        out.append((s, e, raw.count(b"\n", s, e) + (e == len(raw))))
     return out
 
 
+def _rest(raw: bytes, found: list[tuple[int, int, int]]) -> str:
+    at, parts = 0, []
+    for s, e, _ in found:
+        parts.append(raw[at:s])
+        at = e
+    return b"".join([*parts, raw[at:]]).decode()
+
+
 def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_t", F.xxhash64(text_col))
 
 
-def repeated_chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", divisor: int = DIVISOR, longest: int = LONGEST) -> DataFrame:
-    """(d, t, s, e, lines): chunks to remove, as byte places; d and t are the id and the text's hash."""
+def repeated_chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(d, t, s, e): chunks to remove, as byte places; d and t are the id and the text's hash."""
     bound_batches(docs.sparkSession)
     keyed = _keyed(docs, text_col, id_col).select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.col(text_col).alias("text"))
 
@@ -72,43 +89,43 @@ def repeated_chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             at, rows = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 raw = (text or "").encode()
-                for s, e, lines, full in chunks(raw, divisor, longest):
-                    if full >= 2:
-                        h = xxhash.xxh3_128_intdigest(raw[s:e].rstrip(b"\n"))
-                        at.append(i)
-                        rows.append((s, e, lines, (h >> 64) - (1 << 63), (h & _MASK) - (1 << 63)))
+                for s, e, _, _ in chunks(raw):
+                    h = xxhash.xxh3_128_intdigest(raw[s:e])
+                    at.append(i)
+                    rows.append((s, e, (h >> 64) - (1 << 63), (h & _MASK) - (1 << 63)))
             take = pa.array(at, pa.int64())
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("d").take(take), b.column("t").take(take), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["d", "t", "s", "e", "lines", "h1", "h2"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("d").take(take), b.column("t").take(take), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["d", "t", "s", "e", "h1", "h2"])
 
-    found = materialise(keyed.mapInArrow(listed, "d long, t long, s int, e int, lines int, h1 long, h2 long"), "chunks")
+    found = materialise(keyed.mapInArrow(listed, "d long, t long, s int, e int, h1 long, h2 long"), "chunks")
     firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "s")).alias("first")).where("n > 1").select("h1", "h2", "first")
     # a document's list is bounded by its length
     wanted = found.join(firsts, ["h1", "h2"]).withColumn("is_first", F.struct("d", "t", "s") == F.col("first"))
-    wanted = materialise(wanted.groupBy("d", "t").agg(F.collect_set(F.struct("s", "e", "lines", "h1", "h2", "is_first")).alias("want")), "repeated")
-    few = wanted.count() <= BROADCAST_ROWS
+    wanted = materialise(wanted.groupBy("d", "t").agg(F.collect_set(F.struct("s", "e", "h1", "h2", "is_first")).alias("want")), "repeated")
+    n_docs, n_chunks = wanted.agg(F.count("*"), F.sum(F.size("want"))).first()
+    few = n_docs <= BROADCAST_ROWS and (n_chunks or 0) <= BROADCAST_CHUNKS
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, (text, want) in enumerate(zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True)):
                 raw, take = text.encode(), pa.array([i] * len(want), pa.int64())
-                kinds = (("s", pa.int32()), ("e", pa.int32()), ("lines", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("is_first", pa.bool_()))
+                kinds = (("s", pa.int32()), ("e", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("is_first", pa.bool_()))
                 cols = [pa.array([w[c] for w in want], k) for c, k in kinds]
-                yield pa.RecordBatch.from_arrays([b.column("d").take(take), b.column("t").take(take), *cols, pa.array([raw[w["s"] : w["e"]].rstrip(b"\n") for w in want], pa.binary())], ["d", "t", *(c for c, _ in kinds), "bytes"])
+                yield pa.RecordBatch.from_arrays([b.column("d").take(take), b.column("t").take(take), *cols, pa.array([raw[w["s"] : w["e"]] for w in want], pa.binary())], ["d", "t", *(c for c, _ in kinds), "bytes"])
 
-    parts = keyed.join(F.broadcast(wanted) if few else wanted, ["d", "t"]).mapInArrow(fetch, "d long, t long, s int, e int, lines int, h1 long, h2 long, is_first boolean, bytes binary")
+    parts = keyed.join(F.broadcast(wanted) if few else wanted, ["d", "t"]).mapInArrow(fetch, "d long, t long, s int, e int, h1 long, h2 long, is_first boolean, bytes binary")
     parts = materialise(parts, "chunk-bytes")
     kept = parts.where("is_first").select("h1", "h2", F.col("bytes").alias("kept")).groupBy("h1", "h2").agg(F.first("kept").alias("kept"))
     # a plain equi-join: a hot chunk's copies may be split over tasks at run time
-    return parts.where("not is_first").join(kept, ["h1", "h2"]).where("bytes = kept").select("d", "t", "s", "e", "lines")
+    return parts.where("not is_first").join(kept, ["h1", "h2"]).where("bytes = kept").select("d", "t", "s", "e")
 
 
-def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents with repeated chunks removed from their texts, and ``n_lines``,
-    ``n_removed_lines`` and ``n_removed_chunks``."""
+    ``n_removed_lines`` and ``n_removed_chunks`` (runs of joined chunks)."""
     docs = without(docs, "n_lines", "n_removed_lines", "n_removed_chunks")
-    spans = repeated_chunks(docs, text_col, id_col, **options).distinct()
-    lists = spans.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e", "lines")).alias("_cut")).withColumnsRenamed({"d": "_d", "t": "_t"})
+    spans = repeated_chunks(docs, text_col, id_col).distinct()
+    lists = spans.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("_cut")).withColumnsRenamed({"d": "_d", "t": "_t"})
     rows = _keyed(docs, text_col, id_col).join(lists, ["_d", "_t"], "left").select(*docs.columns, "_cut")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_chunks"))])
@@ -118,14 +135,13 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **opt
             texts, counts = [], []
             for text, cut in zip(b.column(text_col).to_pylist(), b.column("_cut").to_pylist(), strict=True):
                 n = text.count("\n") + 1 if text else 0
+                found = []
                 if cut:
-                    raw, at, parts = text.encode(), 0, []
-                    for c in sorted(cut, key=lambda c: c["s"]):
-                        parts.append(raw[at : c["s"]])
-                        at = c["e"]
-                    text = b"".join([*parts, raw[at:]]).decode()
+                    raw = text.encode()
+                    found = runs(raw, [(c["s"], c["e"]) for c in cut])
+                    text = _rest(raw, found)
                 texts.append(text)
-                counts.append((n, sum(c["lines"] for c in cut or ()), len(cut or ())))
+                counts.append((n, sum(lines for _, _, lines in found), len(found)))
             cols = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*names, "n_lines", "n_removed_lines", "n_removed_chunks"])
 
@@ -138,20 +154,15 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def plain(texts: dict[int, str | None], divisor: int = DIVISOR, longest: int = LONGEST) -> dict[int, str | None]:
+def plain(texts: dict[int, str | None]) -> dict[int, str | None]:
     """The same removal over a dict in memory, for tests."""
     seen, out = set(), {}
     for key in sorted(texts):
         raw = (texts[key] or "").encode()
-        kept = []
-        for s, e, _, full in chunks(raw, divisor, longest):
-            body = raw[s:e].rstrip(b"\n")
-            if full >= 2 and body in seen:
-                continue
-            if full >= 2:
-                seen.add(body)
-            kept.append(raw[s:e])
-        out[key] = b"".join(kept).decode() if texts[key] is not None else None
+        again = []
+        for s, e, _, _ in chunks(raw):
+            if raw[s:e] in seen:
+                again.append((s, e))
+            seen.add(raw[s:e])
+        out[key] = _rest(raw, runs(raw, again)) if texts[key] is not None else None
     return out
-
-

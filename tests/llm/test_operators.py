@@ -219,6 +219,14 @@ def test_chunk_boundaries_resist_a_shift():
     assert len(ends[0] & ends[1]) >= len(ends[0]) - 2
 
 
+def test_line_dedup_removes_whole_runs_and_single_line_copies(spark):
+    texts = {1: "a one\nb two\nc three\nd four", 2: "own x\nb two\nc three\nown y", 3: "c three\nd four\nown z", 4: "only line", 5: "only line\n", 6: "own v\nb two\nown w", 7: " \na one\nb two\n\nown u", 8: "r\nr\nr\nr"}
+    out = line_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    left = {1: texts[1], 2: "own x\nown y", 3: "own z", 4: "only line", 5: "", 6: texts[6], 7: "own u", 8: "r\n"}
+    assert {r["doc_id"]: r["text"] for r in out} == left == line_dedup.plain(texts)
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed_lines"], r["n_removed_chunks"]) for r in out if r["doc_id"] in (2, 5, 7, 8)} == {2: (4, 2, 1), 5: (2, 2, 1), 7: (5, 4, 1), 8: (4, 3, 1)}
+
+
 # ---- 6
 
 def test_distrust_flows_against_links_and_trust_along_them(spark):
