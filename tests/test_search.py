@@ -157,3 +157,18 @@ def test_quality(spark):
     assert {r["column"]: r["nulls"] for r in quality.null_counts(df).collect()} == {"item_id": 0, "t": 1, "n": 0}
     kept = quality.dedup_catalogue(df.where("n = 3"), df.where("n < 3"), "item_id", "n").collect()
     assert {(r["item_id"], r["n"]) for r in kept} == {("a", 3), ("b", 2)}
+
+
+def test_views_hold_whole_texts(spark, tmp_path):
+    from quillspark.sources import views
+
+    first = "Title " + "word " * 30 + "end"
+    long = "\n" + first + "\n" + "more " * 600 + "last"
+    question = "a question that is well above thirty characters long"
+    rows = [(1, long, "en", "src1", 5), (2, "x " + question + " y", "en", "src1", 5), (3, question[:40], "en", "src1", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(7, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_pos"]: r for r in views.items(spark, str(tmp_path)).collect()}
+    assert got[0]["title"] == first.lower() and got[0]["description"] == " ".join(long.lower().split())
+    assert [r["item_id"] for r in views.gold(spark, str(tmp_path)).collect()] == ["0" * 15 + "2"]
