@@ -156,7 +156,7 @@ def masked_blend(spark, d):
 
 def _vectors(spark, d):
     v = views.vectors(spark, d)
-    q = v.where("item_pos < 20").select(F.concat(F.lit("q"), F.col("item_pos").cast("string")).alias("query_id"), "vector", (F.col("location_id") + 1).alias("search_location_id"))
+    q = v.where("item_pos % 20 = 0").select(F.concat(F.lit("q"), F.col("item_pos").cast("string")).alias("query_id"), "vector", (F.col("location_id") + 1).alias("search_location_id"))
     return v, q
 
 

@@ -95,7 +95,7 @@ def prior_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense vectors; the searches are those below 20."""
+    """Dense vectors; the searches are those whose id is divisible by 20."""
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_pos"), F.col("embedding").alias("vector"), (F.col("vec_id") % 20).alias("location_id"))
 
 

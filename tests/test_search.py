@@ -172,3 +172,10 @@ def test_views_hold_whole_texts(spark, tmp_path):
     got = {r["item_pos"]: r for r in views.items(spark, str(tmp_path)).collect()}
     assert got[0]["title"] == first.lower() and got[0]["description"] == " ".join(long.lower().split())
     assert [r["item_id"] for r in views.gold(spark, str(tmp_path)).collect()] == ["0" * 15 + "2"]
+
+
+def test_dense_searches_grow_with_the_table(spark, tmp_path):
+    from quillspark.plans import ranking
+
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(101)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["query_id"] for r in ranking.cosine_topk(spark, str(tmp_path)).collect()} == {f"q{i}" for i in range(0, 101, 20)}
