@@ -3,9 +3,9 @@
 ``fit`` draws, for each language, a bounded sample of labelled texts (``per_lang`` texts, chosen by
 the hash of their id, ``dict_bytes`` of lower-cased text at most) as a raw-content zstandard
 dictionary. Texts are lower-cased and every run of non-letters becomes one space, on both sides.
-``predict`` compresses every whole text once with each dictionary and takes the
-smallest result; ``score`` is the share by which the runner-up is larger, and a text whose score is
-below ``min_margin`` is marked ``rejected``.
+``predict`` compresses every whole text in blocks of ``BLOCK`` bytes, each with each dictionary, and
+takes the language with the smallest sum, so that a dictionary helps every part of a long text alike;
+``score`` is the share by which the runner-up is larger, and a text whose score is below ``min_margin`` is marked ``rejected``.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and rejected; equal
 sizes go to the first language by code point with score 0; with one learned language the score is
@@ -32,6 +32,8 @@ DICT_BYTES = 1 << 17
 MAX_LANGS = 1000
 MIN_MARGIN = 0.005
 LEVEL = 3
+#: Bytes that are compressed at once. What a dictionary saves is bounded, so in one piece a long text would have no margin.
+BLOCK = 1 << 14
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -83,7 +85,8 @@ class Model:
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         raw = letters(text)
-        sizes = sorted((len(e.compress(raw)), lang) for e, lang in zip(self.engines, self.langs, strict=True))
+        blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+        sizes = sorted((sum(len(e.compress(b)) for b in blocks), lang) for e, lang in zip(self.engines, self.langs, strict=True))
         return sizes[0][1], 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
 
 

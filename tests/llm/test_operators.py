@@ -307,6 +307,18 @@ def test_language_id_special_cases(spark):
     assert same.predict("abc")[0] == "a" and same.predict("abc")[1] == 0.0
 
 
+def test_language_id_margin_does_not_shrink_with_length():
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(3000)] for lang in ("one", "two")}
+    text = {lang: " ".join(rng.choices(w, k=20_000)) for lang, w in words.items()}
+    model = language_id.Model({lang: t.encode()[: language_id.DICT_BYTES] for lang, t in text.items()})
+    shared = " ".join(rng.choices(words["one"] + words["two"], k=500_000))
+    other = " ".join(rng.choices(words["one"], k=350_000))
+    long = shared[:200_000] + other
+    short, whole = model.predict(other[:20_000]), model.predict(long)
+    assert short[0] == whole[0] == "one" and whole[1] > short[1] / 2 > language_id.MIN_MARGIN
+
+
 # ---- 9
 
 def plain_hits(text, items, n=10):
