@@ -135,7 +135,7 @@ def candidate_union(spark, d):
 
 
 def fallback_fill(spark, d):
-    answers = bm25_topk(spark, d).where("rank <= 20 and item_pos % 3 = 0")
+    answers = bm25_topk(spark, d)
     order = answers.withColumn("rank", blend.ordinal("score"))
     return retrieve.fill(order, views.queries(spark, d), views.items(spark, d))
 
@@ -282,8 +282,8 @@ def gold_histogram(spark, d):
 
 def dedup_catalogue(spark, d):
     items = views.items(spark, d).select("item_id", "item_pos", F.md5("title").alias("title_md5"))
-    second = items.withColumn("title_md5", F.lit("later")).unionByName(items.where("item_pos < 10").withColumn("item_id", F.concat(F.lit("x"), F.col("item_id"))))
-    return quality.dedup_catalogue(items.where("item_pos % 2 = 0"), second, "item_id", "item_pos")
+    second = items.withColumn("title_md5", F.lit("later")).unionByName(items.withColumn("item_id", F.concat(F.lit("x"), F.col("item_id"))))
+    return quality.dedup_catalogue(items, second, "item_id", "item_pos")
 
 
 def encoder_text(spark, d):

@@ -179,3 +179,28 @@ def test_dense_searches_grow_with_the_table(spark, tmp_path):
 
     spark.createDataFrame([(i, [float(i), 1.0]) for i in range(101)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {r["query_id"] for r in ranking.cosine_topk(spark, str(tmp_path)).collect()} == {f"q{i}" for i in range(0, 101, 20)}
+
+
+def test_queries_run_over_whole_tables(spark, tmp_path):
+    from quillspark.operators import blend, features, quality, retrieve
+    from quillspark.plans import lexical, ranking
+    from quillspark.sources import views
+
+    d = str(tmp_path)
+    rows = [(i, f"alpha{i} beta{i} gamma", "en", "src1", 5) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(5, "alpha7 beta8 gamma"), (6, "alpha7 nowhere")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert [r["query_oov_fraction"] for r in lexical.oov_fraction(spark, d).orderBy("query_id").collect()] == [0.0, 0.5]
+    got = ranking.dedup_catalogue(spark, d).collect()
+    assert sum(r["priority"] == 0 and r["title_md5"] != "later" for r in got) == 24 and sum(r["priority"] == 1 for r in got) == 24
+    filled = ranking.fallback_fill(spark, d).where(f"query_id = '{5:016x}'").orderBy("rank").collect()
+    assert [r["item_pos"] for r in filled][:2] == [7, 8] and len(filled) == 24
+    # the half catalogues that the queries had: unknown terms, a second source, a short answer
+    items = views.items(spark, d)
+    half = items.where("item_pos % 2 = 0")
+    vocabulary = lexical.index.term_counts(half)
+    assert {round(r["query_oov_fraction"], 3) for r in features.oov_fraction(views.queries(spark, d), vocabulary).collect()} == {0.333, 1.0}
+    assert quality.dedup_catalogue(half, items, "item_id", "item_pos").where("priority = 1").count() == 12
+    short = lexical.bm25_topk(spark, d).where("item_pos % 3 = 0").withColumn("rank", blend.ordinal("score"))
+    assert retrieve.fill(short, views.queries(spark, d), items).groupBy("query_id").count().where("count = 24").count() == 2
