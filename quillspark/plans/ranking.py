@@ -48,16 +48,19 @@ def _labelled(spark, d) -> DataFrame:
 
 
 def _judged(spark, d) -> DataFrame:
-    """Queries with gold: answer (50), candidates (all lexical) and gold as arrays of item ids."""
-    items = views.items(spark, d).select("item_pos", "item_id")
+    """Queries with gold: the search's answer (50), its candidates (the pools of both channels, and the
+    positions that fill a short answer) and gold as arrays of item ids."""
+    items = views.items(spark, d)
+    ids = items.select("item_pos", "item_id")
     g = views.gold(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("item_id")).alias("gold"))
-    scored = index.top(bm25_pool(spark, d), 300).join(items, "item_pos")
-    lists = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
-    lists = lists.select("query_id", F.transform("l", lambda x: x["item_id"]).alias("candidates"))
+    ranked = search_answer(spark, d).join(ids, "item_pos").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
+    ranked = ranked.select("query_id", F.transform("l", lambda x: x["item_id"]).alias("answer"))
+    pool = retrieve.union_candidates(_pools(spark, d), views.queries(spark, d), items).join(ids, "item_pos")
+    pool = pool.groupBy("query_id").agg(F.array_sort(F.collect_list("item_id")).alias("candidates"))
     q = views.queries(spark, d).select("query_id", "search_location_id")
     empty = F.lit([]).cast("array<string>")
-    rows = q.join(g, "query_id").join(lists, "query_id", "left").withColumn("candidates", F.coalesce("candidates", empty))
-    return rows.withColumn("answer", F.slice("candidates", 1, 10))
+    rows = q.join(g, "query_id").join(pool, "query_id", "left").join(ranked, "query_id", "left")
+    return rows.withColumn("candidates", F.coalesce("candidates", empty)).withColumn("answer", F.coalesce("answer", empty))
 
 
 def geo_context_weights(spark, d):
@@ -199,11 +202,11 @@ def text_split(spark, d):
 
 
 def negative_sampling(spark, d):
-    return sampling.training_selection(_labelled(spark, d), SEED, hard=8, random=5).select("query_id", "item_pos", "kind")
+    return sampling.training_selection(_labelled(spark, d), SEED).select("query_id", "item_pos", "kind")
 
 
 def balanced_pairs(spark, d):
-    rows = sampling.training_selection(_labelled(spark, d), SEED, hard=8, random=5)
+    rows = sampling.training_selection(_labelled(spark, d), SEED)
     return rounded(sampling.balanced_pairs(rows.select("query_id", "item_pos", F.col("is_gold").cast("int").alias("y"))))
 
 
@@ -249,7 +252,7 @@ def grid_pivot(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return metrics.bootstrap(views.read(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", repeats=500)
+    return metrics.bootstrap(views.read(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal")
 
 
 def null_counts(spark, d):

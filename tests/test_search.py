@@ -204,3 +204,23 @@ def test_queries_run_over_whole_tables(spark, tmp_path):
     assert quality.dedup_catalogue(half, items, "item_id", "item_pos").where("priority = 1").count() == 12
     short = lexical.bm25_topk(spark, d).where("item_pos % 3 = 0").withColumn("rank", blend.ordinal("score"))
     assert retrieve.fill(short, views.queries(spark, d), items).groupBy("query_id").count().where("count = 24").count() == 2
+
+
+def test_the_first_fifty_are_judged_against_the_whole_pool(spark, tmp_path, monkeypatch):
+    from quillspark.plans import ranking
+    from quillspark.sources import views
+
+    d = str(tmp_path)
+    text = "one question that all of these documents hold"
+    rows = [(i, text, "en", "src1", 5) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(5, text)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, columns in (("orders", "o_orderkey long, o_custkey long"), ("lineitem", "l_orderkey long, l_suppkey long"), ("customer", "c_custkey long, c_nationkey int"), ("supplier", "s_suppkey long, s_nationkey int, s_acctbal double")):
+        spark.createDataFrame([], columns).write.parquet(f"{d}/{name}.parquet")
+    r = ranking.loss_decomposition(spark, d).first()
+    assert (r["recall"], r["ranking_loss"], r["retrieval_loss"]) == (0.125, 0.875, 0.0)
+    assert ranking.candidate_coverage(spark, d).first()["coverage"] == 1.0
+    one = views.gold(spark, d).where(f"item_id <> '{0:016x}'").limit(1)
+    monkeypatch.setattr(views, "gold", lambda *_: one)
+    assert ranking.negative_sampling(spark, d).count() > 14
