@@ -1,11 +1,13 @@
 """URL filter: host rules, and trust and distrust propagated over the host link graph.
 
 Column expressions only. The longest rule whose host is the URL's host or a parent of it, and whose
-path begins the URL's path, decides. Where none fits, two personalised PageRanks decide: trust flows
-along links from hosts with allowed pages, distrust flows against links from hosts with blocked
-pages; a seed's mass is the share of its pages that a rule allows or blocks. A host is blocked if
-its distrust is above its trust and above ``threshold``. Each iteration is one join of the scores
-with the edges of both directions and a sum that combines before its shuffle.
+path begins the URL's path, decides. Where none fits, trust and distrust decide. Trust is a personalised
+PageRank: it flows along links from hosts with allowed pages; a seed's mass is the share of its pages
+that a rule allows. Distrust flows against links: a host has that of the hosts it links to, weighted by
+the shares of its own links and damped, or the share of its pages that a rule blocks if that is more, so
+it does not depend on how many others link to a blocked host. A host is blocked if its distrust is above
+its trust and above ``threshold``. Each iteration is one join of the scores with the edges and a sum
+that combines before its shuffle.
 
 Defined results: null URL or one without ``://`` has an empty host and path and is allowed; null
 html has no links; links within a host are no edges; repeated rows are judged one by one; an empty
@@ -77,6 +79,20 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     return score.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(name) for k, name in (("t", "trust"), ("d", "distrust"))])
 
 
+def exposure(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+    """(host, distrust) for hosts that any distrust reaches, in the scale of a seed's mass."""
+    out = links.groupBy("src").agg(F.sum("pages").alias("out"))
+    flow = materialise(links.join(out, "src").select("src", "dst", (F.col("pages") / F.col("out")).alias("share")), "out-links")
+    start = materialise(seeds.where("distrust > 0").select("host", (F.col("distrust") * F.lit(1 - damping)).alias("score")), "blocked")
+    score = start
+    for i in range(iterations if flow.head(1) else 0):
+        moved = score.withColumnRenamed("host", "dst").join(flow, "dst").groupBy(F.col("src").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * F.lit(damping)).alias("score"))
+        score = start.unionByName(moved).groupBy("host").agg(F.max("score").alias("score"))
+        if i % 4 == 3:
+            score = materialise(score, "distrust")
+    return score.withColumnRenamed("score", "distrust")
+
+
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col: str = "html", damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
     """The pages (without html) with host, path, rule, verdict, trust and distrust."""
     pages = without(pages, "host", "path", "rule", "verdict", "trust", "distrust")
@@ -91,7 +107,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col: st
         return F.sum(F.when(F.col("_best.verdict") == verdict, 1).otherwise(0)) / F.count("*")
 
     seeds = with_rule(pages.select("host", "path")).groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = materialise(propagate(edges(pages.select("host", html_col), html_col), seeds, damping, iterations), "host-scores")
+    links = materialise(edges(pages.select("host", html_col), html_col), "links")
+    seeds = materialise(seeds, "seed-shares")
+    trusted = propagate(links, seeds.withColumn("distrust", F.lit(0.0)), damping, iterations).select("host", "trust")
+    scores = materialise(trusted.join(exposure(links, seeds, damping, iterations), "host", "full"), "host-scores")
     judged = with_rule(pages.drop(html_col)).join(scores, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     own = F.when((distrust > trust) & (distrust > F.lit(threshold)) & (F.col("host") != ""), "block").otherwise("allow")

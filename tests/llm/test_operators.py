@@ -244,6 +244,15 @@ def test_pages_that_link_to_blocked_hosts(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
+@pytest.mark.parametrize("linkers", [1, 2, 10])
+def test_a_blocked_host_distrusts_all_its_linkers(spark, linkers):
+    bad, fine = '<a href="http://bad.net/1">', '<a href="http://calm.com/1">'
+    rows = [(0, "http://bad.net/", ""), (1, "http://calm.com/", ""), (2, "http://mixed.com/", bad + fine + '<a href="http://other.com/">')]
+    rows += [(10 + i, f"http://spam{i}.com/", bad) for i in range(linkers)] + [(50, "http://far.com/", '<a href="http://spam0.com/">')]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filter.rule_table(spark)).collect()}
+    assert got == {r[0]: "block" if r[0] in (0, 50) or 10 <= r[0] < 50 else "allow" for r in rows}
+
+
 # ---- 7
 
 def plain_components(texts, n=4, percent=85):
