@@ -4,12 +4,14 @@ Both sides are normalised alike: A-Z lower-cased, words are runs of ASCII letter
 non-ASCII characters. An item yields every window of ``n`` consecutive words; an item with fewer
 words (but some) is one window. The windows are broadcast in blocks whose size is bounded by
 ``block_chars`` characters of benchmark text, so what a worker holds does not grow with the
-benchmark; with several blocks the documents are scanned once for each and the findings merged.
+benchmark; with several blocks the texts are scanned once for each, only findings are written, and
+these are merged by row.
 
 Defined results: null or empty text has no words and no hit; null or wordless items have no
-window; equal windows of several items count for each item; repeated document rows are judged one
-by one; empty tables give empty or clean results. ``scan`` replaces input columns that bear a name
-of an output column; ``remove`` keeps every column.
+window; equal windows of several items count for each item; items with a null id count as one item
+with a null id; a very long text is one row of one task, worked on in bounded gathers; repeated document
+rows are judged one by one; empty tables give empty or clean results. ``scan`` replaces input columns
+that bear a name of an output column; ``remove`` keeps every column.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bound_batches, materialise, read, without
+from .common import materialise, read, slices, small_batches, without
 
 N = 10
-BLOCK_CHARS = 32_000_000
+#: Characters of benchmark text whose windows are broadcast at a time: some 350,000 windows.
+BLOCK_CHARS = 2_000_000
 
 
 def _folded(b: int) -> int:
@@ -45,6 +49,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
+def in_order(items: set) -> list:
+    """Sorted, null last."""
+    return sorted(items, key=lambda x: (True,) if x is None else (False, x))
+
+
 class WindowIndex:
     """Windows of a block of benchmark items, by length, in sorted hash order."""
 
@@ -59,7 +68,7 @@ class WindowIndex:
         self.tables = {}
         for size, windows in found.items():
             rows = np.array(list(windows), dtype=np.int64)
-            owners = [sorted(x) for x in windows.values()]
+            owners = [in_order(x) for x in windows.values()]
             base = _MIX
             while len(np.unique(h := self._hash(rows.ravel(), size, base)[::size])) < len(rows):
                 base = base * _MIX + np.uint64(2)
@@ -106,7 +115,7 @@ class WindowIndex:
                 for key in np.unique(doc * len(rows) + s).tolist():
                     items[key // len(rows)].update(owners[key % len(rows)])
         hit = np.cumsum(edge)[:-1] > 0
-        return [(len(ws), hit[a : a + len(ws)], sorted(i)) for a, ws, i in zip(starts, lists, items, strict=True)]
+        return [(len(ws), hit[a : a + len(ws)], in_order(i)) for a, ws, i in zip(starts, lists, items, strict=True)]
 
 
 def cut(text: str, hit: np.ndarray) -> str:
@@ -138,43 +147,74 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -
         yield block
 
 
+def _bits(hit: np.ndarray) -> bytes:
+    return np.packbits(hit).tobytes()
+
+
+def _unbits(raw: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=count).astype(bool)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", n: int = N, block_chars: int = BLOCK_CHARS, keep_text: bool = True) -> DataFrame:
     """The documents with ``n_words``, ``n_hit``, ``items`` (ids of items with occurring windows)
     and ``hit_bits`` (a bit for each word). ``keep_text=False`` leaves the text out."""
     spark = docs.sparkSession
-    bound_batches(spark)
     out = without(docs, "n_words", "n_hit", "items", "hit_bits")
-    item_type = benchmark.schema[id_col].dataType
+    items_type = T.ArrayType(benchmark.schema[id_col].dataType)
     kept = [f for f in out.schema.fields if keep_text or f.name != text_col]
-    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("hit_bits", T.BinaryType())])
+    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", items_type), T.StructField("hit_bits", T.BinaryType())])
+    names, item_kind = [f.name for f in kept], to_arrow_type(items_type)
+
+    def finished(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        cols = [b.column(b.schema.get_field_index(c)) for c in names]
+        cols += [pa.array([f[0] for f in found], pa.int64()), pa.array([int(f[1].sum()) for f in found], pa.int64()), pa.array([f[2] for f in found], item_kind), pa.array([_bits(f[1]) for f in found], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_hit", "items", "hit_bits"])
 
-    def step(index, final: bool, names: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = index.value
-            for b in batches:
-                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                found = table.scan(texts)
-                if "hit_bits" in b.schema.names:  # findings of the blocks before
-                    bits, items = b.column("hit_bits").to_pylist(), b.column("items").to_pylist()
-                    found = [(k, h | np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool), sorted({*i, *y})) for (k, h, i), x, y in zip(found, bits, items, strict=True)]
-                cols = [b.column(c) for c in names if not (final and not keep_text and c == text_col)]
-                cols += [pa.array([f[0] for f in found], pa.int64()), pa.array([int(f[1].sum()) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64() if isinstance(item_type, T.LongType) else None) if isinstance(item_type, T.LongType) else None), pa.array([np.packbits(f[1]).tobytes() for f in found], pa.binary())]
-                used = [c for c in names if not (final and not keep_text and c == text_col)]
-                yield pa.RecordBatch.from_arrays(cols, [*used, "n_words", "n_hit", "items", "hit_bits"])
-
-        return run
-
-    names = out.columns
-    full = T.StructType([*out.schema.fields, *schema.fields[len(kept) :]])
     queue = blocks(benchmark, id_col, item_text_col, block_chars)
-    block = next(queue, [])
-    while True:
-        following = next(queue, None)
-        index = spark.sparkContext.broadcast(WindowIndex([x for x in block if x[0] is not None], n))
-        out = out.mapInArrow(step(index, following is None, names), schema if following is None else full)
-        if following is None:
-            return out
-        out, block = materialise(out, "decontaminate"), following
+    block, following = next(queue, []), next(queue, None)
+    if following is None:
+        index = spark.sparkContext.broadcast(WindowIndex(block, n))
+
+        def in_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = index.value
+            for b in slices(batches):
+                yield finished(b, table.scan(b.column(b.schema.get_field_index(text_col)).to_pylist()))
+
+        return out.mapInArrow(in_one, schema)
+
+    row = "row_" + "_".join(out.columns)  # longer than any column's name
+    numbered = materialise(out.withColumn(row, F.monotonically_increasing_id()), "documents")
+    findings = None
+    while block is not None:
+        index = spark.sparkContext.broadcast(WindowIndex(block, n))
+
+        def hits(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            table = index.value
+            for b in slices(batches):
+                found = [(r, _bits(f[1]), f[2]) for r, f in zip(b.column(0).to_pylist(), table.scan(b.column(1).to_pylist()), strict=True) if f[2]]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.int64(), pa.binary(), item_kind))], ["r", "bits", "items"])
+
+        with small_batches(spark):
+            more = materialise(numbered.select(row, text_col).mapInArrow(hits, T.StructType([T.StructField("r", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("items", items_type)])), "findings")
+        index.unpersist()
+        findings = more if findings is None else findings.unionByName(more)
+        block, following = following, next(queue, None)
+    # one finding for each row and block at most
+    merged = findings.groupBy("r").agg(F.collect_list(F.struct("bits", "items")).alias("parts_" + row)).withColumnRenamed("r", "r_" + row)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = []
+            for text, parts in zip(b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(b.schema.get_field_index("parts_" + row)).to_pylist(), strict=True):
+                count = len(words(text))
+                hit, items = np.zeros(count, bool), set()
+                for p in parts or []:
+                    hit |= _unbits(p["bits"], count)
+                    items.update(p["items"])
+                found.append((count, hit, in_order(items)))
+            yield finished(b, found)
+
+    return numbered.join(merged, numbered[row] == merged["r_" + row], "left").mapInArrow(joined, schema)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", max_hit: float = 0.5, text_col: str = "text", **options) -> DataFrame:
@@ -187,10 +227,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", max_hit:
     found = found.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_hit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("_text").to_pylist()
             bits, words_, hits = (b.column(c).to_pylist() for c in ("hit_bits", "n_words", "n_hit"))
-            new = [cut(t, np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool)) if h else t for t, x, k, h in zip(texts, bits, words_, hits, strict=True)]
+            new = [cut(t, _unbits(x, k)) if h else t for t, x, k, h in zip(texts, bits, words_, hits, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(new, pa.string())], ["_row", "_text"])
 
     clean = found.mapInArrow(run, T.StructType([found.schema["_row"], T.StructField("_text", T.StringType())]))

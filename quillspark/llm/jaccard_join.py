@@ -5,9 +5,10 @@ A document's set is its distinct n-word shingles as 64-bit hashes; two documents
 
 1. Equal sets are one class (128-bit signature and size); only its smallest id goes on.
 2. The global token order puts tokens that more than ``hot_df`` documents contain last, and orders
-   by hash otherwise. Any order that all documents share is exact, so the set of hot tokens may be
-   bounded (``max_hot``): if there are more, the limit rises. Document frequencies are counted over
-   all documents, combined in each task and packed before their shuffle.
+   by hash otherwise. Any order that all documents share is exact, so hot tokens are told by a filter of
+   bounded size with false positives, and the limit is the same however many there are: no list of a token
+   that is not hot is longer. Document frequencies are counted over all documents, combined in each
+   task and packed before their shuffle.
 3. A class's prefix is its first n - ceil(percent * n) + 1 tokens. Classes with the same size and
    prefix are one group. Lists of the groups with a token give group pairs, filtered by their
    sizes and by how many prefix tokens they have in common; what is left is expanded to pairs of
@@ -20,8 +21,9 @@ A document's set is its distinct n-word shingles as 64-bit hashes; two documents
 5. Components by alternating large-star and small-star steps on the verified links.
 
 Defined results: null, empty or wordless text has size 0 and is alone; a text with fewer than n
-words is one shingle; repeated rows share a component; rows with the same id are one node; a null id
-has a null component; an empty table gives an empty result. Other columns are not looked at.
+words is one shingle; repeated rows share a component; rows with the same id are one node; a row with a
+null id gets the component of the documents it links to, null if there are none; a very long text
+is one row of one task; an empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,13 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, read
-from .packed import FLUSH, bucket_count, counts, cut, pack, spread, squeeze, unpack
+from .common import discard, materialise, read, slices, small_batches
+from .packed import FLUSH, bitmap, bitmap_bits, bucket_count, by_bucket, counts, cut, in_bitmap, pack, spread, squeeze, unpack
 
 N = 4
 PERCENT = 85
 HOT_DF = 16
-MAX_HOT = 1_000_000
 #: Ids of documents to verify are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bytes of packed sets that are compared with all members of open lists at a time.
@@ -80,25 +81,20 @@ def tokens(text: str | None, hashes: dict, n: int = N) -> np.ndarray:
         return np.unique(_mix(h))
 
 
-def hot_tokens(docs: DataFrame, text_col: str, n: int, bits: int, buckets: int, hot_df: int, max_hot: int) -> np.ndarray:
-    """Sorted truncated tokens (upper ``bits`` bits) that more than ``hot_df`` documents contain."""
+def hot_tokens(docs: DataFrame, text_col: str, n: int, bits: int, buckets: int, hot_df: int) -> np.ndarray:
+    """Filter of the tokens (by their upper ``bits`` bits) that more than ``hot_df`` documents contain."""
     shift = np.uint64(64 - bits)
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         hashes = _Hashes()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 yield tokens(text, hashes, n) >> shift
 
-    found = materialise(counts(docs.select(text_col), tokens_of, buckets, bits, hot_df), "hot-tokens")
-    limit, total = hot_df, 0
-    for row in found.groupBy(F.floor(F.log2("n")).alias("k")).count().orderBy(F.desc("k")).collect():  # at most 64 rows
-        total += row["count"]
-        if total > max_hot:
-            limit = 2 ** (row["k"] + 1) - 1
-            break
-    rows = found.where(F.col("n") > limit).select("token").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.uint64))
+    found = materialise(counts(docs.select(text_col), tokens_of, buckets, bits, hot_df).select(F.shiftleft("token", 64 - bits).alias("token")), "hot-tokens")
+    table = bitmap(found, "token", bitmap_bits(found.count()))
+    discard(found)
+    return table
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -111,7 +107,7 @@ def prefixes(docs: DataFrame, hot, bits: int, text_col: str, id_col: str, n: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = _Hashes(), hot.value
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = tokens(text, hashes, n)
@@ -121,14 +117,9 @@ def prefixes(docs: DataFrame, hot, bits: int, text_col: str, id_col: str, n: int
                 with np.errstate(over="ignore"):
                     s1, s2 = int(_mix(t ^ _P[1]).sum(dtype=np.uint64)), int(_mix(t + _P[2]).sum(dtype=np.uint64))
                 size = prefix_length(len(t), percent)
-                if len(table):
-                    short = t >> shift
-                    at = np.minimum(np.searchsorted(table, short), len(table) - 1)
-                    is_hot = table[at] == short
-                    cold = t[~is_hot][:size]
-                    head = np.concatenate([cold, t[is_hot][: size - len(cold)]])
-                else:
-                    cold = head = t[:size]
+                is_hot = in_bitmap(table, t)
+                cold = t[~is_hot][:size]
+                head = np.concatenate([cold, t[is_hot][: size - len(cold)]])
                 rows.append((doc, len(t), s1 - (1 << 63), s2 - (1 << 63), head.tobytes(), len(head) - len(cold)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc", "n", "s1", "s2", "prefix", "n_hot"])
@@ -194,7 +185,7 @@ def cold_pairs(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
         return _runs_to_pairs(np.concatenate(t), np.concatenate(g), np.concatenate(n), np.concatenate(h), percent)
 
     packed = groups.select("gid", "n", "prefix", "n_hot").mapInArrow(run, "bucket int, t binary, g binary, n binary, h binary")
-    found = packed.groupBy("bucket").applyInArrow(meet, "a long, b long, na int, nb int, hot int, common long")
+    found = by_bucket(packed, buckets).applyInArrow(meet, "a long, b long, na int, nb int, hot int, common long")
     found = found.groupBy("a", "b", "na", "nb", "hot").agg(F.sum("common").alias("common"))
 
     def rest(size):  # of a set behind its prefix
@@ -231,7 +222,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        pairs = materialise(small, "star", narrow=True)
+        before, pairs = pairs, materialise(small, "star", narrow=True)
+        discard(before)
         now = pairs.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -245,7 +237,7 @@ def whole_sets(ids: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for b in batches:
+        for b in slices(batches):
             sets = [tokens(t, hashes, n).tobytes() for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "set"])
 
@@ -260,7 +252,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int
     sets = whole_sets(ids, docs, text_col, id_col, n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             same = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -334,15 +326,19 @@ def fitting(a, b, percent: int):
     return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
 
-def join_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT, hot_df: int = HOT_DF, max_hot: int = MAX_HOT) -> tuple[DataFrame, DataFrame]:
+def join_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT, hot_df: int = HOT_DF) -> tuple[DataFrame, DataFrame]:
     """(members, labels): members has a row for each document (doc, n, cid), cid its class's smallest
     id, null for an empty set; labels (node, label) has the component of the linked classes."""
+    with small_batches(docs.sparkSession):
+        return _join_links(docs, text_col, id_col, n, percent, hot_df)
+
+
+def _join_links(docs: DataFrame, text_col: str, id_col: str, n: int, percent: int, hot_df: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    bound_batches(spark)
-    rows = docs.count()
-    buckets = bucket_count(spark)
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    buckets = bucket_count(size)
     bits = min(64, max(32, math.ceil(math.log2(max(rows, 1) * 1000)) + 8))
-    hot = spark.sparkContext.broadcast(hot_tokens(docs, text_col, n, bits, buckets, hot_df, max_hot))
+    hot = spark.sparkContext.broadcast(hot_tokens(docs, text_col, n, bits, buckets, hot_df))
     sets = materialise(prefixes(docs, hot, bits, text_col, id_col, n, percent), "prefixes")
     full = sets.where("n > 0")
     classes = full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("cid"), F.first("prefix").alias("prefix"), F.first("n_hot").alias("n_hot"))
@@ -363,7 +359,8 @@ def join_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     lists = hot_lists(heads)
     if several.head(1):
         lists = lists.join(several.select("gid", "cid"), "gid", "left").select("list", F.coalesce("cid", "gid").alias("gid"), "n").unionByName(several.select("gid", "cid", "n").select(F.xxhash64("gid", F.lit("group")).alias("list"), F.col("cid").alias("gid"), "n"))
-    sizes = lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
+    # the joins below have a shuffle on either side, so that a long list is split over tasks at run time
+    sizes = materialise(lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1"), "list-sizes", narrow=True)
     lists = materialise(lists.join(sizes.select("list"), "list"), "lists")
     labels = materialise(components(links), "labels", narrow=True)
     if not lists.head(1):
@@ -371,7 +368,7 @@ def join_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     for round_ in ("first", "largest", "rest"):
         now = lists.join(labels, lists["gid"] == labels["node"], "left").select("list", "gid", "n", F.coalesce("label", "gid").alias("c"))
         span = now.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("c", "gid", "n")).alias("first"), F.max(F.struct("n", "gid", "c")).alias("largest")).where("c0 <> c1")
-        now = materialise(now.join(span, "list"), "open-lists")
+        now = materialise(now.join(materialise(span, "spans", narrow=True), "list"), "open-lists")
         if not now.head(1):
             break
         if round_ == "rest":

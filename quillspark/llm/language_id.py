@@ -1,16 +1,20 @@
 """Language ID by compression: the language whose dictionary compresses a text best.
 
 ``fit`` draws, for each language, a bounded sample of labelled texts (``per_lang`` texts, chosen by
-the hash of their id, ``dict_bytes`` of lower-cased text at most) as a raw-content zstandard
-dictionary. Texts are lower-cased and every run of non-letters becomes one space, on both sides.
+the hash of their id) for a raw-content zstandard dictionary of ``dict_bytes``. Every drawn text has
+an equal share of the dictionary: a text within its share is taken whole, a longer one by ``PIECES``
+pieces spread evenly from its beginning to its end. Texts are lower-cased and every run of
+non-letters becomes one space, on both sides.
 ``predict`` compresses every whole text in blocks of ``BLOCK`` bytes, each with each dictionary, and
 takes the language with the smallest sum, so that a dictionary helps every part of a long text alike;
 ``score`` is the share by which the runner-up is larger, and a text whose score is below ``min_margin`` is marked ``rejected``.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and rejected; equal
 sizes go to the first language by code point with score 0; with one learned language the score is
-1; with none every text is ``und``; more than ``MAX_LANGS`` labels are an error. Null labels and null ids are never learned from. Input columns
-with the names of output columns are replaced.
+1; with none every text is ``und``. With many labels each dictionary is smaller, so that all
+together stay within ``ALL_DICT_BYTES``. Null labels and null ids are never learned from; of rows that
+share an id and a label the text that is first by code point is. A very long text is compressed block
+by block. Input columns with the names of output columns are replaced.
 """
 
 from __future__ import annotations
@@ -20,16 +24,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, read, without
+from .common import read, slices, without
 
+#: The bounds of the sample that is learned from: texts of a language, bytes of its dictionary, pieces of
+#: a text that is longer than its share, and bytes of all dictionaries together.
 PER_LANG = 256
 DICT_BYTES = 1 << 17
-#: A text is compressed once for each language, so their number is bounded.
-MAX_LANGS = 1000
+PIECES = 4
+ALL_DICT_BYTES = 1 << 26
 MIN_MARGIN = 0.005
 LEVEL = 3
 #: Bytes that are compressed at once. What a dictionary saves is bounded, so in one piece a long text would have no margin.
@@ -41,33 +47,39 @@ def letters(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
+def spread(text: Column, share: Column, pieces: int = PIECES) -> Column:
+    """The whole text if it has at most ``share`` characters, else ``pieces`` parts at even distances."""
+    part = F.greatest(F.floor(share / pieces), F.lit(1)).cast("int")
+    step = (F.length(text) - part) / max(pieces - 1, 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), part))
+    return F.when(F.length(text) <= share, text).otherwise(F.array_join(parts, " "))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary of each language. A language's ids are thinned by their hash to some four times
     ``per_lang``, however many there are, and the first ``per_lang`` in the hash's order are taken; then
-    their texts are fetched."""
-    key = F.md5(F.col(id_col).cast("string"))
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("_l")).agg(F.count("*").alias("_c")).limit(MAX_LANGS + 1).collect()
+    their texts are fetched. What reaches the driver is one share for each of these ids."""
+    key = F.md5(F.col("id").cast("string"))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("lang is not null and id is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("c")).collect()  # a row for each label
     if not counts:
         return {}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} labels")
-    small = F.broadcast(labelled.sparkSession.createDataFrame(counts, "_l string, _c long"))
+    size = min(dict_bytes, max(1, ALL_DICT_BYTES // len(counts)))
+    labels = labelled.sparkSession.createDataFrame(counts, "l string, c long")
     place = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2.0**32
-    thin = rows.select(lang_col, id_col).join(small, F.col(lang_col) == F.col("_l")).where(place * F.col("_c") < 4 * per_lang + 64)
-    w = Window.partitionBy(lang_col).orderBy(key, id_col)
-    chosen = thin.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_lang).select(id_col).distinct()
-    share = max(1, dict_bytes // 8)
-    drawn = rows.join(F.broadcast(chosen), id_col).select(lang_col, key.alias("_k"), F.substring(text_col, 1, share).alias("_t")).collect()
-    out: dict[str, bytes] = {}
-    seen = set()
-    for lang, _, text in sorted(drawn, key=lambda r: (r[0], r[1], r[2])):
-        if (lang, text) not in seen and text.strip():
-            seen.add((lang, text))
-            got = out.get(lang, b"")
-            # every text gives an equal part of its beginning so that many texts are represented
-            out[lang] = got + letters(text)[: dict_bytes // 32] + b" " if len(got) < dict_bytes else got
-    return {k: v[:dict_bytes] for k, v in out.items()}
+    thin = rows.select("lang", "id").join(labels, F.col("lang") == F.col("l")).where(place * F.col("c") < 4 * per_lang + 64).select("lang", "id").distinct()
+    order = Window.partitionBy("lang").orderBy(key, "id")
+    chosen = thin.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
+    chosen = chosen.select(F.col("lang").alias("l"), F.col("id").alias("i"), F.lit(size).alias("size"), F.count("*").over(Window.partitionBy("lang")).alias("drawn"))
+    share = F.ceil(F.col("size") / F.col("drawn"))
+    drawn = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("id") == F.col("i")))  # per_lang rows for each label
+    drawn = drawn.groupBy("lang", key.alias("k")).agg(F.min(spread(F.col("text"), share)).alias("text")).collect()
+    out: dict[str, list[bytes]] = {}
+    for lang, _, text in sorted(drawn, key=lambda r: (r[0], r[1])):
+        got = letters(text)
+        if got.strip() and got not in out.setdefault(lang, []):
+            out[lang].append(got)
+    return {k: b" ".join(v)[:size] for k, v in out.items() if v}
 
 
 class Model:
@@ -93,7 +105,6 @@ class Model:
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN, keep_text: bool = True) -> DataFrame:
     """The documents with ``lang_pred``, ``score`` and ``rejected``."""
     spark = docs.sparkSession
-    bound_batches(spark)
     docs = without(docs, "lang_pred", "score", "rejected")
     shared = spark.sparkContext.broadcast(dictionaries)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
@@ -102,7 +113,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
-        for b in batches:
+        for b in slices(batches):
             found = [model.predict(t) for t in b.column(text_col).to_pylist()]
             cols = [b.column(c) for c in names]
             cols += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] == "und" or f[1] < min_margin for f in found], pa.bool_())]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialise, read, without
+from .common import materialise, read, slices, without
 
 #: Documents with chunks to compare that are broadcast, and their chunks; beyond it the texts are shuffled.
 BROADCAST_ROWS = 200_000
@@ -81,7 +81,6 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(d, t, s, e): chunks to remove, as byte places; d and t are the id and the text's hash."""
-    bound_batches(docs.sparkSession)
     keyed = _keyed(docs, text_col, id_col).select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.col(text_col).alias("text"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ times. A copy's virtual finish time is the source's cumulative tokens up to and
 the source's target; all copies are ordered by (finish time, source, hash, id) and the order is cut
 at the total budget. The cumulative sums are two-level: hash prefixes cut every source, however
 hot, into buckets whose totals are summed first. The global order is ranged over bins of virtual
-time; only the bin that crosses the budget is ranked row by row.
+time, whose sums are searched level by level (some thousand ranges of bins at a time), so that no task
+sees all bins; only the bin that crosses the budget is ranked row by row.
 
 Targets: weights share the total; a source stops at ``max_repeats`` times its own size, and what is
 above is shared again by weight. This is water filling: with the sources in order of cap over
@@ -13,7 +14,8 @@ weight, those below the water line are full, the rest share what is left by weig
 
 Defined results: null text counts no word, and a document without words takes none; null source is a
 source of its own, last in order; repeated rows count each; a total of 0 gives targets of 0; an
-empty table gives an empty result. Columns with the names of the results are replaced.
+empty table gives an empty result; a very long text only counts its words. Columns with the names of
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read, without, word_count
+from .common import materialise, read, rows_under, without, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -45,6 +47,25 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
     return rows.select("skey", "source", "source_size", target.alias("target"))
 
 
+def crossing_bin(copies: DataFrame, last: int, budget: int, fan: int = 11) -> tuple[int, int] | None:
+    """(bin, tokens in the bins before it) of the first bin whose running sum is above the budget.
+
+    Bins from 0 to ``last`` are searched in levels of at most 2 ** ``fan`` ranges and some.
+    """
+    shift, before = fan * (max(last.bit_length() - 1, 0) // fan), 0
+    rows = copies.select("bin", "size")
+    while True:
+        upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        sums = rows.groupBy(F.shiftright("bin", shift).alias("at")).agg(F.sum("size").alias("n"))
+        found = sums.select("at", "n", (F.sum("n").over(upto) + F.lit(before)).alias("upto")).where(F.col("upto") > budget).orderBy("at").first()
+        if found is None:
+            return None
+        before = found["upto"] - found["n"]
+        if not shift:
+            return found["at"], before
+        rows, shift = rows.where(F.shiftright("bin", shift) == found["at"]), shift - fan
+
+
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, budget: int | None = None) -> DataFrame:
     """(doc_id, source, size) with source_size, target, copies and taken.
 
@@ -71,14 +92,13 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     copies = placed.where("size > 0").select("doc_id", "size", "skey", "h", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), finish)).alias("finish"))
     reach = max(budget / total, 1e-9) if total else 1.0  # where the cut lies in virtual time
     copies = copies.withColumn("bin", F.least(F.floor(F.col("finish") / reach * bins), F.lit(2 * bins)))
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    crossing = copies.groupBy("bin").agg(F.sum("size").alias("n")).select("bin", "n", F.sum("n").over(upto).alias("upto")).where(F.col("upto") > budget).orderBy("bin").first()
+    crossing = crossing_bin(copies, 2 * bins, budget)
     if crossing is None:
         number = F.when(F.col("size") > 0, F.lit(max_repeats)).otherwise(0)
     else:
         order = Window.orderBy("finish", "skey", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        edge = copies.where(F.col("bin") == crossing["bin"])
-        first_out = edge.withColumn("upto", F.sum("size").over(order) + F.lit(crossing["upto"] - crossing["n"])).where(F.col("upto") > budget).orderBy("upto").first()
+        edge = copies.where(F.col("bin") == crossing[0])
+        first_out = edge.withColumn("upto", F.sum("size").over(order) + F.lit(crossing[1])).where(F.col("upto") > budget).orderBy("upto").first()
         cut = F.struct(F.lit(first_out["finish"]), F.lit(first_out["skey"]), F.lit(first_out["h"]), F.lit(first_out["doc_id"]).cast(dict(placed.dtypes)["doc_id"]))
 
         def kept(epoch):
@@ -96,16 +116,16 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     docs = without(docs, *RESULTS)
     same = ["doc_id", "source", "size"]
-    left = docs.withColumn("size", word_count(F.col("text")))
+    left = rows_under(docs, "row", F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.col("text"))
     found = mix(left.select(*same), **options)
     repeated = not found.groupBy(*same).count().where("count > 1").isEmpty()
-    found = found.where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in same], "source_size", "target", "taken", "copies")
-    match = left["doc_id"].eqNullSafe(found["_doc_id"]) & left["source"].eqNullSafe(found["_source"]) & (left["size"] == found["_size"])
+    found = found.where("copies > 0").select(*[F.col(c).alias(f"own_{c}") for c in same], "source_size", "target", "taken", "copies")
+    match = left["doc_id"].eqNullSafe(found["own_doc_id"]) & left["source"].eqNullSafe(found["own_source"]) & (left["size"] == found["own_size"])
     if repeated:
-        left = left.withColumn("_twin", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
-        found = found.withColumn("_other", F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.desc("copies"))))
-        match = match & (left["_twin"] == found["_other"])
-    return left.join(found, match).drop("_twin", "_other", *[f"_{c}" for c in same])
+        left = left.withColumn("twin", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
+        found = found.withColumn("other", F.row_number().over(Window.partitionBy("own_doc_id", "own_source", "own_size").orderBy(F.desc("copies"))))
+        match = match & (left["twin"] == found["other"])
+    return left.join(found, match).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "size", "source_size", "target", "taken", "copies")
 
 
 def op2_weighted_fair_mix(spark, sf_dir):

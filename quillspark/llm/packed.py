@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Tokens that a task holds before it combines and sends them.
 FLUSH = 500_000
@@ -43,9 +44,17 @@ def spread(raw: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """A power of two, some four times the session's shuffle partitions."""
-    return 1 << max(4, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+def bucket_count(text_bytes: int) -> int:
+    """A power of two that follows the data, so that a bucket's size does not: one for 4 MB of text,
+    and from 64 GB on, where a task's packed rows get short, one for up to 64 MB."""
+    return 1 << math.ceil(math.log2(max(64, min(text_bytes / 4e6, 16384), text_bytes / 64e6)))
+
+
+def by_bucket(rows: DataFrame, buckets: int):
+    """Rows grouped by bucket, over as many partitions as that needs if the session has fewer."""
+    if buckets > 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(buckets // 4, "bucket")
+    return rows.groupBy("bucket")
 
 
 def cut(values: np.ndarray, buckets: int, bits: int) -> list[tuple[int, int, int]]:
@@ -89,11 +98,11 @@ def counts(rows: DataFrame, tokens_of: Callable[[Iterator[pa.RecordBatch]], Iter
         keep = total > over
         return pa.table({"token": v[first][keep].view(np.int64), "n": total[keep]})
 
-    return rows.mapInArrow(run, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(merge, "token long, n long")
+    return by_bucket(rows.mapInArrow(run, "bucket int, tokens binary, counts binary"), buckets).applyInArrow(merge, "token long, n long")
 
 
 def bitmap(tokens: DataFrame, column: str, bits: int = 27) -> np.ndarray:
-    """A table of 2 ** bits bits, set at the upper bits of each 64-bit token: a filter of fixed size
+    """A table of 2 ** bits bits, set at the upper bits of each 64-bit token: a filter of bounded size
     with false positives. Its 64 slices are made in Spark."""
     slices = 6
 
@@ -103,8 +112,6 @@ def bitmap(tokens: DataFrame, column: str, bits: int = 27) -> np.ndarray:
         flags[(t >> np.uint64(64 - bits)) & np.uint64(len(flags) - 1)] = True
         return pa.table({"slice": pa.array([int(t[0] >> np.uint64(64 - slices))], pa.int32()), "flags": pa.array([zstandard.compress(np.packbits(flags).tobytes(), 1)], pa.binary())})
 
-    from pyspark.sql import functions as F
-
     keyed = tokens.select(F.col(column).alias("token"), F.shiftrightunsigned(column, 64 - slices).alias("slice"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     step = len(out) >> slices
@@ -113,6 +120,11 @@ def bitmap(tokens: DataFrame, column: str, bits: int = 27) -> np.ndarray:
     return out
 
 
+def bitmap_bits(tokens: int, most: int = 29) -> int:
+    """Bits for a filter with few false positives, 2 ** ``most`` (64 MB) at most; beyond it they grow."""
+    return min(most, max(20, math.ceil(math.log2(max(tokens, 1) * 16))))
+
+
 def in_bitmap(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     bits = int(math.log2(len(table))) + 3
     place = tokens >> np.uint64(64 - bits)

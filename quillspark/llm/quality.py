@@ -7,8 +7,8 @@ than half of their words are depleted. A host's limit is ``max_share`` of its do
 ``min_docs``. Repeated word windows are found by 64-bit hashes of eight words within one document.
 
 Defined results: null text has no word and no line and fails; null host is a host of its own;
-repeated rows count as documents of their own; an empty table gives an empty result. Input columns
-with the names of output columns are replaced.
+repeated rows count as documents of their own; a very long text is one row, measured in n log n; an
+empty table gives an empty result. Input columns with the names of output columns are replaced.
 """
 
 from __future__ import annotations
@@ -91,18 +91,16 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min
     frequent = frequent_lines(docs, text_col, host_col, min_docs, max_share)
     frequent = materialise(frequent, "frequent-lines")
     few = frequent.count() <= BROADCAST_LINES
-    others = [c for c in docs.columns if c not in (text_col, host_col)]
-    rows = docs.select(*others, host_col, measures(F.col(text_col)).alias("_m"), line_rows(F.col(text_col), F.col(host_col)).alias("_l"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    lines = rows.select(*others, host_col, "_m", "_row", F.explode_outer("_l").alias("_x")).select(*others, host_col, "_m", "_row", F.col("_x.k").alias("_k"), F.col("_x.w").alias("_w"))
-    marked = lines.join((F.broadcast(frequent) if few else frequent).withColumn("_f", F.lit(1)), lines["_k"] == frequent["k"], "left")
-    lost = F.coalesce(F.sum(F.when(F.col("_f") == 1, F.col("_w"))), F.lit(0)).cast("long")
+    kept = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d"), measures(F.col(text_col)).alias("m"), line_rows(F.col(text_col), F.col(host_col)).alias("l"), F.monotonically_increasing_id().alias("row"))
+    lines = rows.select("d", "m", "row", F.explode_outer("l").alias("x")).select("d", "m", "row", F.col("x.k").alias("key"), F.col("x.w").alias("w"))
+    marked = lines.join((F.broadcast(frequent) if few else frequent).withColumn("often", F.lit(1)), lines["key"] == frequent["k"], "left")
+    lost = F.coalesce(F.sum(F.when(F.col("often") == 1, F.col("w"))), F.lit(0)).cast("long")
     # one row for each document after the map side; the first of equal values is that value
-    out = marked.groupBy("_row").agg(F.first(F.struct(*others, host_col, "_m")).alias("_d"), lost.alias("_lost"))
-    out = out.select(*[F.col(f"_d.{c}") for c in [*others, host_col]], *[F.col(f"_d._m.{m}") for m in MEASURES], "_lost")
+    out = marked.groupBy("row").agg(F.first(F.struct("d", "m")).alias("d"), lost.alias("lost"))
+    out = out.select(*[F.col(f"d.d.`{c}`").alias(c) for c in kept], *[F.col(f"d.m.{m}") for m in MEASURES], (F.col("d.m.n_words") - F.col("lost")).alias("words_left"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumn("words_left", F.col("n_words") - F.col("_lost")).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~failed & (F.col("words_left") >= min_left * F.col("n_words"))).drop("_lost")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("words_left") >= min_left * F.col("n_words")))
 
 
 def op4_quality_rules(spark, sf_dir):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, read
+from .common import materialise, read, slices, small_batches
 from .packed import bitmap, bucket_count, counts, in_bitmap
 
 LENGTH = 200
@@ -275,8 +275,8 @@ _SPAN = [("d", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(d, t, s, e): covered byte spans; d and t are the id and the hash of the text."""
     spark = docs.sparkSession
-    bound_batches(spark)
-    keyed, buckets = _keyed(docs, text_col, id_col), bucket_count(spark)
+    keyed = _keyed(docs, text_col, id_col)
+    buckets = bucket_count(keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
@@ -395,7 +395,6 @@ def cut_out(docs: DataFrame, spans: DataFrame, text_col: str = "text", id_col: s
                 out.append((ident, len(raw), len(raw) - len(kept), len(_spans(mask)), hashlib.sha256(kept).hexdigest(), kept))
             yield _batch(out, kinds)
 
-    bound_batches(docs.sparkSession)
     return rows.select("id", "text", "spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
 
 

@@ -9,8 +9,13 @@ it does not depend on how many others link to a blocked host. A host is blocked
 its trust and above ``threshold``. Each iteration is one join of the scores with the edges and a sum
 that combines before its shuffle.
 
+Scores are in the unit of a seed's mass (a host all of whose pages a rule decides starts with 1 less
+damping); the flow is linear, so normalising the seeds would only change the unit, and ``threshold`` is
+stated in it.
+
 Defined results: null URL or one without ``://`` has an empty host and path and is allowed; null
-html has no links; links within a host are no edges; repeated rows are judged one by one; an empty
+html has no links; links within a host are no edges; repeated rows are judged one by one, and each
+counts as a page in the shares and edges of its host; a very long html is one row; an empty
 table gives an empty result; input columns with the names of output columns are replaced.
 """
 
@@ -24,7 +29,8 @@ from .common import materialise, read, without
 #: Fixed values of the query: host and path, verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-ITERATIONS = 8
+#: Steps along links; what is farther away has less than damping ** 20, 4 %, of a seed's mass.
+ITERATIONS = 20
 THRESHOLD = 0.5 * (1 - DAMPING)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -95,8 +101,8 @@ def exposure(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, itera
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col: str = "html", damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
     """The pages (without html) with host, path, rule, verdict, trust and distrust."""
-    pages = without(pages, "host", "path", "rule", "verdict", "trust", "distrust")
-    pages = pages.withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col)))
+    kept = [c for c in without(pages, "host", "path", "rule", "verdict", "trust", "distrust").columns if c != html_col]
+    pages = pages.select(host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.col(html_col).alias("html"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
     counted = materialise(pages.groupBy("host").agg(F.count("*").alias("n")), "hosts")
     known = materialise(rules_of_hosts(counted, rules), "host-rules")
 
@@ -107,14 +113,15 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col: st
         return F.sum(F.when(F.col("_best.verdict") == verdict, 1).otherwise(0)) / F.count("*")
 
     seeds = with_rule(pages.select("host", "path")).groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    links = materialise(edges(pages.select("host", html_col), html_col), "links")
+    links = materialise(edges(pages.select("host", "html")), "links")
     seeds = materialise(seeds, "seed-shares")
     trusted = propagate(links, seeds.withColumn("distrust", F.lit(0.0)), damping, iterations).select("host", "trust")
     scores = materialise(trusted.join(exposure(links, seeds, damping, iterations), "host", "full"), "host-scores")
-    judged = with_rule(pages.drop(html_col)).join(scores, "host", "left")
+    judged = with_rule(pages.drop("html")).join(scores, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     own = F.when((distrust > trust) & (distrust > F.lit(threshold)) & (F.col("host") != ""), "block").otherwise("allow")
-    return judged.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), own)).withColumn("trust", trust).withColumn("distrust", distrust).drop("_best")
+    verdict = F.coalesce(F.col("_best.verdict"), own)
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -127,10 +134,11 @@ def op6_url_filter(spark, sf_dir):
 
 
 def _steps() -> str:
-    """The iterations as common table expressions."""
-    out = ["r0 AS (SELECT * FROM start)"]
+    """The iterations of trust (t) and distrust (e) as common table expressions."""
+    out = ["t0 AS (SELECT host, t AS score FROM start WHERE t > 0), e0 AS (SELECT host, d AS score FROM start WHERE d > 0)"]
     for i in range(ITERATIONS):
-        out.append(f"r{i + 1} AS (SELECT kind, host, sum(score) AS score FROM (SELECT * FROM start UNION ALL SELECT f.kind, f.b, r.score * f.share * {DAMPING}e0 FROM r{i} r JOIN flow f ON r.kind = f.kind AND r.host = f.a) GROUP BY ALL)")
+        out.append(f"t{i + 1} AS (SELECT host, sum(score) AS score FROM (SELECT * FROM t0 UNION ALL SELECT dst, score * share * {DAMPING}e0 FROM t{i} JOIN flow ON host = src) GROUP BY 1)")
+        out.append(f"e{i + 1} AS (SELECT host, max(score) AS score FROM (SELECT * FROM e0 UNION ALL SELECT src, sum(score * share) * {DAMPING}e0 FROM e{i} JOIN flow ON host = dst GROUP BY 1) GROUP BY 1)")
     return ",\n".join(out)
 
 
@@ -145,12 +153,11 @@ p AS (SELECT u.*, best.rule, best.verdict FROM u LEFT JOIN best USING (rid)),
 links AS (SELECT src, dst, count(*) AS pages FROM (SELECT DISTINCT rid, host AS src,
             translate(unnest(regexp_extract_all(coalesce(html, ''), '{_LINK.replace("'", "''")}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM u WHERE host <> '')
           WHERE src <> dst GROUP BY ALL),
-both_ways AS (SELECT 't' AS kind, src AS a, dst AS b, pages FROM links UNION ALL SELECT 'd', dst, src, pages FROM links),
-flow AS (SELECT kind, a, b, pages / sum(pages) OVER (PARTITION BY kind, a) AS share FROM both_ways),
+flow AS (SELECT src, dst, pages / sum(pages) OVER (PARTITION BY src) AS share FROM links),
 seeds AS (SELECT host, count_if(verdict = 'allow') / count(*) AS t, count_if(verdict = 'block') / count(*) AS d FROM p GROUP BY 1),
-start AS (SELECT 't' AS kind, host, t * {1 - DAMPING}e0 AS score FROM seeds WHERE t > 0 UNION ALL SELECT 'd', host, d * {1 - DAMPING}e0 FROM seeds WHERE d > 0),
+start AS (SELECT host, t * {1 - DAMPING}e0 AS t, d * {1 - DAMPING}e0 AS d FROM seeds),
 {_steps()},
-s AS (SELECT host, coalesce(sum(score) FILTER (kind = 't'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'd'), 0) AS distrust FROM r{ITERATIONS} GROUP BY 1)
+s AS (SELECT coalesce(t.host, e.host) AS host, coalesce(t.score, 0) AS trust, coalesce(e.score, 0) AS distrust FROM t{ITERATIONS} t FULL JOIN e{ITERATIONS} e ON t.host = e.host)
 SELECT p.page_id, p.host, p.path, p.rule,
        coalesce(p.verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) AND coalesce(distrust, 0) > {THRESHOLD}e0 AND p.host <> '' THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN s ON p.host = s.host

@@ -10,7 +10,9 @@ text writer (records end with two line ends, as the format asks), ``read_back``
 Defined results: a null document is an empty payload; a null URL becomes ``urn:record:ID``, blanks
 in a URL are percent-encoded; rows without an id never win over rows with one; repeated rows of the
 winning id are all responses; a declared length beyond the end gives a record with
-``WARC-Truncated``; an empty table gives no archive and no row.
+``WARC-Truncated``; lines where a header line should stand but doesn't are skipped up to the next
+header line and counted (``malformed``); a very long document is one record; other columns are not looked
+at; an empty table gives no archive and no row.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, read, scratch_path
+from .common import materialise, read, scratch_path, slices, small_batches
 
 MIN_PAYLOAD = 100
-RECORDS_PER_FILE = 2000
+#: Bounds of an archive: records, and bytes of payload before compression.
+RECORDS_PER_FILE = 1000
+FILE_BYTES = 256_000_000
 END = b"\r\n\r\n"
 #: Fields after the URL on a header line, by version (fixed values of the format).
 FIELDS = {1: ("ip", "date", "mime", "length"), 2: ("ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length")}
@@ -60,31 +64,41 @@ def arc_file(version: int, name: str, date: str, records: list[tuple[str, str, s
     return b"".join(parts)
 
 
-def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
-    """Records of an archive; the version block says which header lines follow."""
+def parse_arc(raw: bytes, skipped: list[int] | None = None) -> Iterator[ArcRecord]:
+    """Records of an archive; the version block says which header lines follow.
+
+    A line that is no header line is an error, or, with ``skipped``, noted there by its place; reading
+    goes on at the next line that is one.
+    """
     at, version = 0, 0
     while at < len(raw):
         if raw[at] in b"\r\n":  # separators between records
             at += 1
             continue
         end = raw.find(b"\n", at)
-        if end < 0:
-            return
+        end = len(raw) if end < 0 else end
         line = raw[at:end].decode("utf-8", "replace").rstrip("\r")
         if not version:
-            length = int(line.rpartition(" ")[2])
-            first = raw[end + 1 : end + 1 + length].split(None, 1)
-            version = int(first[0]) if first and first[0] in (b"1", b"2") else 1
-            at = end + 1 + length
-            continue
-        fields = line.rsplit(" ", len(FIELDS[version]))
-        found = dict(zip(FIELDS[version], fields[1:], strict=True)) if len(fields) == len(FIELDS[version]) + 1 else {}
-        if not found.get("length", "").isdigit():
+            declared = line.rpartition(" ")[2]
+            if declared.isdecimal():
+                length = int(declared)
+                first = raw[end + 1 : end + 1 + length].split(None, 1)
+                version = int(first[0]) if first and first[0] in (b"1", b"2") else 1
+                at = end + 1 + length
+                continue
+        else:
+            fields = line.rsplit(" ", len(FIELDS[version]))
+            found = dict(zip(FIELDS[version], fields[1:], strict=True)) if len(fields) == len(FIELDS[version]) + 1 else {}
+            if found.get("length", "").isdecimal():
+                length = int(found["length"])
+                content = raw[end + 1 : end + 1 + length]
+                yield ArcRecord(fields[0], found["date"], found["mime"], at, content, len(content) < length)
+                at = end + 1 + length
+                continue
+        if skipped is None:
             raise ValueError(f"no ARC header line at byte {at}")
-        length = int(found["length"])
-        content = raw[end + 1 : end + 1 + length]
-        yield ArcRecord(fields[0], found["date"], found["mime"], at, content, len(content) < length)
-        at = end + 1 + length
+        skipped.append(at)
+        at = end + 1
 
 
 def iso_date(date: str) -> str:
@@ -108,10 +122,10 @@ RECORD = "record_id string, target_uri string, warc_date string, warc_type strin
 
 def convert(batches: Iterator[pa.RecordBatch], with_block: bool) -> Iterator[pa.RecordBatch]:
     """(path, content) batches of ARC files as WARC fields, with header and payload bytes on request."""
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-            for r in parse_arc(raw):
+            for r in parse_arc(raw, []):
                 head, payload = split_http(r.content)
                 digest = hashlib.sha256(payload).hexdigest()
                 key = re.search(rb"\r\nX-Document-Id: (-?\d+)\r\n", head)
@@ -125,10 +139,25 @@ def convert(batches: Iterator[pa.RecordBatch], with_block: bool) -> Iterator[pa.
 
 def records(arcs: DataFrame, with_block: bool = True) -> DataFrame:
     """WARC fields of the records in ARC files given as (path, content)."""
-    bound_batches(arcs.sparkSession)
     return arcs.select("path", "content").mapInArrow(lambda it: convert(it, with_block), RECORD + ", head binary, payload binary" * with_block)
 
 
+def malformed(arcs: DataFrame) -> DataFrame:
+    """(path, lines): the lines of each ARC file that stand where a header line should and are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            counts = []
+            for raw in b.column("content").to_pylist():
+                skipped: list[int] = []
+                for _ in parse_arc(raw, skipped):
+                    pass
+                counts.append(len(skipped))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(counts, pa.int64())], ["path", "lines"])
+
+    return arcs.select("path", "content").mapInArrow(run, "path string, lines long").where("lines > 0")
+
+
 def winners(keys: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """For each payload that several records share: the record that stays a response."""
     first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "record_id", "target_uri", "warc_date")).alias("first")
@@ -158,16 +187,30 @@ def warc_record(r: dict) -> bytes:
     return "\r\n".join(lines).encode() + END + block
 
 
-def write(assigned: DataFrame, path: str, compression: str = "gzip", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archives of at most ``records_per_file`` records, so that a reader holds a bounded file."""
+def write(assigned: DataFrame, path: str, compression: str = "gzip", records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES, largest: int | None = None) -> None:
+    """Archives of at most ``records_per_file`` records and some ``file_bytes`` bytes, so that a reader
+    holds a bounded file: records larger than the mean share of a file go to archives of their own size class,
+    each class with as many records for each file as fit. A single record beyond the bound is a file.
+    ``largest`` is the largest payload, if it is known."""
+    if largest is None:
+        largest = assigned.agg(F.max("payload_bytes")).first()[0] or 0
+    share, classes = file_bytes // records_per_file, []
+    while share < largest:
+        classes.append(share)
+        share *= 64
+    for k, most in enumerate([*classes, share]):
+        part = assigned.where(F.col("payload_bytes") <= most) if k == 0 else assigned.where((F.col("payload_bytes") > classes[k - 1]) & (F.col("payload_bytes") <= most))
+        _write(part, f"{path}/class-{k}", compression, max(1, min(records_per_file, file_bytes // most)))
+
 
+def _write(assigned: DataFrame, path: str, compression: str, records_per_file: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in b.to_pylist()], pa.binary())], ["record"])
 
-    bound_batches(assigned.sparkSession)
     rows = assigned.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    rows.write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    with small_batches(assigned.sparkSession):
+        rows.write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -200,7 +243,7 @@ def read_back(spark, path: str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.string()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_record", "target_uri", "warc_date"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     before = spark.conf.get(key)
     spark.conf.set(key, "1")  # an archive at a time
     try:
@@ -213,7 +256,7 @@ def as_arc(docs: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFra
     """Each row as a one-record ARC file (path, content): even ids version 1, others version 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             paths, raws = [], []
             for key, url, text in zip(*(b.column(c).to_pylist() for c in (id_col, url_col, text_col)), strict=True):
                 body = (text or "").encode()
@@ -224,15 +267,15 @@ def as_arc(docs: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFra
                 raws.append(arc_file(version, f"{key}.arc", "20240101000000", [(url or f"urn:record:{key}", "20240101000000", "text/html", head + body)]))
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raws, pa.binary())], ["path", "content"])
 
-    bound_batches(docs.sparkSession)
     return docs.select(id_col, url_col, text_col).mapInArrow(run, "path string, content binary")
 
 
 def op1_legacy_archive_converter(spark, sf_dir):
     arcs = as_arc(read(spark, sf_dir, "pages"), "page_id", "url", "html")
-    first = winners(records(arcs, with_block=False))
+    with small_batches(spark):
+        keys = materialise(records(arcs, with_block=False), "record-keys")
     path = scratch_path(spark, "warc")
-    write(assign(records(arcs), first), path)
+    write(assign(records(arcs), winners(keys)), path, largest=keys.agg(F.max("payload_bytes")).first()[0] or 0)
     return read_back(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
