@@ -5,21 +5,26 @@ of windows whose key is the same substring at the same place are segments, some
 at most. Equal windows have equal keys in segments of their own, so only segments with a key that
 another segment has can hold repeats. The steps:
 
-1. Keys are counted in packed form; those of more than one segment set a filter of fixed size.
-2. The segments that pass it are written with a hash of their bytes. Equal segments repeat wholly.
+1. Keys are counted in packed form; those of more than one segment set a filter of bounded size.
+2. The segments that pass it are written with a hash of their bytes. Segments of equal key, bytes' hash
+   and size repeat wholly; that is decided by these two 64-bit hashes.
 3. Of the other keys with different segments, one segment of each content goes, with its bytes, to
-   shards of whole key groups. A shard leaves out windows whose hash is alone, builds an enhanced suffix array (prefix doubling, common
-   prefixes, preceding bytes), scans it with a stack for the tree of common-prefix intervals and
-   keeps those with different preceding bytes: the maximal repeats with all their occurrences.
-4. A key group of more than ``GROUP`` contents, which could outgrow a task, takes another exact way:
-   the hashes of its windows are counted in packed form over all tasks, and the repeated ones come
-   back to the segments in bounded blocks.
+   shards of whole key groups. A shard leaves out windows whose hash is alone, builds an enhanced suffix
+   array (prefix doubling, common prefixes, preceding bytes), scans it with a stack for the tree of
+   common-prefix intervals and keeps those with different preceding bytes: the maximal repeats with
+   all their occurrences. What these cover is found by comparing bytes.
+4. A key group of more than ``GROUP`` contents, which could outgrow a task, is split by longer keys first:
+   the windows that hold at least half of what is missing behind the key's substring take these bytes
+   into their key, the others those before it. Equal windows still have equal keys. Contents that have
+   become equal repeat wholly, and one of them goes on. Groups that are still too large are split again;
+   after eight rounds at most the key is the whole window.
 5. The covered spans of each document are merged and cut out.
 
 Texts are UTF-8 bytes and repeats never cross documents. Defined results: null or empty text has no
-byte; a text shorter than ``length`` keeps all; repeated rows repeat each other wholly; rows with
-equal ids and different texts are told apart by a hash of the text; an empty table gives an empty
-result. Kept bytes may be cut inside a character; ``remove`` then drops the incomplete characters.
+byte; a text shorter than ``length`` keeps all; a very long text is cut into segments like any other;
+repeated rows repeat each other wholly; rows with equal ids and different texts are told apart by a hash
+of the text; an empty table gives an empty result; other columns are not looked at. Kept bytes may be
+cut inside a character (``cut_out`` returns them as binary).
 """
 
 from __future__ import annotations
@@ -30,20 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read, slices, small_batches
-from .packed import bitmap, bucket_count, counts, in_bitmap
+from .common import discard, materialise, read, slices, small_batches
+from .packed import bitmap, bitmap_bits, bucket_count, counts, in_bitmap
 
 LENGTH = 200
 GRAM = 64
 GROUP = 1000
 SHARD_BYTES = 2_000_000
-#: Rows of the list of segments to fetch that are broadcast; beyond it the texts are shuffled.
-BROADCAST_ROWS = 200_000
-#: Repeated window hashes held at a time by the other way for large groups.
-BLOCK_HASHES = 2_000_000
+#: Bytes of the list of segments to fetch that is broadcast; beyond it the texts are shuffled.
+BROADCAST_BYTES = 64_000_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _TABLE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -269,23 +273,52 @@ def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
 
-_SPAN = [("d", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]
-
-
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(d, t, s, e): covered byte spans; d and t are the id and the hash of the text."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs, text_col, id_col)
+    with small_batches(docs.sparkSession):
+        whole, parts, found = _segment_parts(_keyed(docs, text_col, id_col), length, group)
+        out = whole.unionByName(_covered_spans(parts, length))
+        return out if found is None else out.unionByName(found)
+
+
+def repeat_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """(size, occurrences): the groups of maximal repeats that the shards' trees give, as arrays of (d, t, s).
+
+    A shard holds one segment for each content, so an occurrence stands for all copies of its segment.
+    A repeat that is longer than a segment shows as one group for each key inside it.
+    """
+    with small_batches(docs.sparkSession):
+        _, parts, _ = _segment_parts(_keyed(docs, text_col, id_col), length, group)
+
+    def groups(table: pa.Table) -> pa.Table:
+        d, t, lo = (table.column(c).to_pylist() for c in ("d", "t", "lo"))
+        found = maximal_repeats(table.column("bytes").to_pylist(), length)
+        places = [[{"d": d[i], "t": t[i], "s": lo[i] + at} for i, at in sorted(own)] for _, own in found]
+        return pa.table({"size": pa.array([n for n, _ in found], pa.int32()), "occurrences": pa.array(places, pa.list_(pa.struct([("d", pa.int64()), ("t", pa.int64()), ("s", pa.int32())])))})
+
+    return _in_shards(parts, groups, "size int, occurrences array<struct<d:long,t:long,s:int>>")
+
+
+_PART = [("d", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("key", pa.int64()), ("open", pa.bool_()), ("large", pa.bool_()), ("bytes", pa.binary())]
+_PART_DDL = "d long, t long, lo int, key long, open boolean, large boolean, bytes binary"
+
+
+def _segment_parts(keyed: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(spans of segments that repeat wholly, segments to compare in groups of bounded size, spans found
+    while large groups were split)."""
+    spark = keyed.sparkSession
     buckets = bucket_count(keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
+        for b in slices(batches):
             yield segments(_raw(b), length)[3]
 
-    again = spark.sparkContext.broadcast(bitmap(counts(keyed.select("text"), keys_of, buckets, 64, 1), "token"))
+    often = materialise(counts(keyed.select("text"), keys_of, buckets, 64, 1).select("token"), "repeated-keys")
+    again = spark.sparkContext.broadcast(bitmap(often, "token", max(24, bitmap_bits(often.count()))))
+    discard(often)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             number, lo, count, key, content = segments(_raw(b), length)
             keep = in_bitmap(again.value, key)
             number, lo, count, key, content = (x[keep] for x in (number, lo, count, key, content))
@@ -294,29 +327,98 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     found = materialise(keyed.mapInArrow(listed, "d long, t long, lo int, w int, key long, content long"), "segments")
     same = ["key", "content", "w"]
-    contents = found.groupBy(same).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo")).alias("first"))
-    contents = materialise(contents, "contents")
+    contents = materialise(found.groupBy(same).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo")).alias("first")), "contents")
     whole = found.join(contents.where("n > 1").select(same), same).select("d", "t", F.col("lo").alias("s"), (F.col("lo") + F.col("w") + (length - 1)).alias("e"))
     sizes = contents.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
-    wanted = contents.join(sizes, "key").select("first.d", "first.t", "first.lo", "w", "key", (F.col("n") == 1).alias("open"), (F.col("g") > group).alias("large"))
+    bits = (4 * length + 3).bit_length()  # a place, its windows and two flags in one number
+    place = F.col("lo").cast("long") * (1 << bits) + F.col("w") * 4 + (F.col("n") == 1).cast("int") * 2 + (F.col("g") > group).cast("int")
+    wanted = contents.join(sizes, "key").select("first.d", "first.t", "first.lo", "w", "n", "g", "key").select("d", "t", F.array(place, "key").alias("x"))
     # a document's list of segments is bounded by its length
-    wanted = materialise(wanted.groupBy("d", "t").agg(F.collect_list(F.struct("lo", "w", "key", "open", "large")).alias("want")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
+    wanted = materialise(wanted.groupBy("d", "t").agg(F.flatten(F.collect_list("x")).alias("want")), "wanted")
+    n_docs, n_values = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("want")), F.lit(0))).first()
+    few = 64 * n_docs + 8 * n_values <= BROADCAST_BYTES
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("d", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("key", pa.int64()), ("open", pa.bool_()), ("large", pa.bool_()), ("bytes", pa.binary())]
-        for b in batches:
-            for i, (raw, want) in enumerate(zip(_raw(b), b.column("want").to_pylist(), strict=True)):
-                d, t = b.column("d")[i].as_py(), b.column("t")[i].as_py()
-                rows = [(d, t, x["lo"], x["key"], x["open"], x["large"], raw[x["lo"] : x["lo"] + x["w"] + length - 1]) for x in want]
-                yield _batch(rows, kinds)
+        for b in slices(batches):
+            rows = []
+            for d, t, raw, want in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), _raw(b), b.column("want").to_pylist(), strict=True):
+                for x, key in zip(want[::2], want[1::2], strict=True):
+                    lo, w = x >> bits, (x & (1 << bits) - 1) >> 2
+                    rows.append((d, t, lo, key, bool(x & 2), bool(x & 1), raw[lo : lo + w + length - 1]))
+            yield _batch(rows, _PART)
 
     distinct = keyed if few else keyed.repartition("d", "t")
-    parts = distinct.join(F.broadcast(wanted) if few else wanted, ["d", "t"]).mapInArrow(fetch, "d long, t long, lo int, key long, open boolean, large boolean, bytes binary")
-    parts = materialise(parts, "segment-bytes")
+    parts = materialise(distinct.join(F.broadcast(wanted) if few else wanted, ["d", "t"]).mapInArrow(fetch, _PART_DDL), "segment-bytes")
+    small, large = parts.where("not large"), parts.where("large")
+    if not large.head(1):
+        return whole, small, None
+    more, spans = split_large(large, length, group)
+    return whole, small.unionByName(more), spans
+
+
+def _grown(raw: bytes, at: int, size: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(first window, windows, place and size of the longer common part) of the halves of a segment whose
+    windows all hold ``raw[at : at + size]``."""
+    windows, rest = len(raw) - length + 1, length - size
+    behind = -(-rest // 2)
+    cut = min(max(at - (rest - behind), 0), windows)  # windows from here on have that much behind the part
+    out = [(0, cut, at - (rest - behind + 1), size + rest - behind + 1)] if cut else []
+    return out + ([(cut, windows - cut, at, size + behind)] if cut < windows else [])
+
+
+def split_large(parts: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(segments in groups of at most ``group`` contents, whole spans that repeat) of segments in larger ones."""
+    gram = min(GRAM, length)
+    ddl = "d long, t long, lo int, key long, open boolean, at int, size int, c1 long, c2 long, bytes binary"
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            at = []
+            for key, raw in zip(b.column("key").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                windows = len(raw) - length + 1
+                h = rolling(np.frombuffer(raw, np.uint8), gram)[windows - 1 :]
+                at.append(windows - 1 + int(np.argmax(h == np.uint64(key % (1 << 64)))))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("d", "t", "lo", "open", "bytes")), pa.array(at, pa.int32())], ["d", "t", "lo", "open", "bytes", "at"])
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("d", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("key", pa.int64()), ("open", pa.bool_()), ("at", pa.int32()), ("size", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("bytes", pa.binary())]
+        for b in slices(batches):
+            rows = []
+            for r in b.to_pylist():
+                for first, windows, at, size in _grown(r["bytes"], r["at"], r["size"], length):
+                    raw = r["bytes"][first : first + windows + length - 1]
+                    side = at == r["at"]
+                    key = xxhash.xxh3_64_intdigest(raw[at - first : at - first + size], 2 * size + side) - (1 << 63)
+                    c = xxhash.xxh3_128_intdigest(raw)
+                    rows.append((r["d"], r["t"], r["lo"] + first, key, r["open"], at - first, size, (c >> 64) - (1 << 63), (c & _MASK) - (1 << 63), raw))
+            yield _batch(rows, kinds)
+
+    rows = parts.select("d", "t", "lo", "key", "open", "bytes").mapInArrow(located, "d long, t long, lo int, open boolean, bytes binary, at int").withColumn("size", F.lit(gram))
+    done = spans = None
+    content = ["key", "c1", "c2"]
+    while True:
+        sub = materialise(rows.mapInArrow(halves, ddl), "halves")
+        same = materialise(sub.groupBy(content).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo")).alias("first")), "half-contents")
+        again = sub.where("open").join(same.where("n > 1").select(content), content)
+        again = again.select("d", "t", F.col("lo").alias("s"), (F.col("lo") + F.octet_length("bytes")).cast("int").alias("e"))
+        groups = same.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
+        kept = sub.join(same, content).where(F.struct("d", "t", "lo") == F.col("first")).withColumn("open", F.col("open") & (F.col("n") == 1)).drop("n", "first")
+        kept = materialise(kept.join(groups, "key"), "half-groups")
+        more = kept.where(F.col("g") <= group).select("d", "t", "lo", "key", "open", F.lit(False).alias("large"), "bytes")
+        done = more if done is None else done.unionByName(more)
+        spans = again if spans is None else spans.unionByName(again)
+        rows = kept.where(F.col("g") > group).select("d", "t", "lo", "open", "bytes", "at", "size")
+        if not rows.head(1):
+            return done, spans
+
+
+def _in_shards(parts: DataFrame, of_shard, schema: str) -> DataFrame:
     total = parts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / SHARD_BYTES))
+    return parts.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(lambda t: of_shard(t), schema)
 
+
+def _covered_spans(parts: DataFrame, length: int) -> DataFrame:
     def shard(table: pa.Table) -> pa.Table:
         rows = []
         open_, lo = table.column("open").to_pylist(), table.column("lo").to_pylist()
@@ -328,48 +430,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         at = pa.array([r[0] for r in rows], pa.int64())
         return pa.table({"d": table.column("d").take(at), "t": table.column("t").take(at), "s": pa.array([r[1] for r in rows], pa.int32()), "e": pa.array([r[2] for r in rows], pa.int32())})
 
-    by_array = parts.where("not large").groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(lambda t: shard(t), "d long, t long, s int, e int")
-    out = whole.unionByName(by_array)
-    large = parts.where("large")
-    if large.head(1):
-        out = out.unionByName(by_windows(materialise(large.repartition("d", "t", "lo"), "large-groups"), length, buckets))
-    return out
-
-
-def by_windows(parts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Covered spans of the open segments of large groups, by counting window hashes."""
-    spark = parts.sparkSession
-
-    def hashes(raw: bytes) -> np.ndarray:
-        return rolling(np.frombuffer(raw, np.uint8), length)
-
-    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            for raw in b.column("bytes").to_pylist():
-                yield hashes(raw)
-
-    # closed segments repeat wholly elsewhere; one copy of each is here, so its windows count once
-    queue = materialise(counts(parts.select("bytes"), hashes_of, buckets, 64, 1), "window-hashes").select("token").toLocalIterator()
-    found = None
-    while True:
-        block = [r[0] for _, r in zip(range(BLOCK_HASHES), queue)]
-        if not block:
-            return found if found is not None else spark.createDataFrame([], "d long, t long, s int, e int")
-        shared = spark.sparkContext.broadcast(np.sort(np.array(block, np.int64).view(np.uint64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = []
-                for d, t, lo, is_open, raw in zip(*(b.column(c).to_pylist() for c in ("d", "t", "lo", "open", "bytes")), strict=True):
-                    if not is_open:
-                        continue
-                    h = hashes(raw)
-                    at = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
-                    rows += [(d, t, lo + s, lo + e + length - 1) for s, e in _spans(shared.value[at] == h).tolist()]
-                yield _batch(rows, _SPAN)
-
-        more = materialise(parts.mapInArrow(run, "d long, t long, s int, e int"), "window-spans")
-        found = more if found is None else found.unionByName(more)
+    return _in_shards(parts, shard, "d long, t long, s int, e int")
 
 
 def _merged(spans: list[dict], size: int) -> np.ndarray:
@@ -387,7 +448,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, text_col: str = "text", id_col: s
     kinds = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *[("kept", pa.binary())] * keep_bytes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for ident, raw, own in zip(b.column("id").to_pylist(), _raw(b), b.column("spans").to_pylist(), strict=True):
                 mask = _merged(own or [], len(raw))
