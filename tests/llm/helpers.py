@@ -31,3 +31,41 @@ def awkward(spark):
 
 def empty(spark):
     return awkward(spark).where("false")
+
+
+def plain_lines(texts):
+    """Line dedup done by pairs of adjacent lines with a word, document by document."""
+    seen, out = set(), {}
+    for key in sorted(texts):
+        if texts[key] is None:
+            out[key] = None
+            continue
+        lines = texts[key].encode().split(b"\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        units = [(full[0], full[0])] if len(full) == 1 else list(zip(full, full[1:]))
+        gone = set()
+        for a, b in units:
+            content = b"\n".join(lines[a : b + 1])
+            if content in seen:
+                gone.update(range(a, b + 1))
+            seen.add(content)
+        for i, x in enumerate(lines):
+            if not x.strip() and (i - 1 in gone or not any(j < i for j in full) and full and full[0] in gone):
+                gone.add(i)
+        ends = [b"\n"] * (len(lines) - 1) + [b""]
+        out[key] = b"".join(x + e for i, (x, e) in enumerate(zip(lines, ends)) if i not in gone).decode()
+    return out
+
+
+#: Names that operators use inside, all of them as columns of a caller.
+INNER = (
+    "d t s e h1 h2 cs ce c1 c2 head row text_ cut want x parts bytes kept is_first first n g key open large at size lo w content id spans lists doc prefix n_hot cid label gid list c c0 c1 c2 "
+    "host path html rule rules verdict parent src dst pages share score kind mass _rules _best _m _l _row _x _k _w _f _d _t _cut _text _lost lang i l k drawn bucket run offset bin finish skey source_size "
+    "target taken copies twin other own_doc_id own_source own_size placed n_words n_hit items hit_bits r often base found m a b p u v number tokens counts token"
+).split()
+
+
+def clashing(df):
+    """Every inner name that ``df`` doesn't have as a column of text."""
+    have = {c.lower() for c in df.columns}
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in dict.fromkeys(INNER) if c not in have])

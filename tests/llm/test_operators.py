@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from helpers import awkward, empty, prose
+from helpers import awkward, clashing, empty, plain_lines, prose
 from pyspark.sql import functions as F
 
 from quillspark import llm
@@ -55,8 +55,71 @@ def test_pages_queries_on_awkward_and_empty_tables(spark, tmp_path):
     assert (urls[3]["host"], urls[3]["path"], urls[3]["rule"], urls[3]["verdict"]) == ("", "", None, "allow")
 
 
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+OPERATORS = {
+    2: mixing.mix_documents, 4: quality.judge, 5: line_dedup.dedup, 8: lambda df: language_id.predict(df, {"en": b"the of and", "de": b"ein einziges wort"}),
+    9: lambda df: decontaminate.scan(df, df.sparkSession.createDataFrame([(1, prose(30, 1)), (None, "the of")], "item_id long, text string")),
+}
+
+
+@pytest.mark.parametrize("number", OPERATORS)
+def test_operators_keep_columns_that_are_named_like_their_own(spark, number):
+    rows = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    wide, operator = clashing(rows), OPERATORS[number]
+    a, b = operator(rows), operator(wide)
+    assert rows_of(a, *a.columns) == rows_of(b, *a.columns)
+    kept = [c for c in wide.columns if c not in a.columns and c in b.columns]
+    assert set(wide.columns) - set(a.columns) - set(kept) <= {"text", "html"}
+    assert all(r[c] == f"own {c}" for r in b.select(*kept).collect() for c in kept)
+    assert operator(clashing(empty(spark).select("doc_id", "text", "lang", "source", "n_chars"))).collect() == []
+
+
+def test_url_filter_and_searches_keep_columns_that_are_named_like_their_own(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "<a href='http://b.net/1'>"), (2, None, None), (3, "http://c.net/", ""), (3, "http://c.net/", "")], "page_id long, url string, html string")
+    rules = url_filter.rule_table(spark)
+    a, b = url_filter.judge(pages, rules), url_filter.judge(clashing(pages), rules)
+    assert rows_of(a, *a.columns) == rows_of(b, *a.columns) and all(r["row"] == "own row" for r in b.collect())
+    docs = awkward(spark).select("doc_id", "text")
+    for find in (jaccard_join.near_duplicates, lambda df: suffix_dedup.cut_out(df, suffix_dedup.repeated_spans(df)), lambda df: warc.records(warc.as_arc(df, "doc_id", "text", "text"), with_block=False)):
+        a, b = find(docs), find(clashing(docs))
+        assert rows_of(a, *a.columns) == rows_of(b, *a.columns)
+
+
+def test_sessions_settings_stay(spark):
+    key = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(k) for k in key]
+    docs = awkward(spark).select("doc_id", "text")
+    line_dedup.dedup(docs).collect()
+    suffix_dedup.repeated_spans(docs).collect()
+    jaccard_join.near_duplicates(docs).collect()
+    assert [spark.conf.get(k) for k in key] == before
+
+
 # ---- 1
 
+def test_malformed_header_lines_are_skipped_and_counted(spark):
+    records = [("http://x/1", "2020", "text/html", b"first"), ("http://x/2", "2020", "text/html", b"second")]
+    whole = warc.arc_file(2, "a.arc", "2020", records)
+    place = whole.index(b"http://x/2")
+    broken = [whole[:place] + b"broken line - -\nhttp://y 0.0.0.0 2020 a/b x\n" + whole[place:], b"", b"-", b"filedesc://a 0.0.0.0 2020 text/plain -\n", whole]
+    files = spark.createDataFrame([(f"{i}.arc", raw) for i, raw in enumerate(broken)], "path string, content binary")
+    assert {r["path"]: r["lines"] for r in warc.malformed(files).collect()} == {"0.arc": 2, "2.arc": 1, "3.arc": 1}
+    assert sorted(r["target_uri"] for r in warc.records(files).collect()) == ["http://x/1", "http://x/1", "http://x/2", "http://x/2"]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    sizes = [10] * 30 + [5000, 400_000, 300_000]
+    arcs = [(f"{i}.arc", warc.arc_file(1, f"{i}.arc", "2020", [(f"http://h/{i}", "2020", "a/b", bytes([65 + i]) * n)])) for i, n in enumerate(sizes)]
+    found = warc.records(spark.createDataFrame(arcs, "path string, content binary").coalesce(1))
+    warc.write(warc.assign(found, warc.winners(found)), f"file://{tmp_path}/w", compression="none", records_per_file=10, file_bytes=10_000)
+    written = sorted(f.stat().st_size for f in tmp_path.rglob("*.txt"))
+    assert all(n < 400_000 + 1000 for n in written) and sum(n < 10_000 for n in written) >= 3
+    assert sorted(r["payload_bytes"] for r in warc.read_back(spark, f"file://{tmp_path}/w").collect()) == sorted(sizes)
+
+
 def test_arc_versions_and_lengths():
     records = [("http://x/ 1", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\nwith lines\n"), ("dns:x", "2020", "text/dns", b""), ("http://y", "bad", "a/b", b"WARC/1.1\r\n\r\nhttp://z 0.0.0.0 2020 x 5\n")]
     for version in (1, 2):
@@ -209,7 +272,7 @@ def test_line_dedup_against_a_plain_version(spark):
         texts[i] = "\n".join([f"own {i} first"] + lines[a : a + rng.randint(0, 12)] + [f"own {i} last", ""] * rng.randint(0, 1))
     texts |= {50: None, 51: "", 52: texts[3], 53: "\n\n"}
     out = line_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["text"] for r in out} == line_dedup.plain(texts)
+    assert {r["doc_id"]: r["text"] for r in out} == plain_lines(texts)
     assert sum(r["n_removed_lines"] for r in out) > 20
 
 
@@ -223,7 +286,7 @@ def test_line_dedup_removes_whole_runs_and_single_line_copies(spark):
     texts = {1: "a one\nb two\nc three\nd four", 2: "own x\nb two\nc three\nown y", 3: "c three\nd four\nown z", 4: "only line", 5: "only line\n", 6: "own v\nb two\nown w", 7: " \na one\nb two\n\nown u", 8: "r\nr\nr\nr"}
     out = line_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     left = {1: texts[1], 2: "own x\nown y", 3: "own z", 4: "only line", 5: "", 6: texts[6], 7: "own u", 8: "r\n"}
-    assert {r["doc_id"]: r["text"] for r in out} == left == line_dedup.plain(texts)
+    assert {r["doc_id"]: r["text"] for r in out} == left == plain_lines(texts)
     assert {r["doc_id"]: (r["n_lines"], r["n_removed_lines"], r["n_removed_chunks"]) for r in out if r["doc_id"] in (2, 5, 7, 8)} == {2: (4, 2, 1), 5: (2, 2, 1), 7: (5, 4, 1), 8: (4, 3, 1)}
 
 
@@ -359,6 +422,14 @@ def test_decontamination_against_a_plain_version(spark, block_chars):
         assert (r["n_words"], r["n_hit"], np.flatnonzero(bits).tolist(), sorted(r["items"])) == (n, len(hit), hit, found)
 
 
+@pytest.mark.parametrize("block_chars", [1, 10**6])
+def test_items_without_id_count(spark, block_chars):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b"), (2, "c d"), (None, "x")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.scan(docs, bench, block_chars=block_chars).collect()}
+    assert got == {1: (4, 4, [2, None]), 2: (1, 1, [None]), 3: (0, 0, [])}
+
+
 def test_decontamination_removes_spans(spark):
     item = " ".join(f"question{i}" for i in range(12))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -397,7 +468,7 @@ def test_maximal_repeats_have_all_occurrences():
     assert found == {(3, ((0, 1), (1, 1), (2, 0))), (2, ((0, 2), (1, 2), (2, 1), (3, 1)))}
 
 
-@pytest.mark.parametrize("group", [1, 1000])
+@pytest.mark.parametrize("group", [1, 3, 1000])
 def test_suffix_dedup_against_a_plain_version(spark, group):
     rng = random.Random(9)
 
@@ -415,6 +486,34 @@ def test_suffix_dedup_against_a_plain_version(spark, group):
         assert out[i]["n_spans"] == len(np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(int)])) == 1))
 
 
+def test_large_groups_are_split_without_loss(spark):
+    """Many near copies of one passage: all of them hold the same keys."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 99)}" for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 9999)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [t.encode() for t in texts]
+    out = {r["id"]: r for r in suffix_dedup.cut_out(docs, suffix_dedup.repeated_spans(docs, group=4), keep_bytes=True).collect()}
+    for i, mask in enumerate(plain_cover(raw, 200)):
+        assert bytes(out[i]["kept"]) == np.frombuffer(raw[i], np.uint8)[~mask].tobytes()
+
+
+def test_repeat_groups_hold_occurrences(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"w{rng.randint(0, 999)}" for _ in range(80))
+    docs = spark.createDataFrame([(i, f"own{i} " * (i + 1) + passage + f" end{i}") for i in range(3)], "doc_id long, text string")
+    raw = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    groups = suffix_dedup.repeat_groups(docs).collect()
+    assert groups and {o["d"] for g in groups for o in g["occurrences"]} == {0, 1, 2}
+    for g in groups:
+        assert g["size"] >= 200 and len({raw[o["d"]][o["s"] : o["s"] + g["size"]] for o in g["occurrences"]}) == 1 and len(g["occurrences"]) > 1
+
+
 def test_packed_counts(spark):
     rng = np.random.default_rng(2)
     for values in (np.sort(rng.integers(0, 2**63, 500).astype(np.uint64)), np.array([5], np.uint64), np.zeros(0, np.uint64), np.array([1, 1, 2**64 - 1], np.uint64)):

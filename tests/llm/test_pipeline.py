@@ -1,11 +1,11 @@
 import random
 
 import pytest
-from helpers import awkward, empty, prose
+from helpers import awkward, empty, plain_lines, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import language_id, line_dedup
+from quillspark.llm import language_id
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,7 @@ def test_stages_against_plain_versions(spark):
     expected = {r["doc_id"] for r in docs.collect() for lang, score in [model.predict(r["text"])] if lang != "und" and score >= language_id.MIN_MARGIN}
     assert {r["doc_id"] for r in accepted.collect()} == expected
     lines = corpus_pipeline.stage_lines(spark, accepted, d)
-    plain = {k: v for k, v in line_dedup.plain({r["doc_id"]: r["text"] for r in accepted.collect()}).items() if v and v.strip()}
+    plain = {k: v for k, v in plain_lines({r["doc_id"]: r["text"] for r in accepted.collect()}).items() if v and v.strip()}
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == plain
     kept = {r["doc_id"] for r in corpus_pipeline.stage_near_duplicates(spark, lines, d).collect()}
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in plain.items() for w in [t.encode().lower().split()]}
