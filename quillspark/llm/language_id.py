@@ -67,7 +67,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     size = min(dict_bytes, max(1, ALL_DICT_BYTES // len(counts)))
     labels = labelled.sparkSession.createDataFrame(counts, "l string, c long")
     place = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2.0**32
-    thin = rows.select("lang", "id").join(labels, F.col("lang") == F.col("l")).where(place * F.col("c") < 4 * per_lang + 64).select("lang", "id").distinct()
+    thin = rows.select("lang", "id").join(F.broadcast(labels), F.col("lang") == F.col("l")).where(place * F.col("c") < 4 * per_lang + 64).select("lang", "id").distinct()
     order = Window.partitionBy("lang").orderBy(key, "id")
     chosen = thin.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
     chosen = chosen.select(F.col("lang").alias("l"), F.col("id").alias("i"), F.lit(size).alias("size"), F.count("*").over(Window.partitionBy("lang")).alias("drawn"))

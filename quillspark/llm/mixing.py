@@ -29,7 +29,7 @@ from .common import materialise, read, rows_under, without, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-RESULTS = ("size", "source_size", "target", "taken", "copies", "finish")
+RESULTS = ("size", "source_size", "target", "taken", "copies")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:

@@ -82,8 +82,8 @@ def test_url_filter_and_searches_keep_columns_that_are_named_like_their_own(spar
     rules = url_filter.rule_table(spark)
     a, b = url_filter.judge(pages, rules), url_filter.judge(clashing(pages), rules)
     assert rows_of(a, *a.columns) == rows_of(b, *a.columns) and all(r["row"] == "own row" for r in b.collect())
-    docs = awkward(spark).select("doc_id", "text")
-    for find in (jaccard_join.near_duplicates, lambda df: suffix_dedup.cut_out(df, suffix_dedup.repeated_spans(df)), lambda df: warc.records(warc.as_arc(df, "doc_id", "text", "text"), with_block=False)):
+    docs = awkward(spark).select("doc_id", "text", "lang")
+    for find in (jaccard_join.near_duplicates, lambda df: suffix_dedup.cut_out(df, suffix_dedup.repeated_spans(df)), lambda df: warc.records(warc.as_arc(df, "doc_id", "lang", "text"), with_block=False)):
         a, b = find(docs), find(clashing(docs))
         assert rows_of(a, *a.columns) == rows_of(b, *a.columns)
 
