@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 DIGITS = r"\p{Nd}+"
+#: How a filter text asks for a rating, and the whole phrase.
 RATING = r"рейтинг пользователя\s+(\d+(?:[.,]\d+)?)"
 RATING_PHRASE = r"рейтинг пользователя\s+\d+(?:[.,]\d+)?\s*(?:звезд[а-я]*)?\s*(?:и выше)?"
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import prefixed
+from ..sources.store import scratch_table
 
 
 class Encoder(Protocol):
@@ -63,9 +64,10 @@ def encode(texts: DataFrame, text_col: str, prefix: str, encoder: Encoder, batch
     return texts.select("key", text_col).mapInArrow(run, "key string, vector array<float>")
 
 
-def embeddings(df: DataFrame, text_col: str, prefix: str, encoder: Encoder, store: str, rebuild: bool = True) -> DataFrame:
-    """``df`` with ``vector``. Texts that the store lacks are encoded and appended, so an interrupted
-    run goes on where it stopped; without ``rebuild`` a missing vector is an error."""
+def embeddings(df: DataFrame, text_col: str, prefix: str, encoder: Encoder, store: str, rebuild: bool = True, block: int = 1 << 18) -> DataFrame:
+    """``df`` with ``vector``. Texts that the store lacks are encoded and appended in blocks of about
+    ``block`` texts, each committed by itself, so an interrupted run goes on behind its last whole block;
+    without ``rebuild`` a missing vector is an error."""
     spark = df.sparkSession
     keyed = df.withColumn("key", text_key(F.coalesce(text_col, F.lit("")), prefix, encoder))
     distinct = keyed.select("key", F.coalesce(text_col, F.lit("")).alias("text")).dropDuplicates(["key"])
@@ -74,9 +76,12 @@ def embeddings(df: DataFrame, text_col: str, prefix: str, encoder: Encoder, stor
         missing = distinct.join(known.select("key"), "key", "left_anti")
     except AnalysisException:
         missing = distinct
-    if not missing.isEmpty():
-        if not rebuild:
-            raise ValueError(f"{store} lacks vectors of these texts for this encoder")
-        encode(missing, "text", prefix, encoder).write.mode("append").parquet(store)
+    missing = scratch_table(missing)
+    n = missing.count()
+    if n and not rebuild:
+        raise ValueError(f"{store} lacks vectors of these texts for this encoder")
+    blocks = -(-n // block)
+    for i in range(blocks):
+        encode(missing.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i), "text", prefix, encoder).write.mode("append").parquet(store)
     stored = spark.read.schema("key string, vector array<float>").parquet(store).dropDuplicates(["key"])
     return keyed.join(stored, "key", "left").drop("key")

@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 from ..config import RRF_OFFSET, SERVICE_CATEGORY, SearchConfig
 from ..functions.text import filter_words, normalize, number_coverage, numbers, phrase_match, required_rating, tokenize
+from ..sources.store import scratch_table as keep
 from . import geo as geo_op
 from . import index, retrieve
 from . import prior as prior_op
 
 CHANNELS = ("stem", "char")
 FIELDS = ("title", "params", "description")
-#: Column names of the blocks, in the order in which a ranker gets them.
-CORE = tuple(
-    [f"{c}_{n}" if not (c == "char" and n == "log_score") else "char_score" for c in CHANNELS for n in ("log_score", "relative_score", "raw_rr", "geo_rr", "present")]
-    + ["search_rrf", "rrf_rank", "both_channels", "same_location", "geo_signal", "geo_log_factor", "source_present_in_corpus", "source_log_support", "destination_log_background", "prior_probability", "prior_relative", "query_prior_max", "query_prior_entropy", "item_rating", "rating_missing", "log_reviews", "reviews_missing", "same_category", "is_service_category", "query_category_specified", "query_words", "query_characters", "query_oov_fraction", "has_filters", "delivery_search"]
-)
-FIELD = tuple([f"{f}_{n}" for f in FIELDS for n in ("log_bm25", "normalized_bm25", "query_coverage", "log_length", "phrase_match")] + ["params_filter_log_bm25", "params_filter_coverage", "required_rating", "rating_filter_match", "rating_filter_gap", "query_has_numbers", "number_coverage"])
+#: Column names of the blocks, in the order in which a ranker gets them.
+CORE = (
+    "stem_log_score", "stem_relative_score", "stem_raw_rr", "stem_geo_rr", "stem_present", "char_score", "char_relative_score", "char_raw_rr", "char_geo_rr", "char_present",
+    "search_rrf", "rrf_rank", "both_channels", "same_location", "geo_signal", "geo_log_factor", "source_present_in_corpus", "source_log_support", "destination_log_background",
+    "prior_probability", "prior_relative", "query_prior_max", "query_prior_entropy", "item_rating", "rating_missing", "log_reviews", "reviews_missing", "same_category",
+    "is_service_category", "query_category_specified", "query_words", "query_characters", "query_oov_fraction", "has_filters", "delivery_search",
+)
+FIELD = (
+    "title_log_bm25", "title_normalized_bm25", "title_query_coverage", "title_log_length", "title_phrase_match",
+    "params_log_bm25", "params_normalized_bm25", "params_query_coverage", "params_log_length", "params_phrase_match",
+    "description_log_bm25", "description_normalized_bm25", "description_query_coverage", "description_log_length", "description_phrase_match",
+    "params_filter_log_bm25", "params_filter_coverage", "required_rating", "rating_filter_match", "rating_filter_gap", "query_has_numbers", "number_coverage",
+)
 EMBEDDING = ("e5_cosine", "e5_cosine_gap", "e5_rank", "e5_geo_score", "e5_geo_rank", "e5_present", "e5_geo_present", "text_present", "hybrid_rrf")
 
 
@@ -31,9 +39,11 @@ def _flag(condition: Column) -> Column:
 
 
 def oov_fraction(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(query_id, query_oov_fraction): share of a search's distinct terms that the vocabulary lacks."""
-    known = vocabulary.select("term").distinct().withColumn("_v", F.lit(1))
-    found = index.query_terms(queries).join(known, "term", "left").groupBy("query_id").agg((1 - F.count("_v") / F.greatest(F.count("*"), F.lit(1))).alias("f"))
+    """(query_id, query_oov_fraction): share of a search's distinct stems that the vocabulary of stems
+    lacks; 1 for a search without terms."""
+    terms = keep(index.stem_terms(queries, shortest=1))
+    known = vocabulary.join(terms.select("term").distinct(), "term", "left_semi").select("term").distinct().withColumn("_v", F.lit(1))
+    found = terms.join(known, "term", "left").groupBy("query_id").agg((1 - F.count("_v") / F.greatest(F.count("*"), F.lit(1))).alias("f"))
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("f", F.lit(1.0)).alias("query_oov_fraction"))
 
 
@@ -115,22 +125,24 @@ def rating_filter(required: Column, rating: Column) -> tuple[Column, Column]:
     return match, F.when(required == 0, 0.0).otherwise(rating - required)
 
 
-def field(candidates: DataFrame, items: DataFrame, queries: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, item_pos, *FIELD). ``postings``: (item_pos, field, term, idf, w); ``lengths``:
-    (item_pos, field, len). One join of the candidates' terms serves all fields."""
+def field(candidates: DataFrame, items: DataFrame, queries: DataFrame, counts: DataFrame, n_items: int) -> DataFrame:
+    """(query_id, item_pos, *FIELD). ``counts``: (item_pos, field, term, tf) of stems, whose terms are the
+    vocabulary that all fields share. One join of the candidates' terms serves all fields."""
     rows = candidates.select("query_id", "item_pos")
-    terms = index.query_terms(queries)
+    wanted = keep(queries.select("query_id", "search_query", F.coalesce(normalize(F.col("search_params")), F.lit("")).alias("filter")))
+    terms = keep(index.stem_terms(wanted, shortest=1))
+    filter_terms = keep(index.stem_terms(wanted.select("query_id", filter_words(F.col("filter")).alias("search_query")), shortest=1))
+    postings = keep(index.bm25(counts, n_items, ("field",), terms=terms.unionByName(filter_terms)))
     size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    idf = postings.select("field", "term", "idf").distinct()
-    known = terms.join(idf, "term").groupBy("query_id").agg(*[F.coalesce(F.sum(F.when(F.col("field") == f, F.col("idf"))), F.lit(0.0)).alias(f"_idf_{f}") for f in FIELDS])
-    # terms that only other fields hold still count in this one's idf sum, as terms of the shared vocabulary
+    df = postings.groupBy("term").agg(*[F.count_if(F.col("field") == f).cast("double").alias(f) for f in FIELDS])
+    # a term of the vocabulary counts in each field's sum of idf, with a document frequency of 0 where the field lacks it
+    known = terms.join(df, "term").groupBy("query_id").agg(*[F.sum(index.idf(F.lit(float(n_items)), F.col(f))).alias(f"_idf_{f}") for f in FIELDS])
     hits = rows.join(terms, "query_id").join(postings, ["item_pos", "term"])
     scores = hits.groupBy("query_id", "item_pos").agg(*[c for f in FIELDS for c in (F.sum(F.when(F.col("field") == f, F.col("w"))).alias(f"_w_{f}"), F.count_if(F.col("field") == f).alias(f"_n_{f}"))])
-    wanted = queries.select("query_id", "search_query", F.coalesce(normalize(F.col("search_params")), F.lit("")).alias("filter"))
-    filter_terms = index.query_terms(wanted.select("query_id", filter_words(F.col("filter")).alias("search_query")))
     filter_size = filter_terms.groupBy("query_id").agg(F.count("*").alias("n_filter"))
     filter_hits = rows.join(filter_terms, "query_id").join(postings.where("field = 'params'"), ["item_pos", "term"]).groupBy("query_id", "item_pos").agg(F.sum("w").alias("_fw"), F.count("*").alias("_fn"))
-    wide = lengths.groupBy("item_pos").agg(*[F.sum(F.when(F.col("field") == f, F.col("len"))).alias(f"_len_{f}") for f in FIELDS])
+    own = counts.join(rows.select("item_pos").distinct(), "item_pos", "left_semi")
+    wide = own.groupBy("item_pos").agg(*[F.sum(F.when(F.col("field") == f, F.col("tf"))).alias(f"_len_{f}") for f in FIELDS])
     rows = rows.join(scores, ["query_id", "item_pos"], "left").join(filter_hits, ["query_id", "item_pos"], "left").join(wide, "item_pos", "left")
     rows = rows.join(items.select("item_pos", "rating", *FIELDS), "item_pos").join(wanted, "query_id")
     for side in (size, known, filter_size):

@@ -30,7 +30,11 @@ def context_weights(pairs: DataFrame) -> DataFrame:
 
 def fit(pairs: DataFrame) -> GeoModel:
     weights = context_weights(pairs)
-    counts = weights.groupBy("search_location_id", "item_location_id").agg(F.sum("weight").alias("count"))
+    return from_counts(weights.groupBy("search_location_id", "item_location_id").agg(F.sum("weight").alias("count")))
+
+
+def from_counts(counts: DataFrame) -> GeoModel:
+    """The model of transition counts."""
     support = counts.groupBy("search_location_id").agg(F.sum("count").alias("support"))
     total = counts.agg(F.sum("count").alias("total"))
     background = counts.groupBy("item_location_id").agg(F.sum("count").alias("c")).crossJoin(F.broadcast(total))  # one row

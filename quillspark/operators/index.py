@@ -15,24 +15,32 @@ K1, B = 1.5, 0.75
 MAX_TERMS, MAX_GRAMS, MAX_PRIOR_GRAMS = 300_000, 180_000, 120_000
 
 
-def term_counts(items: DataFrame, weights: dict[str, int] | None = None, by_field: bool = False) -> DataFrame:
-    """(item_pos, [field,] term, tf): weighted counts of the tokens, all fields in one pass."""
-    weights = weights or FIELD_WEIGHTS
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).cast("double").alias("m"), F.coalesce(tokenize(F.col(f)), F.lit([]).cast("array<string>")).alias("terms")) for f, w in weights.items()])
-    rows = items.select("item_pos", F.explode(parts).alias("p")).select("item_pos", "p.field", "p.m", F.explode("p.terms").alias("term"))
-    keys = ["item_pos", "field", "term"] if by_field else ["item_pos", "term"]
-    return rows.groupBy(*keys).agg(F.sum(F.lit(1.0) if by_field else F.col("m")).alias("tf"))
+def term_counts(items: DataFrame, fields: tuple[str, ...] = tuple(FIELD_WEIGHTS)) -> DataFrame:
+    """(item_pos, field, term, tf): counts of the tokens, all fields in one pass."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(tokenize(F.col(f)), F.lit([]).cast("array<string>")).alias("terms")) for f in fields])
+    rows = items.select("item_pos", F.explode(parts).alias("p")).select("item_pos", "p.field", F.explode("p.terms").alias("term"))
+    return rows.groupBy("item_pos", "field", "term").agg(F.count("*").cast("double").alias("tf"))
+
+
+def joint(counts: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
+    """(item_pos, term, tf): the fields' counts, each as often as its weight says."""
+    times = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(w))) for f, w in (weights or FIELD_WEIGHTS).items()])
+    return counts.groupBy("item_pos", "term").agg(F.sum(F.col("tf") * times).alias("tf"))
 
 
 def capped(counts: DataFrame, most: int, least_df: int = 1) -> DataFrame:
-    """(term): the most frequent terms over the corpus; ties by term."""
+    """(term, df): the most frequent terms over the corpus; ties by term."""
     totals = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).where(F.col("df") >= least_df)
-    return totals.orderBy(F.desc("cf"), "term").limit(most).select("term")
+    return totals.orderBy(F.desc("cf"), "term").limit(most).select("term", "df")
+
 
+def stems_of(terms: DataFrame) -> DataFrame:
+    """(term, stem) of a table of terms; each distinct one is stemmed once."""
+    return terms.select("term").distinct().withColumn("stem", stem_words("term"))
 
-def stemmed(counts: DataFrame) -> DataFrame:
-    """Counts merged by stem. Each distinct term is stemmed once and joined back."""
-    stems = counts.select("term").distinct().withColumn("stem", stem_words("term"))
+
+def stemmed(counts: DataFrame, stems: DataFrame) -> DataFrame:
+    """Counts merged by stem; terms that ``stems`` lacks, as behind a cap, go."""
     keys = [c for c in counts.columns if c not in ("term", "tf")]
     return counts.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
@@ -41,43 +49,37 @@ def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def statistics(counts: DataFrame, n_items: int, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lengths by item, mean length, document frequency by term); ``keys`` separates fields."""
+def bm25(counts: DataFrame, n_items: int, keys: tuple[str, ...] = (), terms: DataFrame | None = None) -> DataFrame:
+    """Adds idf and the weight w to (item_pos, [keys,] term, tf); n_items counts empty items too, ``keys``
+    separates fields. With ``terms`` only their postings are weighted, by the lengths of whole items."""
     lengths = counts.groupBy("item_pos", *keys).agg(F.sum("tf").alias("len"))
-    mean = lengths.groupBy(*keys).agg(F.greatest(F.sum("len") / F.lit(float(n_items)), F.lit(1.0)).alias("mean_len"))
-    df = counts.groupBy("term", *keys).agg(F.count("*").cast("double").alias("df"))
-    return lengths, mean, df
-
-
-def bm25(counts: DataFrame, n_items: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds idf and the weight w to (item_pos, [keys,] term, tf); n_items counts empty items too."""
-    lengths, mean, df = statistics(counts, n_items, keys)
-    rows = counts.join(df, ["term", *keys]).join(lengths, ["item_pos", *keys])
+    # the sum of the lengths is that of the counts, so the mean needs no second pass over items
+    mean = counts.groupBy(*keys).agg(F.greatest(F.sum("tf") / F.lit(float(n_items)), F.lit(1.0)).alias("mean_len"))
+    kept = counts if terms is None else counts.join(terms.select("term").distinct(), "term", "left_semi")
+    df = kept.groupBy("term", *keys).agg(F.count("*").cast("double").alias("df"))
+    rows = kept.join(df, ["term", *keys]).join(lengths, ["item_pos", *keys])
     rows = rows.join(F.broadcast(mean), list(keys)) if keys else rows.crossJoin(F.broadcast(mean))  # one row for each field
     scale = K1 * (1 - B + B * F.col("len") / F.col("mean_len"))
     weight = (K1 + 1) * F.col("tf") / (F.col("tf") + scale) * idf(F.lit(float(n_items)), F.col("df"))
     return rows.select("item_pos", *keys, "term", "tf", "len", idf(F.lit(float(n_items)), F.col("df")).alias("idf"), weight.alias("w"))
 
 
-def tfidf(texts: DataFrame, key: str, text: str, low: int, high: int, most: int, least_df: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(postings (key, term, w), vocabulary (term, idf)): sublinear counts, smooth idf, unit rows."""
-    counts = gram_counts(texts, key, text, low, high)
-    terms = capped(counts, most, least_df)
-    n = float(texts.count())
-    vocabulary = counts.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    vocabulary = vocabulary.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    return project(counts, key, vocabulary), vocabulary
-
-
 def gram_counts(texts: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
     return texts.select(key, F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("tf"))
 
 
-def project(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """Unit TF-IDF rows of texts in a given vocabulary."""
+def tfidf(counts: DataFrame, n_texts: int, most: int, least_df: int = 2) -> DataFrame:
+    """(term, idf): vocabulary of gram counts with smooth idf."""
+    return capped(counts, most, least_df).select("term", (F.log((1 + F.lit(float(n_texts))) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def project(counts: DataFrame, key: str, vocabulary: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Unit TF-IDF rows (key, term, w) of sublinear counts in a given vocabulary; with ``terms`` only
+    those columns of the rows."""
     rows = counts.join(vocabulary, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("v"))
     norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return rows.join(norm, key).select(key, "term", (F.col("v") / F.col("norm")).alias("w"))
+    kept = rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return kept.join(norm, key).select(key, "term", (F.col("v") / F.col("norm")).alias("w"))
 
 
 def score(query_terms: DataFrame, postings: DataFrame, weight: Column | None = None, target: str = "item_pos") -> DataFrame:
@@ -100,5 +102,4 @@ def query_terms(queries: DataFrame, text: str = "search_query") -> DataFrame:
 def stem_terms(queries: DataFrame, text: str = "search_query", shortest: int = 2) -> DataFrame:
     """Distinct stems of the searches; retrieval keeps those of two or more characters."""
     terms = query_terms(queries, text)
-    stems = terms.select("term").distinct().withColumn("stem", stem_words("term"))
-    return terms.join(stems, "term").where(F.length("stem") >= shortest).select("query_id", F.col("stem").alias("term")).distinct()
+    return terms.join(stems_of(terms), "term").where(F.length("stem") >= shortest).select("query_id", F.col("stem").alias("term")).distinct()

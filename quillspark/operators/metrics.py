@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +43,30 @@ def paired_delta(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, value: str, seed: int = 20260928, repeats: int = REPEATS) -> DataFrame:
-    """(low, high): the 2.5 and 97.5 percentiles of the means of resamples.
+    """(low, high): the 2.5 and 97.5 percentiles of the means of resamples; null without rows.
 
-    A resample draws Poisson(1) copies of each row, by seeded hash: sums need no shuffle of the rows,
-    only one (sum, count) for each repeat and task.
+    A resample draws Poisson(1) copies of each row, and so Poisson(n) of a value that n rows have. The
+    draws are seeded by the value, so they are the same on any number of executors; a task adds up
+    its own, and only one (sum, count) for each repeat and task is shuffled.
     """
-    draws = F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda i: F.pmod(F.xxhash64(F.lit(seed), i, F.col("_key")), F.lit(1_000_000)) / 1e6)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    copies = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    keyed = rows.select(F.col(value).cast("double").alias("v"), F.xxhash64(*rows.columns).alias("_key"))
-    each = keyed.select("v", F.posexplode(draws).alias("rep", "u")).withColumn("n", copies)
-    means = each.groupBy("rep").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"))
+    counts = rows.select(F.col(value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, drawn = np.zeros(repeats), np.zeros(repeats, np.int64)
+        for b in batches:
+            v, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for x, bits, times in zip(v, (v + 0.0).view(np.uint64).tolist(), n, strict=True):
+                copies = np.random.Generator(np.random.Philox(key=[seed, bits])).poisson(times, repeats)
+                total += x * copies
+                drawn += copies
+        yield pa.RecordBatch.from_arrays([pa.array(range(repeats), pa.int32()), pa.array(total), pa.array(drawn)], ["rep", "s", "c"])
+
+    sums = counts.mapInArrow(run, "rep int, s double, c long").groupBy("rep").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    means = sums.select(F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def paired_interval(a: DataFrame, b: DataFrame, key: str, value: str, **options) -> DataFrame:
+    """``paired_delta`` with the bootstrap interval (low, high) of the mean difference."""
+    d = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key).select((F.col("y") - F.col("x")).alias("d"))
+    return paired_delta(a, b, key, value).crossJoin(bootstrap(d, "d", **options))  # one row each

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DIGITS
+from ..sources.store import scratch_table as keep
 from . import index
 
 NEIGHBOURS, LEAST_COSINE = 10, 0.2
@@ -23,8 +24,10 @@ def prior(pairs: DataFrame, queries: DataFrame, leave_out_self: bool = False) ->
     Squared cosines of the nearest texts weigh their class shares; a class that isn't listed has 0.
     """
     texts = pairs.select("query_norm").distinct()
-    postings, vocabulary = index.tfidf(texts, "query_norm", "query_norm", 2, 5, index.MAX_PRIOR_GRAMS)
-    own = index.project(index.gram_counts(queries, "query_id", "search_query", 2, 5), "query_id", vocabulary).select("query_id", "term", F.col("w").alias("qw"))
+    counts = keep(index.gram_counts(texts, "query_norm", "query_norm", 2, 5))
+    vocabulary = keep(index.tfidf(counts, texts.count(), index.MAX_PRIOR_GRAMS))
+    own = keep(index.project(index.gram_counts(queries, "query_id", "search_query", 2, 5), "query_id", vocabulary).select("query_id", "term", F.col("w").alias("qw")))
+    postings = index.project(counts, "query_norm", vocabulary, terms=own)
     scored = index.score(own, postings, F.col("w") * F.col("qw"), target="query_norm")
     if leave_out_self:
         scored = scored.where("query_id <> query_norm")

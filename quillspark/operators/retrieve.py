@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ANSWER, DIGITS, RRF_OFFSET, SERVICE_CATEGORY, SearchConfig
-from ..functions.text import cosine
 from . import geo as geo_op
 from . import index
 
@@ -100,16 +103,83 @@ def search(pools: DataFrame, items: DataFrame, queries: DataFrame, config: Searc
     return fill(best, queries, items)
 
 
-def dense(query_vectors: DataFrame, vectors: DataFrame, digits: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, item_pos, cosine) of every query with every vector: a stated query set against all
-    rows, in blocks of about ``block`` queries that are broadcast one by one."""
-    q = query_vectors.select("query_id", F.col("vector").alias("qv"))
-    blocks = max(1, -(-q.count() // block))
+def _blocks(query_vectors: DataFrame, block: int) -> list[DataFrame]:
+    """The queries in parts of about ``block`` by their hash."""
+    n = max(1, -(-query_vectors.count() // block))
+    return [query_vectors] if n == 1 else [query_vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def _best(scores: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest scores, equal ones by place."""
+    if k >= len(scores):
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    over, tied = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    return np.concatenate([over, tied[np.argsort(place[tied])[: k - len(over)]]])
+
+
+def _factors(part: DataFrame, vectors: DataFrame, model, config: SearchConfig) -> dict[int, dict[int, float]]:
+    """Factors other than 1 by source and destination, for the sources of a block of queries."""
+    sources = part.select("search_location_id").distinct()
+    pairs = sources.join(model.counts.select("search_location_id", F.col("item_location_id").alias("location_id")), "search_location_id")
+    pairs = pairs.unionByName(sources.withColumn("location_id", F.col("search_location_id"))).where("search_location_id is not null").distinct()
+    out: dict[int, dict[int, float]] = {}
+    for r in geo_op.with_factor(pairs, vectors, model, config).select("search_location_id", "location_id", "factor").collect():
+        out.setdefault(r[0], {})[r[1]] = r[2]
+    return out
+
+
+DENSE_ROW = "query_id string, item_pos long, kind string, score double, cosine double, factor double"
+
+
+def dense(query_vectors: DataFrame, vectors: DataFrame, k: int = DENSE, model=None, config: SearchConfig | None = None, digits: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, item_pos, kind, score, cosine, factor): each task's best k for each query, from a stated
+    query set against all rows, in blocks of queries that are broadcast one by one.
+
+    A batch of vectors is one matrix product, and only the best k so far are held. Kind ``global`` orders
+    by cosine; with a location model and its settings there is kind ``geo`` too, by cosine and the
+    factor of the query's ``search_location_id`` and the row's ``location_id``. ``index.top`` merges the tasks.
+    """
+    spark = vectors.sparkSession
+    given = vectors.select("item_pos", "vector", *(["location_id"] if model else []))
     out = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = vectors.join(F.broadcast(part)).select("query_id", "item_pos", F.round(cosine(F.col("qv"), F.col("vector")), digits).alias("cosine"))
-        out = pairs if out is None else out.unionByName(pairs)
+    for part in _blocks(query_vectors, block):
+        rows = part.select("query_id", "vector", *(["search_location_id"] if model else [])).collect()  # a block
+        factors = _factors(part, vectors, model, config) if model else {}
+        matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], matrix, [factors.get(r["search_location_id"], {}) for r in rows] if model else None))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q, own = shared.value
+            held: dict[tuple[int, str], list[np.ndarray]] = {}
+            for b in batches:
+                if not names or not b.num_rows:
+                    continue
+                place = b.column(0).to_numpy(zero_copy_only=False)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                cos = np.round(q @ v.T, digits) + 0.0
+                locations, of = np.unique(np.array(b.column(2).to_pylist(), object).astype(str), return_inverse=True) if own else (None, None)
+                for i in range(len(names)):
+                    factor = np.ones(len(place))
+                    kinds = [("global", cos[i])]
+                    if own:
+                        known = {str(x): f for x, f in own[i].items()}
+                        factor = np.array([known.get(x, 1.0) for x in locations])[of]
+                        kinds.append(("geo", np.round(cos[i] + config.e5_geo * np.log(factor), digits) + 0.0))
+                    for kind, score in kinds:
+                        at = _best(score, place, k)
+                        new = [score[at], place[at], cos[i, at], factor[at]]
+                        if (i, kind) in held:
+                            new = [np.concatenate(x) for x in zip(held[i, kind], new, strict=True)]
+                            at = _best(new[0], new[1], k)
+                            new = [x[at] for x in new]
+                        held[i, kind] = new
+            for (i, kind), (score, place, c, factor) in held.items():
+                n = len(place)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * n, pa.string()), pa.array(place, pa.int64()), pa.array([kind] * n, pa.string()), pa.array(score), pa.array(c), pa.array(factor)], ["query_id", "item_pos", "kind", "score", "cosine", "factor"])
+
+        found = given.mapInArrow(run, DENSE_ROW)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -117,10 +187,7 @@ def semantic_score(cos: Column, factor: Column, config: SearchConfig) -> Column:
     return cos + F.lit(config.e5_geo) * F.log(factor)
 
 
-def dual_top(scored: DataFrame, k: int = DENSE) -> DataFrame:
-    """(query_id, item_pos, kind, score, rank) of rows with ``cosine`` and ``geo_score``: the best k by each."""
-    out = None
-    for kind, column in (("global", "cosine"), ("geo", "geo_score")):
-        best = index.top(scored, k, by=column).select("query_id", "item_pos", F.lit(kind).alias("kind"), F.col(column).alias("score"), "rank")
-        out = best if out is None else out.unionByName(best)
-    return out
+def dense_top(found: DataFrame, k: int = DENSE) -> DataFrame:
+    """(query_id, item_pos, kind, score, rank, cosine, factor): the best k of each query and kind of ``dense``."""
+    w = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "item_pos")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_pos", "kind", "score", "rank", "cosine", "factor")

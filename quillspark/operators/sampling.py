@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.catalogue import SEARCH
+
 HARD, RANDOM, PAIR_WEIGHT = 128, 64, 192.0
-SEARCH = ("search_query", "search_location_id", "search_is_delivery_search", "search_infm_params_text", "search_category")
 
 
 def shuffle_key(seed: int | str, *columns: str) -> Column:
@@ -55,7 +56,7 @@ def select_contexts(pairs: DataFrame, texts: DataFrame, split_name: str, seed: i
     own = rows.join(chosen, "query_norm").where("_k = _c")
     firsts = [F.min(c).alias(c) for c in search]
     out = own.groupBy("query_norm", "known_positives").agg(*firsts, F.array_sort(F.collect_set("item_id")).alias("gold"))
-    return out.withColumn("split", F.lit(split_name)).withColumn("query_id", F.concat(F.lit(f"{split_name}_"), F.substring(F.md5("query_norm"), 1, 8)))
+    return out.withColumn("split", F.lit(split_name)).withColumn("query_id", F.concat(F.lit(f"{split_name}_"), F.md5("query_norm")))
 
 
 def assert_disjoint(queries: DataFrame, fit: DataFrame) -> None:

@@ -11,21 +11,13 @@ from ..operators import blend, features, geo, index, metrics, prior, quality, ra
 from ..pipeline import Prepared, answer, training_rows
 from ..sources import store, views
 from ..sources.views import with_views
-from .lexical import CHAR, LEXICAL, bm25_pool, bm25_topk, char_pool, rounded
-from .lexical import field_index as _field_index
+from .corpus import Corpus
+from .lexical import CHAR, LEXICAL, rounded
 
 CONFIG = SearchConfig()
 SEED = 20260928
-
-
-def _pools(spark, d) -> DataFrame:
-    """(channel, query_id, item_pos, score): stratified pools of both lexical channels."""
-    items, q = views.items(spark, d), views.queries(spark, d)
-    out = None
-    for channel, scored in (("stem", bm25_pool(spark, d)), ("char", char_pool(spark, d))):
-        pool = retrieve.stratified(retrieve.with_items(scored, items, q)).select(F.lit(channel).alias("channel"), "query_id", "item_pos", "score")
-        out = pool if out is None else out.unionByName(pool)
-    return out
+#: Trees of the registered model, enough to order by; the command line trains 100 by default.
+TREES = 10
 
 
 def _hash_score(*columns: str):
@@ -35,29 +27,33 @@ def _hash_score(*columns: str):
 
 def _ranked(spark, d) -> DataFrame:
     """The 50 best by BM25 with a second score, for blending."""
-    return bm25_topk(spark, d).select("query_id", "item_pos", F.col("score").alias("rrf"), F.round(_hash_score("query_id", "item_pos"), 6).alias("prediction"))
+    return Corpus(spark, d).best.select("query_id", "item_pos", F.col("score").alias("rrf"), F.round(_hash_score("query_id", "item_pos"), 6).alias("prediction"))
 
 
 def _labelled(spark, d) -> DataFrame:
     """Candidates with gold flags: gold pairs, and as known positives those of the same microcategory."""
-    items = views.items(spark, d).select("item_pos", "item_id", "microcat_id")
+    c = Corpus(spark, d)
     g = views.gold(spark, d).withColumn("is_gold", F.lit(True))
-    rows = bm25_topk(spark, d).join(items, "item_pos").join(g, ["query_id", "item_id"], "left")
+    rows = c.best.join(c.items.select("item_pos", "item_id", "microcat_id"), "item_pos").join(g, ["query_id", "item_id"], "left")
     gold_flag = F.coalesce("is_gold", F.lit(False))
     return rows.select("query_id", "item_pos", F.col("score").alias("rrf"), gold_flag.alias("is_gold"), (gold_flag | (F.col("microcat_id") == 3)).alias("is_known"))
 
 
+def _answers(c: Corpus) -> DataFrame:
+    return retrieve.search(c.pools, c.items, c.queries, CONFIG, prior=c.prior, model=c.geo)
+
+
 def _judged(spark, d) -> DataFrame:
     """Queries with gold: the search's answer (50), its candidates (the pools of both channels, and the
     positions that fill a short answer) and gold as arrays of item ids."""
-    items = views.items(spark, d)
-    ids = items.select("item_pos", "item_id")
+    c = Corpus(spark, d)
+    ids = c.items.select("item_pos", "item_id")
     g = views.gold(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("item_id")).alias("gold"))
-    ranked = search_answer(spark, d).join(ids, "item_pos").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
+    ranked = _answers(c).join(ids, "item_pos").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
     ranked = ranked.select("query_id", F.transform("l", lambda x: x["item_id"]).alias("answer"))
-    pool = retrieve.union_candidates(_pools(spark, d), views.queries(spark, d), items).join(ids, "item_pos")
+    pool = retrieve.union_candidates(c.pools, c.queries, c.items).join(ids, "item_pos")
     pool = pool.groupBy("query_id").agg(F.array_sort(F.collect_list("item_id")).alias("candidates"))
-    q = views.queries(spark, d).select("query_id", "search_location_id")
+    q = c.queries.select("query_id", "search_location_id")
     empty = F.lit([]).cast("array<string>")
     rows = q.join(g, "query_id").join(pool, "query_id", "left").join(ranked, "query_id", "left")
     return rows.withColumn("candidates", F.coalesce("candidates", empty)).withColumn("answer", F.coalesce("answer", empty))
@@ -86,15 +82,11 @@ def location_presence(spark, d):
     return q.join(here, q["search_location_id"] == here["l"], "left").select("query_id", "search_location_id", F.col("l").isNotNull().alias("present"))
 
 
-def _located(spark, d) -> DataFrame:
-    q = views.queries(spark, d).select("query_id", "search_location_id")
-    return bm25_topk(spark, d).select("query_id", "item_pos").join(views.items(spark, d).select("item_pos", "location_id"), "item_pos").join(q, "query_id")
-
-
 def location_factor(spark, d):
-    rows, m, items = _located(spark, d), geo.fit(views.geo_pairs(spark, d)), views.items(spark, d)
-    every = geo.with_factor(rows, items, m, CONFIG)
-    missing = geo.with_factor(rows, items, m, SearchConfig(scope="missing")).select("query_id", "item_pos", F.col("factor").alias("factor_missing"))
+    c = Corpus(spark, d)
+    rows = c.best.select("query_id", "item_pos").join(c.items.select("item_pos", "location_id"), "item_pos").join(c.queries.select("query_id", "search_location_id"), "query_id")
+    every = geo.with_factor(rows, c.items, c.geo, CONFIG)
+    missing = geo.with_factor(rows, c.items, c.geo, SearchConfig(scope="missing")).select("query_id", "item_pos", F.col("factor").alias("factor_missing"))
     return rounded(every.join(missing, ["query_id", "item_pos"]).select("query_id", "item_pos", "factor", "factor_missing"))
 
 
@@ -117,8 +109,8 @@ def prior_entropy(spark, d):
 
 
 def stratified_candidates(spark, d):
-    pool = retrieve.stratified(retrieve.with_items(bm25_pool(spark, d), views.items(spark, d), views.queries(spark, d)))
-    return pool.select("query_id", "item_pos", "score", "is_local", "is_service")
+    c = Corpus(spark, d)
+    return retrieve.stratified(retrieve.with_items(c.scored, c.items, c.queries)).select("query_id", "item_pos", "score", "is_local", "is_service")
 
 
 def ordinal_ranks(spark, d):
@@ -127,25 +119,24 @@ def ordinal_ranks(spark, d):
 
 
 def rrf_fusion(spark, d):
-    rows = retrieve.with_items(_pools(spark, d), views.items(spark, d), views.queries(spark, d))
-    rows = geo.with_factor(rows, views.items(spark, d), None, CONFIG).withColumn("factor", F.col("factor") * retrieve.service_factor(CONFIG))
+    c = Corpus(spark, d)
+    rows = geo.with_factor(retrieve.with_items(c.pools, c.items, c.queries), c.items, None, CONFIG).withColumn("factor", F.col("factor") * retrieve.service_factor(CONFIG))
     return index.top(retrieve.fuse(rows, CONFIG).withColumn("rrf", F.round("rrf", 12)), 50, by="rrf").select("query_id", "item_pos", F.round("rrf", 9).alias("rrf"), "rank")
 
 
 def candidate_union(spark, d):
-    pools = _pools(spark, d).where("score > 2 or channel = 'char' and score > 0.3")
-    return retrieve.union_candidates(pools, views.queries(spark, d), views.items(spark, d))
+    c = Corpus(spark, d)
+    return retrieve.union_candidates(c.pools.where("score > 2 or channel = 'char' and score > 0.3"), c.queries, c.items)
 
 
 def fallback_fill(spark, d):
-    answers = bm25_topk(spark, d)
-    order = answers.withColumn("rank", blend.ordinal("score"))
-    return retrieve.fill(order, views.queries(spark, d), views.items(spark, d))
+    c = Corpus(spark, d)
+    return retrieve.fill(c.best.withColumn("rank", blend.ordinal("score")), c.queries, c.items)
 
 
 def search_answer(spark, d):
-    items, q = views.items(spark, d), views.queries(spark, d)
-    return retrieve.search(_pools(spark, d), items, q, CONFIG, model=geo.fit(views.geo_pairs(spark, d)))
+    """The answer of both channels with location factor and class prior."""
+    return _answers(Corpus(spark, d))
 
 
 def blend_rank(spark, d):
@@ -165,35 +156,31 @@ def _vectors(spark, d):
 
 def cosine_topk(spark, d):
     v, q = _vectors(spark, d)
-    return index.top(retrieve.dense(q, v), 50, by="cosine")
+    return retrieve.dense_top(retrieve.dense(q, v, 50), 50).select("query_id", "item_pos", "cosine", "rank")
 
 
-def _dense_scored(spark, d) -> DataFrame:
+def _near(spark, d) -> DataFrame:
+    """The dual top 500."""
     v, q = _vectors(spark, d)
-    rows = retrieve.dense(q, v).join(v.select("item_pos", "location_id"), "item_pos").join(q.select("query_id", "search_location_id"), "query_id")
-    rows = geo.with_factor(rows, v, geo.fit(views.geo_pairs(spark, d)), CONFIG)
-    return rows.withColumn("geo_score", F.round(retrieve.semantic_score(F.col("cosine"), F.col("factor"), CONFIG), 4))
+    model = geo.from_counts(store.scratch_table(geo.fit(views.geo_pairs(spark, d)).counts))
+    return retrieve.dense_top(retrieve.dense(q, v, model=model, config=CONFIG))
 
 
 def semantic_dual_topk(spark, d):
-    return retrieve.dual_top(_dense_scored(spark, d), 40)
+    return _near(spark, d).select("query_id", "item_pos", "kind", "score", "rank")
 
 
 def embedding_features(spark, d):
-    scored = _dense_scored(spark, d)
-    near = retrieve.dual_top(scored, 40)
+    near = store.scratch_table(_near(spark, d))
     cand = near.select("query_id", "item_pos").distinct().withColumn("in_text", F.col("item_pos") % 2 == 0)
     cand = cand.withColumn("text_rrf", F.when(F.col("in_text"), 1.0 / (60 + F.col("item_pos"))).otherwise(0.0)).withColumn("prior_relative", (F.col("item_pos") % 5) / 5.0)
-    return rounded(features.embedding(cand, scored.select("query_id", "item_pos", "cosine", "factor"), near, CONFIG), 5)
+    return rounded(features.embedding(cand, near.select("query_id", "item_pos", "cosine", "factor").distinct(), near, CONFIG), 8)
 
 
 def core_features(spark, d):
-    items, q = views.items(spark, d), views.queries(spark, d)
-    shares = views.items(spark, d).groupBy("microcat_id").agg(F.count("*").alias("c"))
-    p = q.select("query_id").crossJoin(F.broadcast(shares)).select("query_id", F.col("microcat_id").alias("item_microcat_id"), F.round(F.col("c") / (F.col("microcat_id") + 1) / items.count(), 6).alias("p"))
-    vocabulary = index.term_counts(items)
-    cand = bm25_topk(spark, d).where("rank <= 20").select("query_id", "item_pos")
-    return rounded(features.core(cand, _pools(spark, d), items, q, geo.fit(views.geo_pairs(spark, d)), p, vocabulary, CONFIG), 6)
+    """The 35 columns of the 50 best by BM25."""
+    c = Corpus(spark, d)
+    return rounded(features.core(c.best.select("query_id", "item_pos"), c.pools, c.items, c.queries, c.geo, c.prior, c.counts, CONFIG), 6)
 
 
 def text_split(spark, d):
@@ -235,10 +222,25 @@ def paired_delta(spark, d):
     return rounded(metrics.paired_delta(a, b, "c_custkey", "v"))
 
 
+def paired_interval(spark, d):
+    """The difference with its bootstrap interval; the draws are this package's own, so it has no twin."""
+    c = views.read(spark, d, "customer")
+    a = c.select("c_custkey", F.round("c_acctbal", 0).alias("v"))
+    b = c.select("c_custkey", (F.round("c_acctbal", 0) + F.col("c_custkey") % 3 - 1).alias("v"))
+    return rounded(metrics.paired_interval(a, b, "c_custkey", "v"))
+
+
+def many_to_one(spark, d):
+    """Customers with their nation's name, by a join that must not multiply them."""
+    nations = views.read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return store.many_to_one(views.read(spark, d, "customer").select("c_custkey", "c_nationkey"), nations, ["c_nationkey"]).select("c_custkey", "n_name")
+
+
 def _grid(spark, d) -> DataFrame:
     """Scored grid: location weight by service weight, one job for all points."""
+    c = Corpus(spark, d)
     grid = spark.createDataFrame([(float(x), float(y)) for x in (1, 4, 8) for y in (1, 2)], "location double, service double")
-    rows = retrieve.with_items(bm25_topk(spark, d).select("query_id", "item_pos", "score"), views.items(spark, d), views.queries(spark, d)).crossJoin(F.broadcast(grid))  # a fixed number of points
+    rows = retrieve.with_items(c.best.select("query_id", "item_pos", "score"), c.items, c.queries).crossJoin(F.broadcast(grid))  # a fixed number of points
     weighted = F.col("score") * F.when(F.col("location_id") == F.col("search_location_id"), F.col("location")).otherwise(1.0) * F.when(F.col("category_id") == 114, F.col("service")).otherwise(1.0)
     return rows.groupBy("location", "service").agg(F.round(F.sum(weighted), 6).alias("value"))
 
@@ -295,27 +297,22 @@ def encoder_text(spark, d):
 
 def answer_lines(spark, d):
     """The answer file's rows: 50 ids joined by blanks."""
-    ids = views.items(spark, d).select("item_pos", "item_id")
-    rows = search_answer(spark, d).join(ids, "item_pos")
+    c = Corpus(spark, d)
+    rows = _answers(c).join(c.items.select("item_pos", "item_id"), "item_pos")
     lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
     return lists.select("query_id", F.array_join(F.transform("l", lambda x: x["item_id"]), " ").alias("answer"))
 
 
 def train_and_rank(spark, d):
-    """Small boosted model on the searches with gold, and its blended answer."""
-    items, q = views.items(spark, d), views.queries(spark, d)
-    model = geo.fit(views.geo_pairs(spark, d))
-    pools = _pools(spark, d)
-    candidates = index.top(bm25_pool(spark, d), 100).select("query_id", "item_pos").withColumn("in_text", F.lit(True))
-    empty = spark.createDataFrame([], "query_id string, item_microcat_id long, p double")
-    core = features.core(candidates, pools, items, q, model, empty, index.term_counts(items), CONFIG)
-    fields = features.field(candidates, items, q, *_field_index(spark, d))
-    # used for training and for the answer: written once
-    prepared = Prepared(store.scratch_table(candidates), pools, store.scratch_table(core), store.scratch_table(fields))
+    """Boosted model on the searches with gold, and its blended answer."""
+    c = Corpus(spark, d)
+    candidates = store.scratch_table(index.top(c.scored, 100).select("query_id", "item_pos").withColumn("in_text", F.lit(True)))
+    core = store.scratch_table(features.core(candidates, c.pools, c.items, c.queries, c.geo, c.prior, c.counts, CONFIG))
+    prepared = Prepared(candidates, c.pools, core, store.scratch_table(features.field(candidates, c.items, c.queries, c.field_counts, c.n)))
     gold = views.gold(spark, d).groupBy("query_id").agg(F.collect_set("item_id").alias("gold")).withColumn("known_positives", F.col("gold"))
-    rows = training_rows(prepared, items, gold, SEED)
+    rows = training_rows(prepared, c.items, gold, SEED)
     pairs = sampling.balanced_pairs(rows.select("query_id", "item_pos", "y"))
-    fitted = ranker.fit_boosted(rows, pairs, prepared.names, rounds=3, depth=3, materialise=store.scratch_table)
+    fitted = ranker.fit_boosted(rows, pairs, prepared.names, rounds=TREES, depth=6, materialise=store.scratch_table)
     return answer(prepared, fitted, 0.5)
 
 
@@ -323,7 +320,7 @@ FOUND = (
     geo_context_weights, geo_counts, geo_background, geo_signal, location_presence, location_factor, category_distribution, category_prior, prior_entropy,
     stratified_candidates, ordinal_ranks, rrf_fusion, candidate_union, fallback_fill, search_answer, blend_rank, masked_blend, cosine_topk, semantic_dual_topk,
     embedding_features, core_features, text_split, negative_sampling, balanced_pairs, recall_at_50, candidate_coverage, loss_decomposition, recall_by_slice,
-    paired_delta, grid_best, grid_pivot, bootstrap_ci, null_counts, quality_checks, dataset_profile, category_share, gold_sets, gold_histogram, dedup_catalogue,
+    paired_delta, paired_interval, many_to_one, grid_best, grid_pivot, bootstrap_ci, null_counts, quality_checks, dataset_profile, category_share, gold_sets, gold_histogram, dedup_catalogue,
     encoder_text, answer_lines, train_and_rank,
 )
 
@@ -390,25 +387,20 @@ LABELLED = """lab AS (SELECT b.query_id, b.item_pos, b.score AS rrf, g.item_id I
   FROM best b JOIN items_fx i USING (item_pos) LEFT JOIN gold_fx g ON g.query_id = b.query_id AND g.item_id = i.item_id),
 kinds AS (SELECT *, CASE WHEN is_gold THEN 'positive' WHEN NOT is_known THEN 'negative' END AS kind FROM lab),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY rrf DESC, item_pos) AS h FROM kinds WHERE kind IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind, h <= 8 ORDER BY md5('20260928|' || query_id || '|' || item_pos), item_pos) AS r FROM h),
-kept AS (SELECT * FROM r WHERE kind = 'positive' OR h <= 8 OR r <= 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind, h <= 128 ORDER BY md5('20260928|' || query_id || '|' || item_pos), item_pos) AS r FROM h),
+kept AS (SELECT * FROM r WHERE kind = 'positive' OR h <= 128 OR r <= 64),
 sel AS (SELECT * FROM kept WHERE query_id IN (SELECT query_id FROM kept GROUP BY 1 HAVING count(DISTINCT kind) = 2))"""
-JUDGED = """top300 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_pos) AS rank FROM scored WHERE score > 0) WHERE rank <= 300),
-lists AS (SELECT query_id, list(item_id ORDER BY rank) AS candidates FROM top300 JOIN items_fx USING (item_pos) GROUP BY 1),
-golds AS (SELECT query_id, list(DISTINCT item_id) AS gold FROM gold_fx GROUP BY 1),
-j AS (SELECT q.query_id, search_location_id, gold, coalesce(candidates, []) AS candidates, coalesce(candidates, [])[1:10] AS answer
-  FROM queries_fx q JOIN golds USING (query_id) LEFT JOIN lists USING (query_id)),
-e AS (SELECT *, len(list_intersect(answer, gold))::DOUBLE / len(gold) AS recall, len(list_intersect(candidates, gold))::DOUBLE / len(gold) AS coverage FROM j)"""
-DENSE = f"""vq AS (SELECT 'q' || item_pos AS query_id, vector AS qv, location_id + 1 AS search_location_id FROM vectors_fx WHERE item_pos < 20),
-cosines AS (SELECT query_id, item_pos, round(list_dot_product(qv::DOUBLE[], vector::DOUBLE[]), 4) AS cosine, location_id, search_location_id FROM vectors_fx, vq),
+MP = "mp AS (SELECT query_id, microcat_id, round(count(*)::DOUBLE / (microcat_id + 1) / (SELECT count(*) FROM items_fx), 6) AS p FROM items_fx, (SELECT query_id FROM queries_fx) GROUP BY query_id, microcat_id)"
+DENSE = f"""vq AS (SELECT 'q' || item_pos AS query_id, vector AS qv, location_id + 1 AS search_location_id FROM vectors_fx WHERE item_pos % 20 = 0),
+cosines AS (SELECT query_id, item_pos, round(list_dot_product(qv::DOUBLE[], vector::DOUBLE[]), 4) + 0e0 AS cosine, location_id, search_location_id FROM vectors_fx, vq),
 vhere AS (SELECT DISTINCT location_id AS l FROM vectors_fx),
 {GEO},
 {SIGNAL},
 {factor_sql('cosines', 'vf', locations='vhere')},
-dense AS (SELECT *, round(cosine + {CONFIG.e5_geo}e0 * ln(factor), 4) AS geo_score FROM vf),
+dense AS (SELECT *, round(cosine + {CONFIG.e5_geo}e0 * ln(factor), 4) + 0e0 AS geo_score FROM vf),
 dual AS (SELECT query_id, item_pos, 'global' AS kind, cosine AS score, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_pos) AS rank FROM dense
   UNION ALL SELECT query_id, item_pos, 'geo', geo_score, row_number() OVER (PARTITION BY query_id ORDER BY geo_score DESC, item_pos) FROM dense),
-near AS (SELECT * FROM dual WHERE rank <= 40)"""
+near AS (SELECT * FROM dual WHERE rank <= 500)"""
 GRID = """g AS (SELECT x.location, y.service, round(sum(score * CASE WHEN location_id = search_location_id THEN x.location ELSE 1 END * CASE WHEN category_id = 114 THEN y.service ELSE 1 END), 6) AS value
   FROM best JOIN items_fx USING (item_pos) JOIN queries_fx USING (query_id), (VALUES (1e0), (4e0), (8e0)) x(location), (VALUES (1e0), (2e0)) y(service) GROUP BY ALL)"""
 PRIOR = f"""pt AS (SELECT DISTINCT query_norm FROM prior_pairs_fx),
@@ -427,7 +419,7 @@ def _prior_sql() -> str:
 
 
 def _core_sql() -> str:
-    """The 35 columns over the 20 best candidates."""
+    """The 35 columns over the 50 best candidates."""
     ch = []
     for c in features.CHANNELS:
         own = f"FILTER (channel = '{c}')"
@@ -449,10 +441,10 @@ def _core_sql() -> str:
 k AS (SELECT *, 1e0 / (60 + row_number() OVER (PARTITION BY channel, query_id ORDER BY score DESC, item_pos)) AS raw_rr,
   1e0 / (60 + row_number() OVER (PARTITION BY channel, query_id ORDER BY round(score * factor, 6) DESC, item_pos)) AS geo_rr, score / max(score) OVER (PARTITION BY channel, query_id) AS rel FROM pf),
 ch AS (SELECT query_id, item_pos, {', '.join(ch)} FROM k WHERE score > 0 GROUP BY ALL),
-mp AS (SELECT query_id, microcat_id, round(count(*)::DOUBLE / (microcat_id + 1) / (SELECT count(*) FROM items_fx), 6) AS p FROM items_fx, (SELECT query_id FROM queries_fx) GROUP BY query_id, microcat_id),
+{MP},
 ms AS (SELECT query_id, max(p) AS prior_max, round(sum(-p * ln(p)), 6) AS prior_entropy FROM mp WHERE p > 0 GROUP BY 1),
 oo AS (SELECT query_id, 1 - count(v.term)::DOUBLE / greatest(count(*), 1) AS oov FROM q_terms t LEFT JOIN (SELECT DISTINCT term FROM tf) v ON t.term = v.term GROUP BY 1),
-c0 AS (SELECT query_id, item_pos, location_id, category_id, microcat_id, rating, reviews, search_query, search_location_id, search_params, search_category, delivery FROM best JOIN items_fx USING (item_pos) JOIN queries_fx USING (query_id) WHERE rank <= 20),
+c0 AS (SELECT query_id, item_pos, location_id, category_id, microcat_id, rating, reviews, search_query, search_location_id, search_params, search_category, delivery FROM best JOIN items_fx USING (item_pos) JOIN queries_fx USING (query_id)),
 {factor_sql('c0', 'c1')},
 c2 AS (SELECT c1.*, ch.* EXCLUDE (query_id, item_pos), support, background, p, prior_max, prior_entropy, coalesce(oov, 1e0) AS oov, coalesce(p, 0) / greatest(coalesce(prior_max, 0), 1e-12) AS prior_relative
   FROM c1 LEFT JOIN ch USING (query_id, item_pos) LEFT JOIN gs USING (search_location_id) LEFT JOIN gb ON gb.item_location_id = c1.location_id LEFT JOIN mp USING (query_id, microcat_id) LEFT JOIN ms USING (query_id) LEFT JOIN oo USING (query_id)),
@@ -461,7 +453,14 @@ SELECT query_id, item_pos, {columns} FROM c3"""
 
 
 I, Q, IQ = ("items_fx",), ("queries_fx",), ("items_fx", "queries_fx")
-SEARCH = f"{POOLS}, {PRESENT}, {GEO}, {SIGNAL}, {factor_sql('pools', 'pf')}, {fuse_sql('pf', 'fused')}, ans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, item_pos) AS rank FROM fused) WHERE rank <= 50)"
+#: Fusion, then the class prior's boost, then the 50 best.
+SEARCH = f"""{POOLS}, {PRESENT}, {GEO}, {SIGNAL}, {factor_sql('pools', 'pf')}, {MP},
+fused_k AS (SELECT *, row_number() OVER (PARTITION BY channel, query_id ORDER BY round(score * factor, 6) DESC, item_pos) AS r FROM pf WHERE score > 0),
+fused_s AS (SELECT query_id, item_pos, sum(CASE channel WHEN 'stem' THEN 1e0 ELSE 0.5e0 END / (60 + r)) AS rrf FROM fused_k GROUP BY ALL),
+mx AS (SELECT query_id, max(p) AS pmax FROM mp GROUP BY 1),
+fused AS (SELECT query_id, item_pos, round(rrf * (1 + {CONFIG.prior}e0 * (coalesce(p, 0) / greatest(coalesce(pmax, 0), 1e-12))), 12) AS rrf
+  FROM fused_s JOIN items_fx USING (item_pos) LEFT JOIN mx USING (query_id) LEFT JOIN mp USING (query_id, microcat_id)),
+ans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, item_pos) AS rank FROM fused) WHERE rank <= 50)"""
 
 
 def fill_sql(answers: str, name: str) -> str:
@@ -471,6 +470,18 @@ def fill_sql(answers: str, name: str) -> str:
 {name} AS (SELECT query_id, item_pos, rank::INT AS rank FROM {answers} UNION ALL SELECT query_id, item_pos, rank::INT FROM {name}_s WHERE rank <= 50)"""
 
 
+#: The whole answer against all candidates of both channels.
+JUDGED = f"""{SEARCH}, {fill_sql('ans', 'f')},
+cu AS (SELECT DISTINCT query_id, item_pos FROM pools WHERE score > 0),
+short AS (SELECT query_id FROM (SELECT query_id FROM queries_fx) LEFT JOIN cu USING (query_id) GROUP BY 1 HAVING count(item_pos) < 50),
+cands AS (SELECT * FROM cu UNION SELECT query_id, item_pos FROM short, (SELECT item_pos FROM items_fx WHERE item_pos < 50)),
+cl AS (SELECT query_id, list(item_id) AS candidates FROM cands JOIN items_fx USING (item_pos) GROUP BY 1),
+al AS (SELECT query_id, list(item_id ORDER BY rank) AS answer FROM f JOIN items_fx USING (item_pos) GROUP BY 1),
+golds AS (SELECT query_id, list(DISTINCT item_id) AS gold FROM gold_fx GROUP BY 1),
+j AS (SELECT q.query_id, search_location_id, gold, coalesce(candidates, []) AS candidates, coalesce(answer, [])[1:50] AS answer
+  FROM queries_fx q JOIN golds USING (query_id) LEFT JOIN cl USING (query_id) LEFT JOIN al USING (query_id)),
+e AS (SELECT *, len(list_intersect(answer, gold))::DOUBLE / len(gold) AS recall, len(list_intersect(candidates, gold))::DOUBLE / len(gold) AS coverage FROM j)"""
+
 ORACLES = {
     "geo_context_weights": with_views("geo_pairs_fx", more=GEO) + " SELECT query_norm, search_location_id, item_id, item_location_id, round(weight, 6) AS weight FROM gw",
     "geo_counts": with_views("geo_pairs_fx", more=GEO) + " SELECT search_location_id, item_location_id, round(count, 6) AS count FROM gc",
@@ -485,7 +496,7 @@ ORACLES = {
     "ordinal_ranks": "SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier",
     "rrf_fusion": with_views(*IQ, more=f"{POOLS}, pf AS (SELECT *, CASE WHEN location_id = search_location_id THEN 8e0 ELSE 1e0 END AS factor FROM pools), {fuse_sql('pf', 'fused')}, ans AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, item_pos) AS rank FROM fused)") + " SELECT query_id, item_pos, round(rrf, 9) AS rrf, rank FROM ans WHERE rank <= 50",
     "candidate_union": with_views(*IQ, more=f"{POOLS}, u AS (SELECT DISTINCT query_id, item_pos FROM pools WHERE score > 0 AND (score > 2 OR channel = 'char' AND score > 0.3)), short AS (SELECT query_id FROM (SELECT query_id FROM queries_fx) LEFT JOIN u USING (query_id) GROUP BY 1 HAVING count(item_pos) < 50)") + " SELECT * FROM u UNION SELECT query_id, item_pos FROM short, (SELECT item_pos FROM items_fx WHERE item_pos < 50)",
-    "fallback_fill": with_views(*IQ, more=f"{LEXICAL}, a AS (SELECT query_id, item_pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_pos) AS rank FROM best WHERE rank <= 20 AND item_pos % 3 = 0), {fill_sql('a', 'f')}") + " SELECT * FROM f",
+    "fallback_fill": with_views(*IQ, more=f"{LEXICAL}, a AS (SELECT query_id, item_pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_pos) AS rank FROM best), {fill_sql('a', 'f')}") + " SELECT * FROM f",
     "search_answer": with_views(*IQ, "geo_pairs_fx", more=f"{SEARCH}, {fill_sql('ans', 'f')}") + " SELECT * FROM f",
     "blend_rank": with_views(*IQ, more=f"{LEXICAL}, {RANKED}, {blend_sql(0.5, 'true', 50)}"),
     "masked_blend": with_views(*IQ, more=f"{LEXICAL}, {RANKED}, {blend_sql(0.25, 'item_pos % 2 = 0', 20)}"),
@@ -493,9 +504,9 @@ ORACLES = {
     "semantic_dual_topk": with_views("vectors_fx", "geo_pairs_fx", more=DENSE) + " SELECT query_id, item_pos, kind, score, rank FROM near",
     "embedding_features": with_views("vectors_fx", "geo_pairs_fx", more=DENSE) + f""", nl AS (SELECT query_id, item_pos, max(1e0 / (60 + rank)) FILTER (kind = 'global') AS rw, max(1e0 / (60 + rank)) FILTER (kind = 'geo') AS ge FROM near GROUP BY ALL),
 nb AS (SELECT query_id, max(score) AS top FROM near WHERE kind = 'global' GROUP BY 1)
-SELECT query_id, item_pos, round(cosine, 5) + 0e0 AS e5_cosine, round(cosine - top, 5) + 0e0 AS e5_cosine_gap, round(coalesce(rw, 0), 5) AS e5_rank, round(cosine + {CONFIG.e5_geo}e0 * ln(factor), 5) + 0e0 AS e5_geo_score,
-  round(coalesce(ge, 0), 5) AS e5_geo_rank, (rw IS NOT NULL)::INT::DOUBLE AS e5_present, (ge IS NOT NULL)::INT::DOUBLE AS e5_geo_present, (item_pos % 2 = 0)::INT::DOUBLE AS text_present,
-  round(CASE WHEN item_pos % 2 = 0 THEN 1e0 / (60 + item_pos) ELSE 0 END + {CONFIG.e5_weight}e0 * coalesce(ge, 0) * (1 + {CONFIG.prior}e0 * ((item_pos % 5) / 5e0)), 5) AS hybrid_rrf
+SELECT query_id, item_pos, round(cosine, 8) + 0e0 AS e5_cosine, round(cosine - top, 8) + 0e0 AS e5_cosine_gap, round(coalesce(rw, 0), 8) AS e5_rank, round(cosine + {CONFIG.e5_geo}e0 * ln(factor), 8) + 0e0 AS e5_geo_score,
+  round(coalesce(ge, 0), 8) AS e5_geo_rank, (rw IS NOT NULL)::INT::DOUBLE AS e5_present, (ge IS NOT NULL)::INT::DOUBLE AS e5_geo_present, (item_pos % 2 = 0)::INT::DOUBLE AS text_present,
+  round(CASE WHEN item_pos % 2 = 0 THEN 1e0 / (60 + item_pos) ELSE 0 END + {CONFIG.e5_weight}e0 * coalesce(ge, 0) * (1 + {CONFIG.prior}e0 * ((item_pos % 5) / 5e0)), 8) AS hybrid_rrf
 FROM nl JOIN dense USING (query_id, item_pos) JOIN nb USING (query_id)""",
     "core_features": with_views(*IQ, "geo_pairs_fx", more=_core_sql()),
     "text_split": """WITH t AS (SELECT p_partkey::VARCHAR AS q FROM part), a AS (SELECT q FROM t ORDER BY md5('11|' || q), q LIMIT 150), b AS (SELECT q FROM t WHERE q NOT IN (FROM a) ORDER BY md5('12|' || q), q LIMIT 150),
@@ -503,11 +514,12 @@ c AS (SELECT q, row_number() OVER (ORDER BY md5('20260928|' || q), q) AS k FROM
 SELECT q AS query_norm, 'previous' AS split FROM a UNION ALL SELECT q, 'previous' FROM b UNION ALL SELECT q, CASE WHEN k <= 100 THEN 'val' WHEN k <= 200 THEN 'test' ELSE 'fit' END FROM c""",
     "negative_sampling": with_views(*IQ, "gold_fx", more=f"{LEXICAL}, {LABELLED}") + " SELECT query_id, item_pos, kind FROM sel",
     "balanced_pairs": with_views(*IQ, "gold_fx", more=f"{LEXICAL}, {LABELLED}") + " SELECT a.query_id, a.item_pos AS winner, b.item_pos AS loser, round(192e0 / count(*) OVER (PARTITION BY a.query_id), 6) AS weight FROM sel a JOIN sel b ON a.query_id = b.query_id AND a.is_gold AND NOT b.is_gold",
-    "recall_at_50": with_views(*IQ, "gold_fx", more=f"{LEXICAL}, {JUDGED}") + " SELECT query_id, round(recall, 6) AS recall FROM e",
-    "candidate_coverage": with_views(*IQ, "gold_fx", more=f"{LEXICAL}, {JUDGED}") + " SELECT query_id, round(coverage, 6) AS coverage FROM e",
-    "loss_decomposition": with_views(*IQ, "gold_fx", more=f"{LEXICAL}, {JUDGED}") + " SELECT query_id, round(recall, 6) AS recall, round(coverage - recall, 6) + 0e0 AS ranking_loss, round(1 - coverage, 6) + 0e0 AS retrieval_loss FROM e",
-    "recall_by_slice": with_views(*IQ, "gold_fx", more=f"{LEXICAL}, {JUDGED}") + " SELECT search_location_id < 20 AS present, count(*) AS n, round(avg(recall), 6) AS mean FROM e GROUP BY 1",
+    "recall_at_50": with_views(*IQ, "gold_fx", "geo_pairs_fx", more=JUDGED) + " SELECT query_id, round(recall, 6) AS recall FROM e",
+    "candidate_coverage": with_views(*IQ, "gold_fx", "geo_pairs_fx", more=JUDGED) + " SELECT query_id, round(coverage, 6) AS coverage FROM e",
+    "loss_decomposition": with_views(*IQ, "gold_fx", "geo_pairs_fx", more=JUDGED) + " SELECT query_id, round(recall, 6) AS recall, round(coverage - recall, 6) + 0e0 AS ranking_loss, round(1 - coverage, 6) + 0e0 AS retrieval_loss FROM e",
+    "recall_by_slice": with_views(*IQ, "gold_fx", "geo_pairs_fx", more=JUDGED) + " SELECT search_location_id < 20 AS present, count(*) AS n, round(avg(recall), 6) AS mean FROM e GROUP BY 1",
     "paired_delta": "WITH x AS (SELECT (round(c_acctbal, 0) + c_custkey % 3 - 1) - round(c_acctbal, 0) AS d FROM customer) SELECT count(*) AS n, round(avg(d), 6) + 0e0 AS mean_delta, count_if(d > 0)::BIGINT AS wins, count_if(d < 0)::BIGINT AS losses FROM x",
+    "many_to_one": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "grid_best": with_views(*IQ, more=f"{LEXICAL}, {GRID}") + " SELECT location, service, value FROM g ORDER BY value DESC, location, service LIMIT 1",
     "grid_pivot": with_views(*IQ, more=f"{LEXICAL}, {GRID}") + " SELECT location, any_value(value) FILTER (service = 1) AS service_1, any_value(value) FILTER (service = 2) AS service_2 FROM g GROUP BY 1",
     "null_counts": with_views(*I) + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(*) AS rows FROM items_fx" for c in ("item_id", "item_pos", "title", "params", "description", "location_id", "category_id", "microcat_id", "rating", "reviews")),
@@ -516,7 +528,7 @@ SELECT q AS query_norm, 'previous' AS split FROM a UNION ALL SELECT q, 'previous
     "category_share": with_views(*IQ) + ", a AS (SELECT category_id AS c, count(*)::DOUBLE / sum(count(*)::DOUBLE) OVER () AS s FROM items_fx GROUP BY 1), b AS (SELECT search_category AS c, count(*)::DOUBLE / sum(count(*)::DOUBLE) OVER () AS s FROM queries_fx GROUP BY 1) SELECT c, round(coalesce(a.s, 0), 6) AS item_share, round(coalesce(b.s, 0), 6) AS query_share FROM a FULL JOIN b USING (c)",
     "gold_sets": with_views("gold_fx") + " SELECT query_id, string_agg(DISTINCT item_id, ' ' ORDER BY item_id) AS gold FROM gold_fx GROUP BY 1",
     "gold_histogram": with_views("queries_fx", "gold_fx") + ", s AS (SELECT q.query_id, count(DISTINCT g.item_id) AS gold_size FROM queries_fx q LEFT JOIN gold_fx g ON q.query_id = g.query_id GROUP BY 1) SELECT gold_size, count(*) AS queries FROM s GROUP BY 1",
-    "dedup_catalogue": with_views(*I) + ", u AS (SELECT item_id, item_pos, md5(title) AS title_md5, 0 AS priority FROM items_fx WHERE item_pos % 2 = 0 UNION ALL SELECT item_id, item_pos, 'later', 1 FROM items_fx UNION ALL SELECT 'x' || item_id, item_pos, md5(title), 1 FROM items_fx WHERE item_pos < 10) SELECT item_id, item_pos, title_md5, priority FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY priority, item_pos) AS r FROM u) WHERE r = 1",
+    "dedup_catalogue": with_views(*I) + ", u AS (SELECT item_id, item_pos, md5(title) AS title_md5, 0 AS priority FROM items_fx UNION ALL SELECT item_id, item_pos, 'later', 1 FROM items_fx UNION ALL SELECT 'x' || item_id, item_pos, md5(title), 1 FROM items_fx) SELECT item_id, item_pos, title_md5, priority FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY priority, item_pos) AS r FROM u) WHERE r = 1",
     "encoder_text": with_views(*I) + " SELECT item_id, md5('passage: ' || title[:200] || CASE WHEN params = '' THEN '' ELSE ' ' || params[:200] END) AS text_md5 FROM items_fx",
     "answer_lines": with_views(*IQ, "geo_pairs_fx", more=f"{SEARCH}, {fill_sql('ans', 'f')}") + " SELECT query_id, string_agg(item_id, ' ' ORDER BY rank) AS answer FROM f JOIN items_fx USING (item_pos) GROUP BY 1",
 }

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize
 from ..operators.quality import dedup_catalogue
 
+#: Columns of the files, in their order.
 SEARCH = ("search_query", "search_location_id", "search_is_delivery_search", "search_infm_params_text", "search_category")
-ITEM = ("item_id", "item_title_raw", "item_infm_params_text", "item_description_raw", "item_location_id", "item_microcat_id", "item_category_id", "item_rating", "item_rating_reviews_count")
+ITEM = ("item_id", "item_title_raw", "item_description_raw", "item_infm_params_text", "item_location_id", "item_microcat_id", "item_category_id", "item_rating", "item_rating_reviews_count")
 PAIR = ("item_id", "item_location_id", "item_microcat_id", "item_category_id")
 DESCRIPTION = 2000
 
@@ -22,9 +23,12 @@ def items(spark: SparkSession, benchmark: str, train: str | None = None) -> Data
     """The benchmark catalogue and, with ``train``, the training items it lacks; texts in normal form."""
     rows = spark.read.parquet(benchmark).select(*ITEM)
     if train:
-        rows = dedup_catalogue(rows, spark.read.parquet(train).select(*ITEM), "item_id", "item_id").drop("priority")
+        more = spark.read.parquet(train).select(*ITEM)
     else:
-        rows = rows.dropDuplicates(["item_id"])
+        more = rows.where("false")
+    # of one source's rows with an id, the one with the smallest hash of all values stays
+    rows, more = (x.withColumn("_order", F.xxhash64(*ITEM)) for x in (rows, more))
+    rows = dedup_catalogue(rows, more, "item_id", "_order").drop("priority", "_order")
 
     def text(c: str):
         return normalize(F.coalesce(F.col(c), F.lit("")))

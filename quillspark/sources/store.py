@@ -6,6 +6,8 @@ import hashlib
 import json
 import tempfile
 import uuid
+from dataclasses import asdict, dataclass, field, is_dataclass
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +19,14 @@ _LOCAL: dict[str, str] = {}
 
 def scratch_table(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder of ``spark.checkpoint.dir`` and reads it back, which cuts
-    the lineage. Only where the session has no such folder, as in tests, a local one is made."""
+    the lineage. Without that setting a local session, as in tests, gets a folder of its own; on a
+    cluster, whose executors share no local folder, it is an error."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("root", "file://" + tempfile.mkdtemp(prefix="quill-"))
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _LOCAL.setdefault("root", "file://" + tempfile.mkdtemp(prefix="quill-"))
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,12 +52,47 @@ def key_of(*parts) -> str:
     return hashlib.sha256(json.dumps([frame_digest(p) if isinstance(p, DataFrame) else p for p in parts], sort_keys=True, default=str).encode()).hexdigest()
 
 
-def feature_key(items: DataFrame, queries: DataFrame, fit: DataFrame, config: dict, semantic: bool = True, training: bool = False, seed: int = 0, fold: int | None = None) -> str:
-    """Key of a feature block; dense settings count only where the block has dense columns, known
-    positives only where it is trained on."""
-    used = {k: v for k, v in config.items() if semantic or not k.startswith("e5_")}
-    q = queries if training else queries.drop("gold", "known_positives")
-    return key_of(items, q, fit, used, semantic, training, seed, fold)
+def code_digest(package: str = "quillspark", without: tuple[str, ...] = ("llm", "plans")) -> str:
+    """SHA-256 of the package's sources: results that other code made have another key."""
+    root = Path(__file__).resolve().parent.parent
+    h = hashlib.sha256()
+    for file in sorted(root.rglob("*.py")):
+        if not set(without) & set(file.relative_to(root).parts):
+            h.update(str(file.relative_to(root)).encode() + b"\0" + file.read_bytes())
+    return h.hexdigest()
+
+
+@dataclass(frozen=True)
+class BlockInputs:
+    """What a block of features is made from: its tables' digests and everything that decides its values."""
+
+    tables: dict[str, str]  # role to digest
+    lexical: dict  # settings of the search
+    dense: dict | None = None  # settings and encoder signature of a block with dense columns
+    fold: tuple[int, int] | None = None  # seed and number of a block to train on
+    code: str = field(default_factory=code_digest)
+
+    def key(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, default=str).encode()).hexdigest()
+
+
+#: Columns of the searches that say what is relevant; only a block to train on depends on them.
+ANSWERS = ("gold", "known_positives")
+
+
+def block_inputs(items: DataFrame, queries: DataFrame, pairs: DataFrame, config, encoder: str | None = None, fold: tuple[int, int] | None = None) -> BlockInputs:
+    """Inputs of a block: dense settings count only where an encoder makes dense columns."""
+    asked = queries if fold is not None else queries.drop(*ANSWERS)
+    settings = asdict(config) if is_dataclass(config) else dict(config)
+    dense = {k: settings.pop(k) for k in sorted(settings) if k.startswith("e5_") or k == "max_length"}
+    tables = {"items": frame_digest(items), "queries": frame_digest(asked), "pairs": frame_digest(pairs)}
+    return BlockInputs(tables, settings, None if encoder is None else dense | {"encoder": encoder}, fold)
+
+
+def search_key(items: DataFrame, queries: DataFrame, channel: str, config, model=None) -> str:
+    """Key of a channel's stored candidates; with a location model its counts count."""
+    settings = asdict(config) if is_dataclass(config) else dict(config)
+    return key_of(items, queries.drop(*ANSWERS), channel, settings if model is not None else None, frame_digest(model.counts) if model is not None else None, code_digest())
 
 
 def save(df: DataFrame, path: str, key: str) -> None:
@@ -104,5 +146,16 @@ def check_features(rows: DataFrame, items: DataFrame, names: list[str]) -> None:
 
 
 def add_columns(rows: DataFrame, more: DataFrame) -> DataFrame:
-    """Features widened by another block of the same pairs."""
-    return rows.join(more, ["query_id", "item_pos"])
+    """Features widened by another block, which must have exactly one row for each of their pairs."""
+    keys = ["query_id", "item_pos"]
+    lacking = rows.join(more.select(keys), keys, "left_anti")
+    if not lacking.isEmpty() or not more.join(rows.select(keys), keys, "left_anti").isEmpty():
+        raise ValueError("the blocks are of other pairs")
+    return many_to_one(rows, more, keys)
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join that must not multiply rows of ``left``: a key that ``right`` has twice is an error."""
+    if not right.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        raise ValueError(f"{keys} is no key of the right side")
+    return left.join(right, keys, how)

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITE, normalize
 
 
+#: From the first character with ink to the end of its line: the first line with a word.
+FIRST_LINE = r"[^\x09-\x0D\x20][^\n]*"
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопкрстуввхыз"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -24,14 +29,15 @@ def positions(df: DataFrame, key: str, name: str = "item_pos", bucket: Column |
 
     ``bucket`` is an expression that rises with the key, by default the key in ranges of 65,536. A
     bucket's first place is the number of rows in the buckets before it, so only the counts are
-    ordered in one task and the rows are ordered bucket by bucket.
+    ordered in one task, and only keys are ordered bucket by bucket; the rows join their numbers.
     """
-    rows = df.withColumn("_range", F.floor(F.col(key) / 65536) if bucket is None else bucket)
+    keys = df.select(F.col(key).alias("_key")).withColumn("_range", F.floor(F.col("_key") / 65536) if bucket is None else bucket)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_range").orderBy(key)
-    placed = rows.withColumn("_place", F.row_number().over(within)).join(starts, "_range")
-    return placed.withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_range", "_start", "_place")
+    starts = keys.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy("_key")
+    numbers = keys.withColumn("_place", F.row_number().over(within)).join(starts, "_range").select("_key", (F.col("_start") + F.col("_place") - 1).alias(name))
+    # both sides by the key: rows with texts come out spread evenly
+    return df.join(numbers.hint("shuffle_hash"), df[key] == numbers["_key"]).drop("_key")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(lab, d["doc_id"] == lab["l_id"], "left").select(
         hex_id(F.col("doc_id")).alias("item_id"),
         "item_pos",
-        normalize(F.regexp_extract("text", r"\S[^\n]*", 0)).alias("title"),  # the first line with a word
+        normalize(F.regexp_extract("text", FIRST_LINE, 0)).alias("title"),
         F.concat(F.col("lang"), F.lit(" "), F.col("source")).alias("params"),
         text.alias("description"),
         F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("location_id"),
@@ -54,6 +60,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cyrillic(df: DataFrame, *columns: str) -> DataFrame:
+    """Texts letter by letter in Cyrillic, so that Russian endings occur."""
+    return df.withColumns({c: F.translate(c, LATIN, CYRILLIC) for c in columns})
+
+
+def class_shares(items: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(query_id, item_microcat_id, p): a prior for every search, from the sizes of the classes."""
+    shares = items.groupBy("microcat_id").agg(F.count("*").alias("c"))
+    p = F.round(F.col("c") / (F.col("microcat_id") + 1) / n, 6)
+    return queries.select("query_id").crossJoin(F.broadcast(shares)).select("query_id", F.col("microcat_id").alias("item_microcat_id"), p.alias("p"))  # seven rows
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches: the first words of benchmark texts."""
     b = read(spark, sf_dir, "benchmark")
@@ -107,7 +125,7 @@ _HEX = "lpad(lower(to_hex({0})), 16, '0')"
 #: DuckDB twins of the views, to be used as common table expressions.
 SQL = {
     "items_fx": f"""SELECT {_HEX.format('d.doc_id')} AS item_id, row_number() OVER (ORDER BY d.doc_id) - 1 AS item_pos,
-        {norm_sql('text')}[:80] AS title, lang || ' ' || source AS params, {norm_sql('text')}[:2000] AS description,
+        {norm_sql(f"regexp_extract(text, '{FIRST_LINE}')")} AS title, lang || ' ' || source AS params, {norm_sql('text')} AS description,
         regexp_extract(source, '(\\d+)', 1)::BIGINT AS location_id,
         (CASE lang WHEN 'en' THEN 114 WHEN 'de' THEN 115 WHEN 'fr' THEN 116 ELSE 117 END)::BIGINT AS category_id, d.doc_id % 7 AS microcat_id,
         CASE quality WHEN 1 THEN 4.5e0 WHEN 0 THEN 2.5e0 END AS rating, CASE WHEN l.doc_id IS NOT NULL THEN (n_chars % 100)::DOUBLE END AS reviews
@@ -116,7 +134,7 @@ SQL = {
         item_id % 25 AS search_location_id, item_id % 2 = 0 AS delivery,
         CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'рейтинг пользователя 4,0 звезды и выше' ELSE 'en src1' END AS search_params,
         (CASE WHEN item_id % 4 = 0 THEN 0 ELSE 114 END)::BIGINT AS search_category FROM benchmark""",
-    "gold_fx": f"SELECT {_HEX.format('b.item_id')} AS query_id, {_HEX.format('d.doc_id')} AS item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text[:30])",
+    "gold_fx": f"SELECT {_HEX.format('b.item_id')} AS query_id, {_HEX.format('d.doc_id')} AS item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "geo_pairs_fx": """SELECT o_custkey::VARCHAR AS query_norm, c_nationkey::BIGINT AS search_location_id, l_suppkey AS item_id, s_nationkey::BIGINT AS item_location_id
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey""",
     "prior_pairs_fx": "SELECT p_name AS query_norm, p_type AS item_microcat_id FROM part",
@@ -127,3 +145,8 @@ SQL = {
 def with_views(*names: str, more: str = "") -> str:
     """A WITH clause of the named views and further expressions."""
     return "WITH " + ",\n".join([f"{n} AS ({SQL[n]})" for n in names] + ([more] if more else []))
+
+
+def cyrillic_sql(table: str, *columns: str) -> str:
+    """The named view with texts in Cyrillic, under its own name."""
+    return f"SELECT * REPLACE ({', '.join(f"translate({c}, '{LATIN}', '{CYRILLIC}') AS {c}" for c in columns)}) FROM ({SQL[table]})"

@@ -1,18 +1,27 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark import cli
+from quillspark.operators import ranker
 from quillspark.sources import views
 
 
 def test_positions_by_string_ids(spark):
     ids = [f"{random.Random(i).getrandbits(64):016x}" for i in range(200)]
-    got = views.positions(spark.createDataFrame([(x,) for x in ids], "item_id string"), "item_id", bucket=F.substring("item_id", 1, 2)).collect()
+    got = views.positions(spark.createDataFrame([(x,) for x in ids], "item_id string"), "item_id", bucket=F.substring("_key", 1, 2)).collect()
     assert {r["item_id"]: r["item_pos"] for r in got} == {x: i for i, x in enumerate(sorted(ids))}
 
 
-def test_train_then_predict(spark, tmp_path, monkeypatch):
+def hash_encoder():
+    from quillspark.operators.encoder import HashEncoder
+
+    return HashEncoder(32)
+
+
+@pytest.mark.parametrize("family", cli.FAMILIES)
+def test_train_then_predict(spark, tmp_path, monkeypatch, family):
     rng = random.Random(2)
     words = "ремонт стрижка маникюр уборка доставка сварка массаж урок переезд дизайн".split()
     pairs, items = [], []
@@ -32,7 +41,10 @@ def test_train_then_predict(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cli.sampling, "split", lambda t, *a, **k: t.select("query_norm").distinct().withColumn("split", F.lit("fit")))
     spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
     base = ["--train", str(tmp_path / "train.parquet"), "--items", str(tmp_path / "items.parquet"), "--model", str(tmp_path / "model")]
-    cli.main(["train", *base, "--rounds", "2"])
+    base += ["--encoder", "test_cli:hash_encoder", "--vectors", str(tmp_path / "vectors")]
+    cli.main(["train", *base, "--rounds", "2", "--family", family, "--weight", "0.25"])
+    model = ranker.Boosted.load(spark, str(tmp_path / "model"))
+    assert (model.metadata["selected_trees"], model.weight, model.semantic, len(model.features)) == ("2", 0.25, family != "text", 66 if family == "e5-features" else 57)
     cli.main(["predict", *base, "--queries", str(tmp_path / "queries.parquet"), "--out", str(tmp_path / "answer")])
     rows = {r["query_id"]: r["answer"].split(" ") for r in spark.read.option("header", True).csv(str(tmp_path / "answer")).collect()}
     assert set(rows) == {"q" * 16, "r" * 16} and all(len(set(v)) == 50 for v in rows.values())

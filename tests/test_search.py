@@ -3,6 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillspark import pipeline
 from quillspark.config import SearchConfig
 from quillspark.operators import blend, geo, index, metrics, prior, quality, retrieve, sampling
 
@@ -12,7 +13,7 @@ def test_docs_are_found_and_index_follows_the_catalogue(spark):
     q = spark.createDataFrame([("q", "ремонт")], "query_id string, search_query string")
     for texts, best in ((("ремонт", "маникюр"), 0), (("маникюр", "ремонт"), 1)):
         items = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], schema)
-        w = index.bm25(index.stemmed(index.term_counts(items)), items.count())
+        w = index.bm25(index.joint(pipeline.stem_counts(items)), items.count())
         assert [r["item_pos"] for r in index.top(index.score(index.stem_terms(q), w), 5).collect()] == [best]
 
 
@@ -20,7 +21,7 @@ def test_bm25_by_hand(spark):
     items = spark.createDataFrame([(0, "aa", "", "bb"), (1, "bb", "", ""), (2, "", "", "")], "item_pos long, title string, params string, description string")
     import math
 
-    got = {(r["item_pos"], r["term"]): r["w"] for r in index.bm25(index.term_counts(items), 3).collect()}
+    got = {(r["item_pos"], r["term"]): r["w"] for r in index.bm25(index.joint(index.term_counts(items)), 3).collect()}
     mean = max((4 + 3 + 0) / 3, 1)
 
     def weight(tf, length, df):
@@ -152,6 +153,22 @@ def test_bootstrap_holds_the_mean(spark):
     assert low < 4.5 < high and high - low < 1.2
 
 
+@pytest.mark.parametrize("values", [[0.0, 1.0], [3.0]])
+def test_bootstrap_of_equal_rows(spark, values):
+    rows = spark.range(400).select(F.element_at(F.lit(values), (F.col("id") % len(values) + 1).cast("int")).alias("v"))
+    low, high = metrics.bootstrap(rows, "v", repeats=500).first()
+    mean = sum(values) / len(values)
+    assert low <= mean <= high and (high - low < 0.15 if len(values) > 1 else low == high)
+    assert tuple(metrics.bootstrap(rows.repartition(7), "v", repeats=500).first()) == pytest.approx((low, high))
+    assert tuple(metrics.bootstrap(rows.where("false"), "v", repeats=5).first()) == (None, None)
+
+
+def test_paired_interval(spark):
+    a = spark.range(300).select("id", F.lit(0.5).alias("v"))
+    r = metrics.paired_interval(a, a.withColumn("v", F.col("v") + (F.col("id") % 3) / 10), "id", "v", repeats=400).first()
+    assert r["n"] == 300 and r["mean_delta"] == pytest.approx(0.1) and r["low"] < 0.1 < r["high"] and r["high"] - r["low"] < 0.05
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("a", None, 1), ("b", "x", 2), ("a", "y", 3)], "item_id string, t string, n int")
     assert {r["column"]: r["nulls"] for r in quality.null_counts(df).collect()} == {"item_id": 0, "t": 1, "n": 0}
@@ -191,7 +208,8 @@ def test_queries_run_over_whole_tables(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(5, "alpha7 beta8 gamma"), (6, "alpha7 nowhere")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    assert [r["query_oov_fraction"] for r in lexical.oov_fraction(spark, d).orderBy("query_id").collect()] == [0.0, 0.5]
+    # searches and filters, "alpha7 beta8 gamma" with "en src1" and "alpha7 nowhere" with none
+    assert [round(r["query_oov_fraction"], 6) for r in lexical.oov_fraction(spark, d).orderBy("query_id").collect()] == [0.0, 0.5]
     got = ranking.dedup_catalogue(spark, d).collect()
     assert sum(r["priority"] == 0 and r["title_md5"] != "later" for r in got) == 24 and sum(r["priority"] == 1 for r in got) == 24
     filled = ranking.fallback_fill(spark, d).where(f"query_id = '{5:016x}'").orderBy("rank").collect()
@@ -224,3 +242,46 @@ def test_the_first_fifty_are_judged_against_the_whole_pool(spark, tmp_path, monk
     one = views.gold(spark, d).where(f"item_id <> '{0:016x}'").limit(1)
     monkeypatch.setattr(views, "gold", lambda *_: one)
     assert ranking.negative_sampling(spark, d).count() > 14
+
+
+def test_dense_search_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[50] = v[60] = v[70]
+    items = spark.createDataFrame([(i, x.tolist(), i % 4) for i, x in enumerate(v)], "item_pos long, vector array<double>, location_id long").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", v[i].tolist(), i % 3) for i in range(0, 300, 50)], "query_id string, vector array<double>, search_location_id long")
+    pairs = spark.createDataFrame([(f"t{i}", i % 3, f"{i}", (i * 7) % 4) for i in range(60)], "query_norm string, search_location_id long, item_id string, item_location_id long")
+    model, config = geo.fit(pairs), SearchConfig()
+    for block in (2, 100):
+        found = retrieve.dense_top(retrieve.dense(q, items, 20, model=model, config=config, block=block), 20)
+        got = {}
+        for r in found.collect():
+            got.setdefault((r["query_id"], r["kind"]), []).append((r["rank"], r["item_pos"]))
+        rows = geo.with_factor(q.select("query_id", "search_location_id").crossJoin(items.select("item_pos", "location_id")), items, model, config)
+        factor = {(r["query_id"], r["item_pos"]): r["factor"] for r in rows.collect()}
+        for i in range(0, 300, 50):
+            cos = np.round(v @ v[i], 4)
+            geo_score = np.round(cos + config.e5_geo * np.log([factor[f"q{i}", j] for j in range(300)]), 4)
+            for kind, score in (("global", cos), ("geo", geo_score)):
+                assert [p for _, p in sorted(got[f"q{i}", kind])] == sorted(range(300), key=lambda j: (-score[j], j))[:20]
+
+
+def test_stems_join_the_fields_vocabulary(spark):
+    """An inflected search meets another form in one field; the other fields lack the stem but know it."""
+    import math
+
+    from quillspark.operators import features
+
+    items = spark.createDataFrame([(0, "ремонт вагона", "", "старый", 4.5), (1, "старая", "", "дом", 4.0)], "item_pos long, title string, params string, description string, rating double")
+    q = spark.createDataFrame([("q", "вагонов", "рейтинг пользователя 4,5 звезды и выше старые", 1)], "query_id string, search_query string, search_params string, n int")
+    counts = pipeline.stem_counts(items)
+    assert features.oov_fraction(q, index.joint(counts)).first()["query_oov_fraction"] == 0
+    r = {x["item_pos"]: x for x in features.field(spark.createDataFrame([("q", 0), ("q", 1)], "query_id string, item_pos long"), items, q, counts, 2).collect()}
+    idf = math.log1p((2 - 1 + 0.5) / 1.5)
+    w = 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1.5)) * idf
+    assert r[0]["title_log_bm25"] == pytest.approx(math.log1p(w)) and r[0]["title_normalized_bm25"] == pytest.approx(w / idf) and r[0]["title_query_coverage"] == 1
+    assert r[0]["description_normalized_bm25"] == 0 and r[1]["title_log_bm25"] == 0 and r[0]["params_filter_log_bm25"] == 0
+    assert (r[0]["rating_filter_match"], r[1]["rating_filter_match"]) == (1, -1) and r[1]["rating_filter_gap"] == -0.5

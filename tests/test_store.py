@@ -1,3 +1,5 @@
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,14 +73,44 @@ def test_stored_tables_are_checked(spark, tmp_path):
     assert store.frame_digest(items) == store.frame_digest(items.orderBy(F.desc("item_id")))
 
 
-def test_feature_key_follows_what_counts(spark):
+def test_block_keys_follow_what_counts(spark):
+    from quillspark.config import SearchConfig
+
     items = spark.createDataFrame([(0, "a")], "item_pos long, item_id string")
     q = spark.createDataFrame([("q", ["a"])], "query_id string, gold array<string>")
     other = spark.createDataFrame([("q", ["b"])], "query_id string, gold array<string>")
-    base = store.feature_key(items, q, items, {"e5_weight": 1}, semantic=False)
-    assert base == store.feature_key(items, other, items, {"e5_weight": 2}, semantic=False)
-    assert base != store.feature_key(items, q, items, {"alpha": 2}, semantic=False)
-    assert store.feature_key(items, q, items, {}, training=True) != store.feature_key(items, other, items, {}, training=True)
+
+    def key(searches, encoder=None, fold=None, **settings):
+        return store.block_inputs(items, searches, items, SearchConfig(**settings), encoder, fold).key()
+
+    assert key(q) == key(other, e5_weight=2.0, max_length=9) and key(q) != key(q, alpha=2.0)
+    assert key(q, fold=(1, 0)) != key(other, fold=(1, 0)) and key(q, fold=(1, 0)) != key(q, fold=(1, 1))
+    assert len({key(q), key(q, "hash-8"), key(q, "hash-9"), key(q, "hash-8", e5_weight=2.0)}) == 4
+    inputs = store.block_inputs(items, q, items, SearchConfig())
+    assert inputs.key() != dataclasses.replace(inputs, code="other").key()
+
+
+def test_joins_that_must_not_multiply(spark):
+    rows = spark.createDataFrame([("q", 1), ("q", 2)], "query_id string, item_pos long")
+    block = rows.withColumn("x", F.lit(1.0))
+    assert store.add_columns(rows, block).count() == 2
+    for wrong in (block.unionByName(block), block.where("item_pos = 1"), block.unionByName(block.withColumn("item_pos", F.col("item_pos") + 9))):
+        with pytest.raises(ValueError):
+            store.add_columns(rows, wrong)
+    assert store.many_to_one(rows, spark.createDataFrame([("q", "a")], "query_id string, t string"), ["query_id"]).count() == 2
+
+
+def test_encoding_goes_on_where_it_stopped(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    texts = spark.createDataFrame([(str(i),) for i in range(200)], "text string").coalesce(1)
+    path = str(tmp_path / "vectors")
+    with pytest.raises(Exception, match="stopped"):
+        encoder.embeddings(texts, "text", "query: ", Counting(calls, fail_at=3), path, block=50)
+    stored = spark.read.parquet(path).count()
+    assert 0 < stored < 200
+    out = encoder.embeddings(texts, "text", "query: ", Counting(calls), path, block=50)
+    assert out.where("vector is not null").count() == 200 and spark.read.parquet(path).count() == 200
 
 
 def test_export_contract(spark, tmp_path):
@@ -111,13 +143,15 @@ def test_rankers_learn_and_reload(spark, training, tmp_path):
     model = ranker.fit_boosted(df, pairs, ["noise", "good"], rounds=3, depth=2, key="k")
     out = {r["item_pos"]: (r["prediction"], r["y"]) for r in model.predict(df).collect()}
     assert min(p for p, y in out.values() if y) > max(p for p, y in out.values() if not y)
-    model.choose(2, 0.5, {"alpha": 5}).save(str(tmp_path / "model"))
-    again = ranker.Boosted.load(str(tmp_path / "model"), "k")
+    model.choose(2, 0.5, {"alpha": 5}).save(spark, str(tmp_path / "model"))
+    again = ranker.Boosted.load(spark, str(tmp_path / "model"), "k")
     assert again.metadata["selected_trees"] == "2"
-    assert {r["item_pos"]: r["prediction"] for r in again.predict(df).collect()} == pytest.approx({k: p for k, (p, _) in out.items()})
-    assert again.predict(df, trees=1).agg(F.max("prediction")).first()[0] < model.predict(df).agg(F.max("prediction")).first()[0]
+    assert (again.weight, again.config.alpha) == (0.5, 5)
+    assert {r["item_pos"]: r["prediction"] for r in again.predict(df, trees=3).collect()} == pytest.approx({k: p for k, (p, _) in out.items()})
+    assert [r["prediction"] for r in again.predict(df).orderBy("item_pos").collect()] == [r["prediction"] for r in model.predict(df, trees=2).orderBy("item_pos").collect()]
+    assert again.predict(df, trees=1).agg(F.max("prediction")).first()[0] < model.predict(df, trees=3).agg(F.max("prediction")).first()[0]
     with pytest.raises(ValueError):
-        ranker.Boosted.load(str(tmp_path / "model"), "other")
+        ranker.Boosted.load(spark, str(tmp_path / "model"), "other")
 
 
 def test_stream_of_searches(spark, tmp_path):
