@@ -234,6 +234,77 @@ def test_models_tell_random_strings_from_names(spark):
     assert clean == "a [SECRET] b [SECRET] c"
 
 
+def plain_ratios(rows, smoothing=0.5):
+    """Log-likelihood ratios of character pairs, in a dict."""
+    import math
+
+    size = len(secrets.ALPHABET)
+    counts = {k: {} for k in (0, 1)}
+    for text, label in rows:
+        own = [c for c in text if c in secrets.ALPHABET]
+        for pair in zip(own, own[1:]):
+            counts[label][pair] = counts[label].get(pair, 0) + 1
+
+    def p(label, a, b):
+        return (counts[label].get((a, b), 0) + smoothing) / (sum(counts[label].get((a, c), 0) for c in secrets.ALPHABET) + smoothing * size)
+
+    return {(a, b): math.log(p(1, a, b)) - math.log(p(0, a, b)) for a in secrets.ALPHABET for b in secrets.ALPHABET}
+
+
+def test_models_and_spans_against_plain_versions(spark):
+    rng = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(r["text"], r["label"]) for r in secrets.samples(spark, 300).collect()]
+    ratios, plain = secrets.train(spark.createDataFrame(rows, "text string, label int")), plain_ratios(rows)
+    assert ratios == pytest.approx([plain[a, b] for a in secrets.ALPHABET for b in secrets.ALPHABET], abs=1e-5)
+    parts = ["password=abcdefabcdefabcd", "some_ordinary_function_name", "AKIA" + "Q7" * 9, "é", " ", "\n", "deadbeef" * 3, "internationalization", '"token":']
+    texts = ["".join(rng.choice([*parts, "".join(rng.choices(alphabet, k=rng.randint(10, 40)))]) + rng.choice(["", " ", "."]) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), ratios).collect():
+        text, base = texts[r["i"]], plain_secrets(texts[r["i"]])
+        more = []
+        for m in re.finditer(secrets.RUN % secrets.MIN_RUN, text):
+            own = [c for c in m[0] if c in secrets.ALPHABET]
+            mean = sum(plain[x] for x in zip(own, own[1:])) / (len(own) - 1)
+            if mean > secrets.MIN_LLR and not any(s < m.end() and e > m.start() for s, _, e in base):
+                more.append((m.start(), 3, m.end()))
+        assert [tuple(x) for x in r["found"]] == sorted(base + more), text
+
+
+def test_models_from_labelled_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lambda t: F.crc32(t.cast("binary")) % 4 == 2
+    ratios = secrets.fit(docs, fold=lambda t: ~held(t))
+    got = {r["label"]: r for r in secrets.rates(secrets.labelled(docs, fold=held), ratios).collect()}
+    assert got[1]["n"] >= 5 and got[1]["flagged"] >= 0.8 and got[0]["n"] >= 10 and got[0]["flagged"] <= 0.02
+
+
+def test_planted_secrets_without_keyword_are_found(spark):
+    rng = random.Random(31)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plain = [r["text"] for r in docs.where("length(text) > 100").collect()][:60]
+    keys = ["".join(rng.choices(alphabet, k=rng.randint(24, 44))) for _ in plain]
+    rows = [(i, f"{t[:50]} {k} {t[50:]}") for i, (t, k) in enumerate(zip(plain, keys))]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.fit(docs)).collect()
+    caught = sum(any(x["k"] == 3 and x["s"] <= 51 < x["e"] for x in r["found"]) for r in got)
+    others = sum(sum(x["k"] == 3 and not x["s"] <= 51 < x["e"] for x in r["found"]) for r in got)
+    assert caught >= 0.95 * len(rows) and others <= 1
+
+
+def test_secrets_take_time_in_proportion(spark):
+    import time
+
+    ratios = secrets.train(secrets.samples(spark, 200))
+    seconds = []
+    for n in (2000, 16_000):
+        text = " ".join(f"password=abcdefabcdef{i:08d} Zq{i:06d}xKj7Pw2Lm9Rt4Vb" for i in range(n))
+        began = time.time()
+        r = secrets.scan(spark.createDataFrame([(text,)], "text string"), ratios).select(F.size("found").alias("n")).first()
+        seconds.append(time.time() - began)
+        assert r["n"] >= 2 * n
+    assert seconds[1] < 8 * max(seconds[0], 1.0)
+
+
 # ---- 4
 
 def test_quality_measures_and_frequent_lines(spark):
