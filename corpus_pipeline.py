@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of ``documents``; ``n_chars``
 follows the text. Documents that a stage empties of words go.
+
+Defined results: rows with a null text go at language ID, as it rejects them; rows that share an id but
+not the text, and rows without an id, are documents of their own in every stage; of rows that are
+equal in id and text one stays after the n-gram Jaccard join, since they are copies; columns beyond those of
+``documents``, whatever their names, stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from quillspark.llm.common import BLANK, materialise, read
+from quillspark.llm.common import BLANK, discard, materialise, read, scratch_scope
 
 
 def _packed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -45,14 +50,30 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (five words, similarity 0.8): that with the
-    smallest id. Documents without words or id are components of their own."""
-    members, labels = jaccard_join.join_links(docs, n=5, percent=80)
+    smallest id. Documents without words are components of their own. Rows without an id, and those
+    that share one, are told apart by their text; equal ones are one document."""
+    shared_ids = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "shared-ids")
+    key = F.col("doc_id").cast("long")
+    parts = [docs]
+    if not shared_ids.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("_id"))
+        rows = _packed(docs.join(shared_ids, same, "left_semi"), "doc_id", "text")
+        rows = rows.groupBy("doc_id", "text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        parts = [docs.join(shared_ids, same, "left_anti"), materialise(rows.select(_rows(docs)), "shared-id-rows")]
+    # keys of the second part lie above all ids
+    keys = [key, F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)]
+    work = None
+    for part, k in zip(parts, keys):
+        own = part.select(k.alias("key"), "text")
+        work = own if work is None else work.unionByName(own)
+    members, labels = jaccard_join.join_links(work, id_col="key", n=5, percent=80)
     found = members.join(labels, members["cid"] == labels["node"], "left")
-    stays = found.where(F.col("doc").isNotNull() & (F.coalesce("label", "cid", "doc") == F.col("doc"))).select("doc").distinct()
-    kept = docs.join(stays, docs["doc_id"].cast("long") == stays["doc"], "left_semi")
-    # repeated rows of an id: the one with the first text stays
-    once = _packed(kept, "doc_id").groupBy("doc_id").agg(F.min_by("_row", F.coalesce(F.col("_row.text"), F.lit(""))).alias("_row"))
-    return once.select(_rows(docs)).unionByName(docs.where(F.col("doc_id").isNull()))
+    stays = found.where(F.coalesce("label", "cid", "doc") == F.col("doc")).select("doc").distinct()
+    out = None
+    for part, k in zip(parts, keys):
+        kept = part.join(stays, k == stays["doc"], "left_semi")
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +101,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. What a stage wrote for itself, and its input, are deleted once its
+    result is written; the last stage's tables stay for the reader of its result."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        keep: list[str] = []
+        with scratch_scope(spark, keep):
+            out = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(out.scratch)
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
