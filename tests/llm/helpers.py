@@ -1,5 +1,8 @@
 """Rows that operators must live with, and a check of unchanged neighbours."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 WORDS = "the of and ingtion erther onand wherof thesting anlyre houtin".split()
@@ -69,3 +72,62 @@ def clashing(df):
     """Every inner name that ``df`` doesn't have as a column of text."""
     have = {c.lower() for c in df.columns}
     return df.select("*", *[F.lit(f"own {c}").alias(c) for c in dict.fromkeys(INNER) if c not in have])
+
+
+def plain_mix(rows):
+    """Targets by repeated resharing, order by finish time."""
+    size = {}
+    for _, s, n in rows:
+        size[s] = size.get(s, 0) + n
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, target, full = sum(size.values()), {}, set()
+    while True:
+        rest = total - sum(3 * size[s] for s in full)
+        w = sum(weight[s] for s in order if s not in full)
+        target = {s: 3 * size[s] if s in full else rest * weight[s] / w for s in order}
+        over = {s for s in order if s not in full and target[s] >= 3 * size[s]}
+        if not over:
+            break
+        full |= over
+    copies = []
+    for s in order:
+        done = 0
+        own = sorted((hashlib.md5(str(d).encode()).hexdigest(), d, n) for d, t, n in rows if t == s)
+        for h, d, n in own:
+            done += n
+            if n:
+                copies += [((e * size[s] + done) / target[s], s is not None, s or "", h, d, n) for e in range(3)]
+    taken, spent = dict.fromkeys((d for d, _, _ in rows), 0), 0
+    for _, _, _, _, d, n in sorted(copies):
+        if spent + n > total:
+            break
+        spent += n
+        taken[d] += n
+    return size, target, taken
+
+
+_WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def plain_clean(text, items, n=10, most=0.5):
+    """The text without words inside windows of the items, and what stands between two such words; None if
+    more than ``most`` of its words go."""
+    raw = text.encode()
+    spans = [m.span() for m in re.finditer(_WORD, raw.lower())]
+    words = [raw[s:e].lower() for s, e in spans]
+    hit = set()
+    for item in items:
+        own = re.findall(_WORD, (item or "").encode().lower())
+        windows = {tuple(own[i : i + n]) for i in range(max(1, len(own) - n + 1))} if own else set()
+        for size in {len(w) for w in windows}:
+            for i in range(len(words) - size + 1):
+                if tuple(words[i : i + size]) in windows:
+                    hit.update(range(i, i + size))
+    if len(hit) > most * len(words):
+        return None
+    gone = bytearray(len(raw))
+    for i in hit:
+        s, e = spans[i][0], spans[i + 1][0] if i + 1 in hit else spans[i][1]
+        gone[s:e] = b"\1" * (e - s)
+    return bytes(x for x, g in zip(raw, gone) if not g).decode()

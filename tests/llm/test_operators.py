@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from helpers import awkward, clashing, empty, plain_lines, prose
+from helpers import awkward, clashing, empty, plain_lines, plain_mix, prose
 from pyspark.sql import functions as F
 
 from quillspark import llm
@@ -146,39 +146,6 @@ def test_warc_round_trip_of_awkward_payloads(spark, tmp_path):
 
 # ---- 2
 
-def plain_mix(rows):
-    """Targets by repeated resharing, order by finish time."""
-    size = {}
-    for _, s, n in rows:
-        size[s] = size.get(s, 0) + n
-    order = sorted(size, key=lambda s: (s is None, s or ""))
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-    total, target, full = sum(size.values()), {}, set()
-    while True:
-        rest = total - sum(3 * size[s] for s in full)
-        w = sum(weight[s] for s in order if s not in full)
-        target = {s: 3 * size[s] if s in full else rest * weight[s] / w for s in order}
-        over = {s for s in order if s not in full and target[s] >= 3 * size[s]}
-        if not over:
-            break
-        full |= over
-    copies = []
-    for s in order:
-        done = 0
-        own = sorted((hashlib.md5(str(d).encode()).hexdigest(), d, n) for d, t, n in rows if t == s)
-        for h, d, n in own:
-            done += n
-            if n:
-                copies += [((e * size[s] + done) / target[s], s is not None, s or "", h, d, n) for e in range(3)]
-    taken, spent = dict.fromkeys((d for d, _, _ in rows), 0), 0
-    for _, _, _, _, d, n in sorted(copies):
-        if spent + n > total:
-            break
-        spent += n
-        taken[d] += n
-    return size, target, taken
-
-
 def test_mix_against_a_plain_version(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([0, 3, 10, 50, 400])) for i in range(300)]

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import awkward, empty, plain_lines, prose
+from helpers import awkward, empty, plain_clean, plain_lines, plain_mix, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -47,6 +47,19 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, bench_dir):
     assert {r["doc_id"] for r in mixed.collect()} <= set(got) and mixed.agg(F.sum("taken")).first()[0] > 0
 
 
+def test_rows_that_share_an_id_are_kept(spark, bench_dir):
+    rng = random.Random(8)
+    text = ["\n".join(" ".join(f"the of {rng.randint(0, 9999)}w" for _ in range(12)) for _ in range(3)) for _ in range(5)]
+    rows = [(1, text[0], "a"), (1, text[1], "b"), (1, text[1], "b"), (2, text[0], "c"), (3, text[2], "d"), (None, text[3], "e"), (None, text[4], "f"), (None, text[4], "f"), (None, text[2], "g"), (4, None, "h"), (4, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r["text"] or "", r["source"]) for r in corpus_pipeline.stage_near_duplicates(spark, docs, bench_dir).collect())
+    # equal texts of different rows are one group; of two ids that share a text, the one of its own stays
+    assert [t for t, _ in got] == sorted([text[0], text[1], text[2], text[3], text[4], "", ""])
+    assert dict(got)[text[2]] == "d" and dict(got)[text[0]] == "c"
+    apart = corpus_pipeline.stage_lines(spark, docs.where("source in ('a', 'b', 'e')").distinct(), bench_dir)
+    assert {r["text"] for r in apart.collect()} == {text[0], text[1], text[3]}
+
+
 def test_stages_against_plain_versions(spark):
     """The middle stages of a small slice of the real documents, done in memory."""
     d = "/root/testdata/sf0.001"
@@ -67,3 +80,16 @@ def test_stages_against_plain_versions(spark):
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = {k: new if v == old else v for k, v in label.items()}
     assert kept == {k for k in label if label[k] == k}
+    # benchmark: words of windows go, with what stands between them; documents that are mostly benchmark go
+    near = corpus_pipeline.stage_near_duplicates(spark, lines, d)
+    items = [r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    cleaned = {k: plain_clean(plain[k], items) for k in kept}
+    cleaned = {k: t for k, t in cleaned.items() if t is not None and t.strip()}
+    clean = corpus_pipeline.stage_benchmark(spark, near, d)
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == cleaned
+    # the mix takes what the plain mix takes
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    _, target, taken = plain_mix([(k, source[k], len(t.encode().split())) for k, t in cleaned.items()])
+    mixed = {r["doc_id"]: r for r in corpus_pipeline.stage_mix(spark, clean, d).collect()}
+    assert {k: r["taken"] for k, r in mixed.items()} == {k: n for k, n in taken.items() if n}
+    assert all(r["target"] == pytest.approx(target[source[k]]) and r["text"] == cleaned[k] for k, r in mixed.items())
