@@ -143,6 +143,19 @@ def blend_rank(spark, d):
     return blend.blend(_ranked(spark, d), 0.5).select("query_id", "item_pos", "rank")
 
 
+def blend_grid(spark, d):
+    """Mean recall at 10 of two models' blends with five weights, in one job."""
+    c = Corpus(spark, d)
+    rows = c.best.select("query_id", "item_pos", F.col("score").alias("rrf"), F.round(_hash_score("query_id", "item_pos"), 6).alias("few"), F.round(_hash_score("item_pos", "query_id"), 6).alias("many"))
+    top = blend.grid(rows, ["few", "many"], [0, 0.25, 0.5, 0.75, 1], k=10).join(c.items.select("item_pos", "item_id"), "item_pos")
+    g = views.gold(spark, d).distinct()
+    hits = top.join(g, ["query_id", "item_id"]).groupBy("model", "weight").agg(F.count("*").alias("hits"))
+    points = spark.createDataFrame([(m, float(w)) for m in ("few", "many") for w in (0, 0.25, 0.5, 0.75, 1)], "model string, weight double")
+    total = g.agg(F.count("*").alias("gold"))
+    out = points.join(hits, ["model", "weight"], "left").crossJoin(F.broadcast(total))  # one row
+    return out.select("model", "weight", F.round(F.coalesce("hits", F.lit(0)) / F.greatest("gold", F.lit(1)), 6).alias("recall"))
+
+
 def masked_blend(spark, d):
     rows = _ranked(spark, d).withColumn("in_text", F.col("item_pos") % 2 == 0)
     return blend.blend(rows, 0.25, k=20, mask="in_text").select("query_id", "item_pos", "rank")
@@ -318,7 +331,7 @@ def train_and_rank(spark, d):
 
 FOUND = (
     geo_context_weights, geo_counts, geo_background, geo_signal, location_presence, location_factor, category_distribution, category_prior, prior_entropy,
-    stratified_candidates, ordinal_ranks, rrf_fusion, candidate_union, fallback_fill, search_answer, blend_rank, masked_blend, cosine_topk, semantic_dual_topk,
+    stratified_candidates, ordinal_ranks, rrf_fusion, candidate_union, fallback_fill, search_answer, blend_rank, masked_blend, blend_grid, cosine_topk, semantic_dual_topk,
     embedding_features, core_features, text_split, negative_sampling, balanced_pairs, recall_at_50, candidate_coverage, loss_decomposition, recall_by_slice,
     paired_delta, paired_interval, many_to_one, grid_best, grid_pivot, bootstrap_ci, null_counts, quality_checks, dataset_profile, category_share, gold_sets, gold_histogram, dedup_catalogue,
     encoder_text, answer_lines, train_and_rank,
@@ -383,6 +396,15 @@ m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mixed DESC, it
 SELECT query_id, item_pos, rank FROM m WHERE rank <= {k}"""
 
 
+BLEND_GRID = """pr AS (SELECT query_id, item_pos, score AS rrf, round(('0x' || substr(md5(query_id || '|' || item_pos), 1, 6))::BIGINT / 16777216e0, 6) AS prediction, 'few' AS model FROM best
+  UNION ALL SELECT query_id, item_pos, score, round(('0x' || substr(md5(item_pos || '|' || query_id), 1, 6))::BIGINT / 16777216e0, 6), 'many' FROM best),
+pm AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY prediction DESC, item_pos) AS m, row_number() OVER (PARTITION BY model, query_id ORDER BY rrf DESC, item_pos) AS f FROM pr),
+points AS (SELECT model, weight FROM (VALUES ('few'), ('many')) a(model), (VALUES (0e0), (0.25e0), (0.5e0), (0.75e0), (1e0)) b(weight)),
+px AS (SELECT model, weight, query_id, item_pos, CASE weight WHEN 0 THEN rrf WHEN 1 THEN prediction ELSE weight / (60 + m) + (1 - weight) / (60 + f) END AS mixed FROM pm JOIN points USING (model)),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, weight, query_id ORDER BY mixed DESC, item_pos) AS rank FROM px) WHERE rank <= 10),
+gd AS (SELECT DISTINCT * FROM gold_fx),
+ph AS (SELECT model, weight, count(*) AS hits FROM pk JOIN items_fx USING (item_pos) JOIN gd USING (query_id, item_id) GROUP BY ALL)
+SELECT model, weight, round(coalesce(hits, 0) / greatest((SELECT count(*) FROM gd), 1), 6) AS recall FROM points LEFT JOIN ph USING (model, weight)"""
 LABELLED = """lab AS (SELECT b.query_id, b.item_pos, b.score AS rrf, g.item_id IS NOT NULL AS is_gold, g.item_id IS NOT NULL OR i.microcat_id = 3 AS is_known
   FROM best b JOIN items_fx i USING (item_pos) LEFT JOIN gold_fx g ON g.query_id = b.query_id AND g.item_id = i.item_id),
 kinds AS (SELECT *, CASE WHEN is_gold THEN 'positive' WHEN NOT is_known THEN 'negative' END AS kind FROM lab),
@@ -500,6 +522,7 @@ ORACLES = {
     "search_answer": with_views(*IQ, "geo_pairs_fx", more=f"{SEARCH}, {fill_sql('ans', 'f')}") + " SELECT * FROM f",
     "blend_rank": with_views(*IQ, more=f"{LEXICAL}, {RANKED}, {blend_sql(0.5, 'true', 50)}"),
     "masked_blend": with_views(*IQ, more=f"{LEXICAL}, {RANKED}, {blend_sql(0.25, 'item_pos % 2 = 0', 20)}"),
+    "blend_grid": with_views(*IQ, "gold_fx", more=f"{LEXICAL}, {BLEND_GRID}"),
     "cosine_topk": with_views("vectors_fx", "geo_pairs_fx", more=DENSE) + " SELECT * FROM (SELECT query_id, item_pos, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_pos) AS rank FROM cosines) WHERE rank <= 50",
     "semantic_dual_topk": with_views("vectors_fx", "geo_pairs_fx", more=DENSE) + " SELECT query_id, item_pos, kind, score, rank FROM near",
     "embedding_features": with_views("vectors_fx", "geo_pairs_fx", more=DENSE) + f""", nl AS (SELECT query_id, item_pos, max(1e0 / (60 + rank)) FILTER (kind = 'global') AS rw, max(1e0 / (60 + rank)) FILTER (kind = 'geo') AS ge FROM near GROUP BY ALL),
