@@ -144,6 +144,18 @@ def test_warc_round_trip_of_awkward_payloads(spark, tmp_path):
     assert got[4]["record_type"] == "revisit" and got[4]["refers_to"] == 0 and got[4]["refers_to_record"] == got[0]["record_id"]
 
 
+def test_hot_payloads(spark, tmp_path):
+    """Very many equal empty pages are all responses; of very many equal longer ones the first is."""
+    body = "<p>the same page</p>" * 10
+    rows = [(i, f"http://h/{i}", "" if i % 2 else body) for i in range(300)] + [(300, "http://h/x", None), (301, "http://h/y", body[:99])] * 2
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc.op1_legacy_archive_converter(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        copy = r["page_id"] < 300 and r["page_id"] % 2 == 0 and r["page_id"] > 0
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 0) if copy else ("response", None))
+
+
 # ---- 2
 
 def test_mix_against_a_plain_version(spark):
@@ -354,6 +366,26 @@ def test_a_blocked_host_distrusts_all_its_linkers(spark, linkers):
     assert got == {r[0]: "block" if r[0] in (0, 50) or 10 <= r[0] < 50 else "allow" for r in rows}
 
 
+def test_url_filter_and_its_twin_over_links(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(17)
+    hosts = [f"h{i}.com" for i in range(12)] + ["bad.net", "a.example.net", "x.example.com", "fr.org"]
+    rows = []
+    for i in range(80):
+        links = "".join(f"<a href='http://{rng.choice(hosts)}/p'>" for _ in range(rng.randint(0, 4)))
+        rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/{i}", links))
+    rows += rows[:9] + [(900, None, None), (901, "no scheme", "<a href='http://bad.net/'>"), (902, "http://h1.com", None)]
+    rows += [(903, "http://spam.com/", "<a href='http://bad.net/'>"), (904, "http://bad.net/", ""), (905, "http://far.com/", "<a href='http://spam.com/'>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    expected = sorted(con.execute(url_filter.OP6_SQL).fetchall(), key=str)
+    got = sorted((tuple(r) for r in url_filter.op6_url_filter(spark, str(tmp_path)).collect()), key=str)
+    assert got == expected and {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
 # ---- 7
 
 def plain_components(texts, n=4, percent=85):
@@ -417,6 +449,39 @@ def test_language_id_special_cases(spark):
     assert same.predict("abc")[0] == "a" and same.predict("abc")[1] == 0.0
 
 
+def test_language_id_against_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    books = language_id.fit(docs)
+    rows = [r["text"] for r in docs.collect()] + [prose(9000, 4), None, "", "12", "é"]
+
+    def size(text, book):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        raw = re.sub(" +", " ", letters).encode()
+        d = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        engine = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(engine.compress(raw[i : i + 16384])) for i in range(0, len(raw), 16384))
+
+    got = language_id.predict(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), books).collect()
+    for r in got:
+        text = rows[r["i"]]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        sizes = sorted((size(text, books[lang]), lang) for lang in books)
+        assert (r["lang_pred"], r["score"]) == (sizes[0][1], pytest.approx(1 - sizes[0][0] / sizes[1][0]))
+
+
+def test_language_sample_spreads_over_whole_texts(spark):
+    long = "x " * 4000 + "middle " * 100 + "y " * 4000 + "ending " * 100
+    rows = [(i, long, "en") for i in range(3)] + [(9, "kurz", "de"), (9, "aber kurz", "de"), (None, "nie", "de"), (10, "nie", None)]
+    books = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dict_bytes=4000)
+    assert books["de"] == b"aber kurz" and b"ending" in books["en"] and b"x x" in books["en"] and b"y y" in books["en"] and len(books["en"]) <= 4000
+    many = spark.createDataFrame([(i, f"wort{i}", f"l{i}") for i in range(1200)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many)) == 1200
+
+
 def test_language_id_margin_does_not_shrink_with_length():
     rng = random.Random(3)
     words = {lang: ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(3000)] for lang in ("one", "two")}
