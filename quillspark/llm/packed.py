@@ -120,9 +120,10 @@ def bitmap(tokens: DataFrame, column: str, bits: int = 27) -> np.ndarray:
     return out
 
 
-def bitmap_bits(tokens: int, most: int = 29) -> int:
-    """Bits for a filter with few false positives, 2 ** ``most`` (64 MB) at most; beyond it they grow."""
-    return min(most, max(20, math.ceil(math.log2(max(tokens, 1) * 16))))
+def bitmap_bits(tokens: int, each: int = 16, most: int = 29) -> int:
+    """Bits for a filter with a false positive for some ``each`` tokens that aren't in it, at most
+    2 ** ``most`` (64 MB); beyond that there are more."""
+    return min(most, max(20, math.ceil(math.log2(max(tokens, 1) * each))))
 
 
 def in_bitmap(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:

@@ -13,11 +13,13 @@ another segment has can hold repeats. The steps:
    array (prefix doubling, common prefixes, preceding bytes), scans it with a stack for the tree of
    common-prefix intervals and keeps those with different preceding bytes: the maximal repeats with
    all their occurrences. What these cover is found by comparing bytes.
-4. A key group of more than ``GROUP`` contents, which could outgrow a task, is split by longer keys first:
-   the windows that hold at least half of what is missing behind the key's substring take these bytes
-   into their key, the others those before it. Equal windows still have equal keys. Contents that have
-   become equal repeat wholly, and one of them goes on. Groups that are still too large are split again;
-   after eight rounds at most the key is the whole window.
+4. A key group of more than ``GROUP`` contents, which could outgrow a shard, is made smaller first. Hashes
+   of its windows are counted in packed form over all tasks, and windows whose hash is alone are left
+   out by a filter of bounded size, as a shard would do. What is then still larger is split by longer
+   keys: the windows that hold at least half of what is missing behind the key's substring take these
+   bytes into their key, the others those before it. Equal windows still have equal keys. Contents that
+   have become equal repeat wholly, and one of them goes on. Groups that are still too large are split
+   again; after eight rounds at most the key is the whole window.
 5. The covered spans of each document are merged and cut out.
 
 Texts are UTF-8 bytes and repeats never cross documents. Defined results: null or empty text has no
@@ -44,8 +46,9 @@ from .packed import bitmap, bitmap_bits, bucket_count, counts, in_bitmap
 
 LENGTH = 200
 GRAM = 64
-GROUP = 1000
 SHARD_BYTES = 2_000_000
+#: Contents of a key that fit into a shard; one has less than two windows' bytes.
+GROUP = SHARD_BYTES // (2 * LENGTH)
 #: Bytes of the list of segments to fetch that is broadcast; beyond it the texts are shuffled.
 BROADCAST_BYTES = 64_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -314,7 +317,7 @@ def _segment_parts(keyed: DataFrame, length: int, group: int) -> tuple[DataFrame
             yield segments(_raw(b), length)[3]
 
     often = materialise(counts(keyed.select("text"), keys_of, buckets, 64, 1).select("token"), "repeated-keys")
-    again = spark.sparkContext.broadcast(bitmap(often, "token", max(24, bitmap_bits(often.count()))))
+    again = spark.sparkContext.broadcast(bitmap(often, "token", bitmap_bits(often.count(), 128)))
     discard(often)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,50 +369,80 @@ def _grown(raw: bytes, at: int, size: int, length: int) -> list[tuple[int, int,
     return out + ([(cut, windows - cut, at, size + behind)] if cut < windows else [])
 
 
+def repeated_windows(parts: DataFrame, length: int) -> DataFrame:
+    """The segments cut down to their windows whose hash another window has; a filter of bounded size
+    tells, so some others stay. Copies that repeat wholly are elsewhere: one of each is here."""
+    spark = parts.sparkSession
+
+    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in slices(batches):
+            for raw in b.column("bytes").to_pylist():
+                yield rolling(np.frombuffer(raw, np.uint8), length)
+
+    size = parts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    often = materialise(counts(parts.select("bytes"), hashes_of, bucket_count(size), 64, 1).select("token"), "window-hashes")
+    again = spark.sparkContext.broadcast(bitmap(often, "token", bitmap_bits(often.count(), 128)))
+    discard(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = []
+            for d, t, lo, key, is_open, raw in zip(*(b.column(c).to_pylist() for c in ("d", "t", "lo", "key", "open", "bytes")), strict=True):
+                keep = in_bitmap(again.value, rolling(np.frombuffer(raw, np.uint8), length))
+                rows += [(d, t, lo + s, key, is_open, True, raw[s : e + length - 1]) for s, e in _spans(keep).tolist()]
+            yield _batch(rows, _PART)
+
+    return parts.select("d", "t", "lo", "key", "open", "bytes").mapInArrow(run, _PART_DDL)
+
+
 def split_large(parts: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame]:
     """(segments in groups of at most ``group`` contents, whole spans that repeat) of segments in larger ones."""
     gram = min(GRAM, length)
+    kinds = [("d", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("key", pa.int64()), ("open", pa.bool_()), ("at", pa.int32()), ("size", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("bytes", pa.binary())]
     ddl = "d long, t long, lo int, key long, open boolean, at int, size int, c1 long, c2 long, bytes binary"
 
+    def content(raw: bytes) -> tuple[int, int]:
+        c = xxhash.xxh3_128_intdigest(raw)
+        return (c >> 64) - (1 << 63), (c & _MASK) - (1 << 63)
+
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            at = []
-            for key, raw in zip(b.column("key").to_pylist(), b.column("bytes").to_pylist(), strict=True):
-                windows = len(raw) - length + 1
-                h = rolling(np.frombuffer(raw, np.uint8), gram)[windows - 1 :]
-                at.append(windows - 1 + int(np.argmax(h == np.uint64(key % (1 << 64)))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("d", "t", "lo", "open", "bytes")), pa.array(at, pa.int32())], ["d", "t", "lo", "open", "bytes", "at"])
+            rows = []
+            for r in b.to_pylist():
+                windows = len(r["bytes"]) - length + 1
+                h = rolling(np.frombuffer(r["bytes"], np.uint8), gram)[windows - 1 :]
+                at = windows - 1 + int(np.argmax(h == np.uint64(r["key"] % (1 << 64))))
+                rows.append((r["d"], r["t"], r["lo"], r["key"], r["open"], at, gram, *content(r["bytes"]), r["bytes"]))
+            yield _batch(rows, kinds)
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("d", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("key", pa.int64()), ("open", pa.bool_()), ("at", pa.int32()), ("size", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("bytes", pa.binary())]
         for b in slices(batches):
             rows = []
             for r in b.to_pylist():
                 for first, windows, at, size in _grown(r["bytes"], r["at"], r["size"], length):
                     raw = r["bytes"][first : first + windows + length - 1]
-                    side = at == r["at"]
-                    key = xxhash.xxh3_64_intdigest(raw[at - first : at - first + size], 2 * size + side) - (1 << 63)
-                    c = xxhash.xxh3_128_intdigest(raw)
-                    rows.append((r["d"], r["t"], r["lo"] + first, key, r["open"], at - first, size, (c >> 64) - (1 << 63), (c & _MASK) - (1 << 63), raw))
+                    key = xxhash.xxh3_64_intdigest(raw[at - first : at - first + size], 2 * size + (at == r["at"])) - (1 << 63)
+                    rows.append((r["d"], r["t"], r["lo"] + first, key, r["open"], at - first, size, *content(raw), raw))
             yield _batch(rows, kinds)
 
-    rows = parts.select("d", "t", "lo", "key", "open", "bytes").mapInArrow(located, "d long, t long, lo int, open boolean, bytes binary, at int").withColumn("size", F.lit(gram))
+    rows = repeated_windows(parts, length).mapInArrow(located, ddl)
     done = spans = None
-    content = ["key", "c1", "c2"]
+    own = ["key", "c1", "c2"]
     while True:
-        sub = materialise(rows.mapInArrow(halves, ddl), "halves")
-        same = materialise(sub.groupBy(content).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo")).alias("first")), "half-contents")
-        again = sub.where("open").join(same.where("n > 1").select(content), content)
+        sub = materialise(rows, "parts-of-large")
+        same = materialise(sub.groupBy(own).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo")).alias("first")), "part-contents")
+        again = sub.where("open").join(same.where("n > 1").select(own), own)
         again = again.select("d", "t", F.col("lo").alias("s"), (F.col("lo") + F.octet_length("bytes")).cast("int").alias("e"))
-        groups = same.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
-        kept = sub.join(same, content).where(F.struct("d", "t", "lo") == F.col("first")).withColumn("open", F.col("open") & (F.col("n") == 1)).drop("n", "first")
-        kept = materialise(kept.join(groups, "key"), "half-groups")
+        groups = materialise(same.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), "part-groups")
+        kept = sub.join(same, own).where(F.struct("d", "t", "lo") == F.col("first")).withColumn("open", F.col("open") & (F.col("n") == 1)).drop("n", "first")
+        kept = materialise(kept.join(groups, "key"), "kept-parts")
         more = kept.where(F.col("g") <= group).select("d", "t", "lo", "key", "open", F.lit(False).alias("large"), "bytes")
         done = more if done is None else done.unionByName(more)
         spans = again if spans is None else spans.unionByName(again)
-        rows = kept.where(F.col("g") > group).select("d", "t", "lo", "open", "bytes", "at", "size")
-        if not rows.head(1):
+        large = kept.where(F.col("g") > group).select("d", "t", "lo", "open", "bytes", "at", "size")
+        if not large.head(1):
             return done, spans
+        rows = large.mapInArrow(halves, ddl)
 
 
 def _in_shards(parts: DataFrame, of_shard, schema: str) -> DataFrame:
