@@ -17,6 +17,8 @@ BLANK = r"\x20\x09-\x0D"
 
 #: Rows and bytes of texts that Python code takes up at a time.
 SLICE_ROWS, SLICE_BYTES = 256, 8_000_000
+#: Bytes of an Arrow batch while an operator runs its own jobs.
+BATCH_BYTES = 2_000_000
 
 _LOCAL: dict[str, str] = {}
 _MADE = threading.local()
@@ -60,17 +62,20 @@ def scratch_scope(spark: SparkSession, keep: list[str]) -> Iterator[None]:
                 delete(spark, path)
 
 
-def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write once as Parquet in the shared folder and read back.
 
     Cuts the lineage with a copy that outlives any executor, and keeps column pruning
-    for the readers, which a checkpointed RDD would lose. ``narrow`` is for tables of pairs and ids that
-    are small beside the documents: a sixteenth of the shuffle partitions write them, so that
-    iterations don't leave many tiny files.
+    for the readers, which a checkpointed RDD would lose. ``rows`` is the number of rows, or a bound of it,
+    of a table of pairs and ids: a task writes up to half a million of them, so that iterations leave few
+    files while the tables are small, and no task grows with them.
     """
     spark = df.sparkSession
-    if narrow:
-        df = df.coalesce(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    if rows is not None:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(-(-partitions // 16), -(-rows // 500_000))
+        if tasks < partitions:
+            df = df.coalesce(tasks)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -86,7 +91,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = SLICE_BYTES) -> Iterator[None]:
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
     """While an operator runs its own jobs, Arrow batches hold at most ``size`` bytes; then the caller's
     setting is back. Plans that run later have the caller's bound (64 MB by default)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

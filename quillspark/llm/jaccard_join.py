@@ -214,20 +214,20 @@ def components(links: DataFrame) -> DataFrame:
     Large-star joins each node's larger neighbours to its smallest one, small-star its smaller ones;
     together they reach stars in a number of rounds that grows with the logarithm of the size.
     """
-    pairs = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", narrow=True)
-    state = None
+    pairs = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", rows=links.count())
+    state, size = None, pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        before, pairs = pairs, materialise(small, "star", narrow=True)
+        before, pairs = pairs, materialise(small, "star", rows=2 * size)
         discard(before)
         now = pairs.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, size = now, now[0]
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(pairs.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("label")))
 
 
@@ -248,7 +248,7 @@ def whole_sets(ids: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: i
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough."""
-    ids = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "to-verify", narrow=True)
+    ids = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "to-verify", rows=2 * pairs.count())
     sets = whole_sets(ids, docs, text_col, id_col, n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +345,7 @@ def _join_links(docs: DataFrame, text_col: str, id_col: str, n: int, percent: in
     classes = materialise(classes.where(F.col("cid").isNotNull()), "classes")
     keyed = classes.select("cid", "n", F.xxhash64("prefix").alias("p1"), F.xxhash64("prefix", F.lit(1)).alias("p2"))
     groups = keyed.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid"), F.count("*").alias("size"))
-    several = materialise(keyed.join(groups.where("size > 1"), ["n", "p1", "p2"]).select("gid", "cid", "n"), "groups", narrow=True)
+    several = materialise(keyed.join(groups.where("size > 1"), ["n", "p1", "p2"]).select("gid", "cid", "n"), "groups", rows=classes.count())
     # a group of one class bears its class's id; others are led by their smallest member
     heads = classes.join(several.where("cid <> gid").select("cid"), "cid", "left_anti").withColumnRenamed("cid", "gid")
     heads = materialise(heads.select("gid", "n", "prefix", "n_hot"), "heads")
@@ -354,33 +354,33 @@ def _join_links(docs: DataFrame, text_col: str, id_col: str, n: int, percent: in
     pairs = materialise(pairs, "group-pairs")
     if several.head(1):
         wide = pairs.join(more.withColumnRenamed("g", "a").withColumnRenamed("cid", "ca"), "a", "left").join(more.withColumnRenamed("g", "b").withColumnRenamed("cid", "cb"), "b", "left")
-        pairs = wide.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+        pairs = materialise(wide.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "pairs")
     links = verify(pairs, docs, text_col, id_col, n, percent)
     lists = hot_lists(heads)
     if several.head(1):
         lists = lists.join(several.select("gid", "cid"), "gid", "left").select("list", F.coalesce("cid", "gid").alias("gid"), "n").unionByName(several.select("gid", "cid", "n").select(F.xxhash64("gid", F.lit("group")).alias("list"), F.col("cid").alias("gid"), "n"))
     # the joins below have a shuffle on either side, so that a long list is split over tasks at run time
-    sizes = materialise(lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1"), "list-sizes", narrow=True)
+    sizes = materialise(lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1"), "list-sizes")
     lists = materialise(lists.join(sizes.select("list"), "list"), "lists")
-    labels = materialise(components(links), "labels", narrow=True)
+    labels = materialise(components(links), "labels", rows=2 * links.count())
     if not lists.head(1):
         return sets_with_class(sets, classes), labels
     for round_ in ("first", "largest", "rest"):
         now = lists.join(labels, lists["gid"] == labels["node"], "left").select("list", "gid", "n", F.coalesce("label", "gid").alias("c"))
         span = now.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("c", "gid", "n")).alias("first"), F.max(F.struct("n", "gid", "c")).alias("largest")).where("c0 <> c1")
-        now = materialise(now.join(materialise(span, "spans", narrow=True), "list"), "open-lists")
+        now = materialise(now.join(materialise(span, "spans", rows=lists.count()), "list"), "open-lists")
         if not now.head(1):
             break
         if round_ == "rest":
-            outside = materialise(now.where("c <> c0").select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "outside", narrow=True)
-            members = materialise(now.select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "members", narrow=True)
+            outside = materialise(now.where("c <> c0").select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "outside", rows=now.count())
+            members = materialise(now.select(F.col("gid").alias("doc"), F.col("c").alias("label")).distinct(), "members", rows=now.count())
             links = links.unionByName(block_links(outside, members, docs, text_col, id_col, n, percent))
         else:
             pivot = F.col(round_)
             found = now.where((pivot["c"] != F.col("c")) & fitting(pivot["n"], F.col("n"), percent)).select(pivot["gid"].alias("a"), F.col("gid").alias("b"))
-            found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "list-pairs", narrow=True)
+            found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "list-pairs", rows=now.count())
             links = links.unionByName(verify(found, docs, text_col, id_col, n, percent))
-        labels = materialise(components(links), "labels", narrow=True)
+        labels = materialise(components(links), "labels", rows=2 * links.count())
     return sets_with_class(sets, classes), labels
 
 
