@@ -317,7 +317,7 @@ def _segment_parts(keyed: DataFrame, length: int, group: int) -> tuple[DataFrame
             yield segments(_raw(b), length)[3]
 
     often = materialise(counts(keyed.select("text"), keys_of, buckets, 64, 1).select("token"), "repeated-keys")
-    again = spark.sparkContext.broadcast(bitmap(often, "token", bitmap_bits(often.count(), 128)))
+    again = spark.sparkContext.broadcast(bitmap(often, "token", bitmap_bits(often.count(), 128, 30)))
     discard(often)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +381,7 @@ def repeated_windows(parts: DataFrame, length: int) -> DataFrame:
 
     size = parts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     often = materialise(counts(parts.select("bytes"), hashes_of, bucket_count(size), 64, 1).select("token"), "window-hashes")
-    again = spark.sparkContext.broadcast(bitmap(often, "token", bitmap_bits(often.count(), 128)))
+    again = spark.sparkContext.broadcast(bitmap(often, "token", bitmap_bits(often.count(), 128, 30)))
     discard(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
