@@ -220,10 +220,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", max_hit: float = 0.5, text_col: str = "text", **options) -> DataFrame:
     """Clean documents: ``spans`` cuts the hit words and drops documents with a hit share above
     ``max_hit``; ``documents`` drops every document with a hit. Same columns as ``docs``."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*others or [F.lit(0).alias("none")]).alias("_row"), F.col(text_col).alias("_text"))
     found = scan(packed, benchmark, text_col="_text", **options)
     if mode == "documents":
-        return found.where("n_hit = 0").select("_row.*")
+        return found.where("n_hit = 0").select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     found = found.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_hit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
