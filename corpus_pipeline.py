@@ -19,14 +19,23 @@ from quillspark.llm import decontaminate, jaccard_join, language_id, line_dedup,
 from quillspark.llm.common import BLANK, discard, materialise, read, scratch_scope
 
 
+#: Bytes of an Arrow batch in the pipeline's session: its stages return plans that run Python workers over
+#: whole texts one after the other, in executors of a few GB.
+BATCH_BYTES = 2_000_000
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _packed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns that an operator looks at, and the whole row beside them under one name, so that no
-    column of ``docs`` clashes with the operator's own."""
-    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """The columns that an operator looks at, and the whole row but for its text beside them under one
+    name, so that no column of ``docs`` clashes with the operator's own."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
 
 
 def _rows(docs: DataFrame) -> list:
-    return [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return [F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
 
 
 def _with_new_text(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -38,6 +47,7 @@ def _with_new_text(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
+    _bounded(spark)
     model = language_id.fit(docs.where(language_id.fold() != 2))
     accepted = language_id.predict(_packed(docs, "text"), model).where("not rejected")
     return accepted.select(_rows(docs))
@@ -45,6 +55,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the repeated line chunks of documents before them."""
+    _bounded(spark)
     return _with_new_text(line_dedup.dedup(_packed(docs, "doc_id", "text")), docs)
 
 
@@ -52,6 +63,7 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each component of near-duplicates (five words, similarity 0.8): that with the
     smallest id. Documents without words are components of their own. Rows without an id, and those
     that share one, are told apart by their text; equal ones are one document."""
+    _bounded(spark)
     shared_ids = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "shared-ids")
     key = F.col("doc_id").cast("long")
     parts = [docs]
@@ -78,6 +90,7 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; documents that are mostly benchmark go."""
+    _bounded(spark)
     clean = decontaminate.remove(_packed(docs, "text"), read(spark, sf_dir, "benchmark"))
     return _with_new_text(clean, docs)
 
@@ -85,6 +98,7 @@ def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the weighted mix takes: the documents with size, source_size, target, taken and copies,
     which replace columns of these names."""
+    _bounded(spark)
     return mixing.mix_documents(docs)
 
 
