@@ -11,7 +11,7 @@ from quillspark.plans import lexical, ranking
 from quillspark.plans.corpus import Corpus
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = ["bm25_topk", "answer_lines", "field_bm25", "grid_best"]
+QUERIES = ["bm25_topk", "answer_lines", "field_bm25", "grid_best", "location_factor"]
 
 
 @pytest.fixture(scope="module")
