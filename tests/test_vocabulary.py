@@ -11,7 +11,7 @@ from quillspark.plans import lexical, ranking
 from quillspark.plans.corpus import Corpus
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = ["bm25_topk", "answer_lines", "field_bm25", "grid_best", "location_factor", "loss_decomposition", "masked_blend", "rating_filter", "search_answer", "stem_bm25_topk", "term_idf", "balanced_pairs", "blend_rank"]
+QUERIES = ["bm25_topk", "answer_lines", "field_bm25", "grid_best", "location_factor", "loss_decomposition", "masked_blend", "rating_filter", "search_answer", "stem_bm25_topk", "term_idf", "balanced_pairs", "blend_rank", "bm25_weights"]
 
 
 @pytest.fixture(scope="module")
