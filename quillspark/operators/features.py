@@ -125,14 +125,16 @@ def rating_filter(required: Column, rating: Column) -> tuple[Column, Column]:
     return match, F.when(required == 0, 0.0).otherwise(rating - required)
 
 
-def field(candidates: DataFrame, items: DataFrame, queries: DataFrame, counts: DataFrame, n_items: int) -> DataFrame:
+def field(candidates: DataFrame, items: DataFrame, queries: DataFrame, counts: DataFrame, n_items: int, lengths: DataFrame | None = None) -> DataFrame:
     """(query_id, item_pos, *FIELD). ``counts``: (item_pos, field, term, tf) of stems, whose terms are the
-    vocabulary that all fields share. One join of the candidates' terms serves all fields."""
+    vocabulary that all fields share; ``lengths``: (item_pos, field, len) of them, if at hand. One join of
+    the candidates' terms serves all fields."""
+    lengths = keep(index.field_lengths(counts)) if lengths is None else lengths
     rows = candidates.select("query_id", "item_pos")
     wanted = keep(queries.select("query_id", "search_query", F.coalesce(normalize(F.col("search_params")), F.lit("")).alias("filter")))
     terms = keep(index.stem_terms(wanted, shortest=1))
     filter_terms = keep(index.stem_terms(wanted.select("query_id", filter_words(F.col("filter")).alias("search_query")), shortest=1))
-    postings = keep(index.bm25(counts, n_items, ("field",), terms=terms.unionByName(filter_terms)))
+    postings = keep(index.bm25(counts, n_items, ("field",), terms=terms.unionByName(filter_terms), lengths=lengths))
     size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     df = postings.groupBy("term").agg(*[F.count_if(F.col("field") == f).cast("double").alias(f) for f in FIELDS])
     # a term of the vocabulary counts in each field's sum of idf, with a document frequency of 0 where the field lacks it
@@ -141,8 +143,8 @@ def field(candidates: DataFrame, items: DataFrame, queries: DataFrame, counts: D
     scores = hits.groupBy("query_id", "item_pos").agg(*[c for f in FIELDS for c in (F.sum(F.when(F.col("field") == f, F.col("w"))).alias(f"_w_{f}"), F.count_if(F.col("field") == f).alias(f"_n_{f}"))])
     filter_size = filter_terms.groupBy("query_id").agg(F.count("*").alias("n_filter"))
     filter_hits = rows.join(filter_terms, "query_id").join(postings.where("field = 'params'"), ["item_pos", "term"]).groupBy("query_id", "item_pos").agg(F.sum("w").alias("_fw"), F.count("*").alias("_fn"))
-    own = counts.join(rows.select("item_pos").distinct(), "item_pos", "left_semi")
-    wide = own.groupBy("item_pos").agg(*[F.sum(F.when(F.col("field") == f, F.col("tf"))).alias(f"_len_{f}") for f in FIELDS])
+    own = lengths.join(rows.select("item_pos").distinct(), "item_pos", "left_semi")
+    wide = own.groupBy("item_pos").agg(*[F.sum(F.when(F.col("field") == f, F.col("len"))).alias(f"_len_{f}") for f in FIELDS])
     rows = rows.join(scores, ["query_id", "item_pos"], "left").join(filter_hits, ["query_id", "item_pos"], "left").join(wide, "item_pos", "left")
     rows = rows.join(items.select("item_pos", "rating", *FIELDS), "item_pos").join(wanted, "query_id")
     for side in (size, known, filter_size):

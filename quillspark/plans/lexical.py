@@ -51,7 +51,7 @@ def stem_bm25_topk(spark, d):
 
 def field_bm25(spark, d):
     c = Corpus(spark, d)
-    postings = index.bm25(c.field_counts, c.n, ("field",), terms=c.terms)
+    postings = index.bm25(c.field_counts, c.n, ("field",), terms=c.terms, lengths=c.lengths)
     scored = c.terms.join(postings, "term").groupBy("query_id", "field", "item_pos").agg(F.round(F.sum("w"), 6).alias("score"))
     return index.top(scored.withColumn("list", F.concat_ws("|", "query_id", "field")), 20, group="list").drop("list")
 
@@ -71,7 +71,7 @@ def oov_fraction(spark, d):
     text's beginning and, so that some terms are unknown, its filter."""
     c = Corpus(spark, d, cyrillic=True)
     asked = c.queries.withColumn("search_query", F.concat_ws(" ", "search_query", "search_params"))
-    return rounded(features.oov_fraction(asked, c.counts))
+    return rounded(features.oov_fraction(asked, c.field_counts))
 
 
 def number_coverage(spark, d):
@@ -89,7 +89,7 @@ def rating_filter(spark, d):
 def field_features(spark, d):
     """The 22 columns by stems, over texts in Cyrillic letters."""
     c = Corpus(spark, d, cyrillic=True)
-    return rounded(features.field(c.best, c.items, c.queries, c.field_counts, c.n), 5)
+    return rounded(features.field(c.best, c.items, c.queries, c.field_counts, c.n, c.lengths), 5)
 
 
 FOUND = (normalize_text, tokenize, term_idf, bm25_weights, bm25_topk, stem_bm25_topk, field_bm25, char_tfidf_topk, phrase_match, oov_fraction, number_coverage, rating_filter, field_features)

@@ -9,6 +9,7 @@ import __spark_entry__
 from quillspark.operators import index
 from quillspark.plans import lexical, ranking
 from quillspark.plans.corpus import Corpus
+from quillspark.sources import views
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES = ["bm25_topk", "answer_lines", "field_bm25", "grid_best", "location_factor", "loss_decomposition", "masked_blend", "rating_filter", "search_answer", "stem_bm25_topk", "term_idf", "balanced_pairs", "blend_rank", "bm25_weights"]
@@ -65,3 +66,38 @@ def test_no_word_is_cut(spark, folder, shared, tmp_path, name):
 def test_no_gram_is_cut(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "MAX_GRAMS", 500)
     compare(spark, "char_tfidf_topk", SMALL, f"{tmp_path}/out")
+
+
+def test_pairs_alone_are_judged(spark, tmp_path, monkeypatch):
+    """Gold among given pairs, without a loop over all texts; shuffled where there are many pairs."""
+    spark.createDataFrame([(1, "x one two"), (2, "two"), (3, None), (4, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "one two"), (8, "two"), (9, "y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    asked = [(f"{q:016x}", f"{i:016x}") for q, i in ((7, 1), (7, 2), (7, 3), (8, 2), (9, 4))]
+    pairs = spark.createDataFrame(asked, "query_id string, item_id string")
+    every = {tuple(r) for r in views.gold(spark, str(tmp_path)).collect()}
+    assert len(every) == 5
+    for most in (views.BROADCAST_PAIRS, 1):
+        monkeypatch.setattr(views, "BROADCAST_PAIRS", most)
+        got = views.gold(spark, str(tmp_path), pairs)
+        assert sorted(map(tuple, got.collect())) == sorted(every & set(asked))
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lengths_at_hand_give_the_same_weights(spark):
+    items = spark.createDataFrame([(0, "aa cc", "", "bb bb"), (1, "bb", "dd", "cc"), (2, "", "", "")], "item_pos long, title string, params string, description string")
+    counts, terms = index.term_counts(items), spark.createDataFrame([("bb",), ("dd",)], "term string")
+    lengths = index.field_lengths(counts)
+    asked = counts.join(terms, "term", "left_semi")
+    for want, got in (
+        (index.bm25(index.joint(counts), 3, terms=terms), index.bm25(index.joint(asked), 3, lengths=index.joint_lengths(lengths))),
+        (index.bm25(counts, 3, ("field",), terms=terms), index.bm25(asked, 3, ("field",), lengths=lengths)),
+    ):
+        assert want.count() > 0 and sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_a_model_is_trained_without_judging_all_pairs(spark, folder, shared, monkeypatch):
+    calls = []
+    plain = views.gold
+    monkeypatch.setattr(views, "gold", lambda s, d, *pairs: calls.append(pairs) or plain(s, d, *pairs))
+    answers = ranking.train_and_rank(spark, folder)
+    assert answers.count() > 0 and len(calls) == 1 and len(calls[0]) == 1
